@@ -242,3 +242,137 @@ def _c10(spark, sf):
     feed = C.interaction_counts_feed(B.event_time_or(pairs(spark, sf)), order=("ts",) + ORDER)
     res = C.snapshot_at(fx.snapshot_requests(spark, sf), feed, "n", ts_col="ts", order=ORDER)
     return res.select("request_ts", "actor1", "actor2", "n")
+
+
+# ------------------------------------------------------------- D operators
+
+from relflow.operators import views as D  # noqa: E402
+
+STATE_CTE = RELATION_FEED_SQL + """, state AS (
+  SELECT actor1, actor2, s / nn AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY actor1, actor2 ORDER BY rn DESC) AS back FROM st) z
+  WHERE back = 1
+), mirrored AS (
+  SELECT actor1, actor2, score FROM state
+  UNION ALL SELECT actor2, actor1, score FROM state WHERE actor1 <> actor2
+)"""
+
+
+def relation_state(spark, sf) -> DataFrame:
+    return C.relation_scores(signed(spark, sf), lam=LAM, order=ORDER).select("actor1", "actor2", "score")
+
+
+@q("known_countries", STATE_CTE + f"""
+SELECT actor1, actor2, {_sql_r6("score")} AS score FROM state
+WHERE actor1 IN (SELECT country FROM ({fx.COUNTRIES_SQL}) c) AND actor2 IN (SELECT country FROM ({fx.COUNTRIES_SQL}) c)""")
+def _d1(spark, sf):
+    res = D.known_countries(relation_state(spark, sf), fx.countries(spark, sf))
+    return res.select("actor1", "actor2", r6("score").alias("score"))
+
+
+@q("mirror", STATE_CTE + f"""
+SELECT actor1, actor2, {_sql_r6("score")} AS score FROM mirrored""")
+def _d2(spark, sf):
+    res = D.mirror(relation_state(spark, sf))
+    return res.select("actor1", "actor2", r6("score").alias("score"))
+
+
+@q("changes_only", RELATION_FEED_SQL + f""", f AS (
+  SELECT actor1, actor2, k1, k2, k3, k4, ts, {_sql_r6("s / nn")} AS score FROM st
+), g AS (
+  SELECT *, lag(score) OVER (PARTITION BY actor1, actor2 ORDER BY ts, k1, k2, k3, k4) AS prev FROM f
+)
+SELECT actor1, actor2, k1, k2, k3, k4, score FROM g WHERE score IS DISTINCT FROM prev""")
+def _d3(spark, sf):
+    feed = C.relation_scores_feed(signed(spark, sf), lam=LAM, order=ORDER) \
+            .withColumn("score", r6("score"))
+    res = D.changes_only(feed, "score", order=("ts",) + ORDER)
+    return res.select("actor1", "actor2", *ORDER, "score")
+
+
+@q("country_mean", STATE_CTE + f"""
+SELECT country, {_sql_r6("CASE WHEN m = 0 OR isnan(m) THEN 1.0 ELSE m END")} AS mean
+FROM (SELECT actor1 AS country, avg(score) AS m FROM mirrored GROUP BY actor1) x""")
+def _d4(spark, sf):
+    res = D.country_mean(relation_state(spark, sf))
+    return res.select("country", r6("mean").alias("mean"))
+
+
+SELECTED = "NATION_3"
+
+
+@q("relations_of", STATE_CTE + f"""
+SELECT actor2 AS partner, {_sql_r6("score")} AS score FROM mirrored WHERE actor1 = '{SELECTED}'""")
+def _d5(spark, sf):
+    res = D.relations_of(relation_state(spark, sf), SELECTED)
+    return res.select("partner", r6("score").alias("score"))
+
+
+@q("relation_extent", STATE_CTE + f"""
+SELECT actor1 AS country, {_sql_r6("min(score)")} AS lo, {_sql_r6("max(score)")} AS hi
+FROM mirrored GROUP BY actor1""")
+def _d6(spark, sf):
+    res = D.relation_extent(relation_state(spark, sf))
+    return res.select("country", r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+@q("relation_extent_feed", RELATION_FEED_SQL + f""", f AS (
+  SELECT actor1, actor2, k1, k2, k3, k4, ts, s / nn AS score FROM st
+), m AS (
+  SELECT actor1 AS country, k1, k2, k3, k4, ts, score FROM f
+  UNION ALL SELECT actor2, k1, k2, k3, k4, ts, score FROM f WHERE actor1 <> actor2
+)
+SELECT country, k1, k2, k3, k4,
+  {_sql_r6("min(score) OVER (PARTITION BY country ORDER BY ts, k1, k2, k3, k4 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS lo,
+  {_sql_r6("max(score) OVER (PARTITION BY country ORDER BY ts, k1, k2, k3, k4 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS hi
+FROM m""")
+def _d6f(spark, sf):
+    feed = C.relation_scores_feed(signed(spark, sf), lam=LAM, order=ORDER)
+    m = D.mirror(feed, extra=("ts",) + ORDER).withColumnRenamed("actor1", "country")
+    res = D.relation_extent_feed(m, order=("ts",) + ORDER)
+    return res.select("country", *ORDER, r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+HOUR_MS = 3600000
+ACTIVITY_SQL = f"""WITH t AS (SELECT epoch_us(ts) // 1000 AS t FROM events WHERE ts IS NOT NULL),
+t0 AS (SELECT min(t) AS t0 FROM t),
+c AS (SELECT greatest(CAST(ceil((t - t0) / {HOUR_MS}.0) AS BIGINT) - 1, 0) AS bucket, count(*) AS n
+      FROM t, t0 GROUP BY ALL),
+lst AS (SELECT max(bucket) AS l FROM c),
+series AS (
+  SELECT g.bucket, t0.t0 + g.bucket * {HOUR_MS} AS t_start, COALESCE(c.n, 0) AS n
+  FROM (SELECT range AS bucket FROM lst, range(greatest(l - 30, 0), l)) g
+  LEFT JOIN c USING (bucket), t0
+)"""
+
+
+@q("activity_series", ACTIVITY_SQL + "\nSELECT bucket, t_start, n FROM series")
+def _d7(spark, sf):
+    return D.activity_series(fx.updates(spark, sf), HOUR_MS, keep=30)
+
+
+@q("activity_summary", ACTIVITY_SQL + f"""
+SELECT max(n) AS max_n, CAST(floor(avg(n) + 0.5) AS BIGINT) AS mean_n,
+       {_sql_r6(f"CAST(floor(avg(n) + 0.5) AS BIGINT) * 1000.0 / {float(HOUR_MS)!r}")} AS rate_per_sec FROM series""")
+def _d8(spark, sf):
+    res = D.activity_summary(D.activity_series(fx.updates(spark, sf), HOUR_MS, keep=30), HOUR_MS)
+    return res.select("max_n", "mean_n", r6("rate_per_sec").alias("rate_per_sec"))
+
+
+@q("score_classes", STATE_CTE + f""", r AS (SELECT actor1, actor2, {_sql_r6("score")} AS score FROM state),
+e AS (SELECT min(score) AS lo, max(score) AS hi FROM r)
+SELECT actor1, actor2, score,
+  CAST(CASE WHEN hi = lo THEN 0 ELSE least(greatest(floor((score - lo) / (hi - lo) * 9), 0), 8) END AS INTEGER) AS class
+FROM r, e""")
+def _d9(spark, sf):
+    st = relation_state(spark, sf).withColumn("score", r6("score"))
+    return D.score_classes(st, "score", 9).select("actor1", "actor2", "score", "class")
+
+
+@q("nested_state", STATE_CTE + """
+SELECT actor1, count(*) AS n_partners, string_agg(actor2, ',' ORDER BY actor2) AS partners
+FROM state GROUP BY actor1""")
+def _d10(spark, sf):
+    res = D.nested_state(relation_state(spark, sf))
+    return res.select("actor1", F.size("relations").cast("long").alias("n_partners"),
+                      F.array_join(F.array_sort(F.map_keys("relations")), ",").alias("partners"))
