@@ -376,3 +376,243 @@ def _d10(spark, sf):
     res = D.nested_state(relation_state(spark, sf))
     return res.select("actor1", F.size("relations").cast("long").alias("n_partners"),
                       F.array_join(F.array_sort(F.map_keys("relations")), ",").alias("partners"))
+
+
+# ------------------------------------------------------------- F operators
+
+from relflow.functions import jrandom as JR  # noqa: E402
+from relflow.operators import factors as FX  # noqa: E402
+from relflow.operators import training as TR  # noqa: E402
+from relflow.sources.ids import assign_ordered_ids  # noqa: E402
+
+K = 10
+KV = 64          # dimension of the fixture vectors
+LR = 0.01
+NEG_SEED = 42
+RATINGS = fx.RATINGS_SQL
+
+
+def _rng_sql(name: str, ids_sql: str, k: int, lo: float = 0.0, hi: float = 1.0) -> str:
+    """DuckDB replay of java.util.Random(id).nextDouble() x k, long format."""
+    scale = "" if (lo, hi) == (0.0, 1.0) else f"{float(lo)!r} + {float(hi) - float(lo)!r} * "
+    return f"""{name}_rng AS (
+  SELECT id, 0 AS step, CAST(xor(CAST(id AS BIGINT), {JR.MULTIPLIER}) & {JR.MASK48} AS HUGEINT) AS s
+  FROM ({ids_sql}) i
+  UNION ALL
+  SELECT id, step + 1, (s * {JR.MULTIPLIER} + {JR.ADDEND}) % {1 << 48} FROM {name}_rng WHERE step < {2 * k}
+), {name} AS (
+  SELECT a.id, CAST((a.step - 1) // 2 AS INTEGER) AS pos,
+         {scale}(CAST((a.s // 4194304) * 134217728 + (b.s // 2097152) AS DOUBLE) / 9007199254740992.0) AS v
+  FROM {name}_rng a JOIN {name}_rng b ON a.id = b.id AND b.step = a.step + 1 WHERE a.step % 2 = 1
+)"""
+
+
+def _long(df: DataFrame, id_col: str, out_id: str | None = None) -> DataFrame:
+    return df.select(F.col(id_col).alias(out_id or id_col), F.posexplode("factors").alias("pos", "v")) \
+             .select(out_id or id_col, "pos", r6("v").alias("v"))
+
+
+def ratings(spark, sf):
+    return fx.ratings(spark, sf)
+
+
+RATED_USERS = f"SELECT DISTINCT user_id AS id FROM ({RATINGS}) r"
+RATED_ITEMS = f"SELECT DISTINCT item_id AS id FROM ({RATINGS}) r"
+
+
+@q("init_factors_ranged", "WITH RECURSIVE " + _rng_sql("iv", RATED_ITEMS, K, -1.0, 1.0) + f"""
+SELECT id AS item_id, pos, {_sql_r6("v")} AS v FROM iv""")
+def _f1(spark, sf):
+    ids = ratings(spark, sf).select("item_id").distinct()
+    return _long(FX.init_factors(ids, "item_id", FX.ranged_init(K, -1.0, 1.0)), "item_id")
+
+
+@q("init_factors_seeded", "WITH RECURSIVE " + _rng_sql("uv", RATED_USERS, K) + f"""
+SELECT id AS user_id, pos, {_sql_r6("v")} AS v FROM uv""")
+def _f2(spark, sf):
+    ids = ratings(spark, sf).select("user_id").distinct()
+    return _long(FX.init_factors(ids, "user_id", FX.seeded_init(K)), "user_id")
+
+
+@q("init_factors_random")
+def _f3(spark, sf):
+    ids = ratings(spark, sf).select("item_id").distinct()
+    return _long(FX.init_factors(ids, "item_id", FX.random_init(K, seed=7)), "item_id")
+
+
+def _mf_tables(spark, sf):
+    r = ratings(spark, sf)
+    users = FX.init_factors(r.select("user_id").distinct(), "user_id", FX.seeded_init(K))
+    items = FX.init_factors(r.select("item_id").distinct(), "item_id", FX.ranged_init(K, -1.0, 1.0))
+    return r, users, items
+
+
+MF_CTE = ("WITH RECURSIVE " + _rng_sql("uv", RATED_USERS, K) + ", " + _rng_sql("iv", RATED_ITEMS, K, -1.0, 1.0)
+          + f", r AS (SELECT *, row_number() OVER () AS rid FROM ({RATINGS}) r0)")
+
+
+@q("score_pairs", MF_CTE + f"""
+SELECT r.k1, r.k2, r.user_id, r.item_id, {_sql_r6("sum(u.v * i.v)")} AS score
+FROM r JOIN uv u ON u.id = r.user_id JOIN iv i ON i.id = r.item_id AND i.pos = u.pos
+GROUP BY r.rid, r.k1, r.k2, r.user_id, r.item_id""")
+def _f5(spark, sf):
+    r, users, items = _mf_tables(spark, sf)
+    res = FX.score_pairs(r.select("k1", "k2", "user_id", "item_id", "ts"), users, items)
+    return res.select("k1", "k2", "user_id", "item_id", r6("score").alias("score"))
+
+
+@q("vector_norms", f"""WITH x AS ({fx.ITEM_VECTORS_SQL})
+SELECT item_id, {_sql_r6("list_sum(list_transform(factors, lambda v: v * v))")} AS sq_norm,
+       {_sql_r6("sqrt(list_sum(list_transform(factors, lambda v: v * v)))")} AS norm FROM x""")
+def _f6(spark, sf):
+    res = FX.vector_norms(fx.item_vectors(spark, sf))
+    return res.select("item_id", r6("sq_norm").alias("sq_norm"), r6("norm").alias("norm"))
+
+
+@q("sgd_deltas", MF_CTE + f""", e AS (
+  SELECT r.k1, r.k2, r.user_id, r.item_id, r.rating - sum(u.v * i.v) AS err
+  FROM r JOIN uv u ON u.id = r.user_id JOIN iv i ON i.id = r.item_id AND i.pos = u.pos
+  GROUP BY r.rid, r.k1, r.k2, r.user_id, r.item_id, r.rating
+)
+SELECT e.k1, e.k2, e.user_id, e.item_id, u.pos,
+       {_sql_r6(f"i.v * ({LR!r} * e.err)")} AS du, {_sql_r6(f"u.v * ({LR!r} * e.err)")} AS dv
+FROM e JOIN uv u ON u.id = e.user_id JOIN iv i ON i.id = e.item_id AND i.pos = u.pos""")
+def _f9(spark, sf):
+    r, users, items = _mf_tables(spark, sf)
+    d = FX.sgd_deltas(r.select("k1", "k2", "user_id", "item_id", "ts", "rating"), users, items, LR)
+    z = d.select("k1", "k2", "user_id", "item_id",
+                 F.posexplode(F.arrays_zip("du", "dv")).alias("pos", "z"))
+    return z.select("k1", "k2", "user_id", "item_id", "pos", r6(F.col("z.du")).alias("du"),
+                    r6(F.col("z.dv")).alias("dv"))
+
+
+# existing model = fixture vectors (64-dim); rated ids without a vector are initialised
+STEP_CTE = ("WITH RECURSIVE " + _rng_sql("uinit", RATED_USERS, KV) + ", " + _rng_sql("iinit", RATED_ITEMS, KV)
+            + f""", r AS ({RATINGS}),
+eu AS (SELECT user_id AS id, CAST(generate_subscripts(factors, 1) - 1 AS INTEGER) AS pos, unnest(factors) AS v
+       FROM ({fx.USER_VECTORS_SQL}) x),
+ei AS (SELECT item_id AS id, CAST(generate_subscripts(factors, 1) - 1 AS INTEGER) AS pos, unnest(factors) AS v
+       FROM ({fx.ITEM_VECTORS_SQL}) x),
+pu AS (SELECT * FROM eu WHERE id IN (SELECT id FROM ({RATED_USERS}) a)
+       UNION ALL SELECT * FROM uinit WHERE id NOT IN (SELECT id FROM eu)),
+pi AS (SELECT * FROM ei WHERE id IN (SELECT id FROM ({RATED_ITEMS}) a)
+       UNION ALL SELECT * FROM iinit WHERE id NOT IN (SELECT id FROM ei)),""")
+
+
+def _step_body(ratings_cte: str) -> str:
+    return f"""
+e AS (
+  SELECT q.user_id, q.item_id, q.rating - sum(u.v * i.v) AS err, q.rid
+  FROM {ratings_cte} q JOIN pu u ON u.id = q.user_id JOIN pi i ON i.id = q.item_id AND i.pos = u.pos
+  GROUP BY q.user_id, q.item_id, q.rating, q.rid
+),
+du AS (SELECT e.user_id AS id, i.pos, sum(i.v * ({LR!r} * e.err)) AS d
+       FROM e JOIN pi i ON i.id = e.item_id GROUP BY ALL),
+dv AS (SELECT e.item_id AS id, u.pos, sum(u.v * ({LR!r} * e.err)) AS d
+       FROM e JOIN pu u ON u.id = e.user_id GROUP BY ALL),
+nu AS (SELECT b.id, b.pos, b.v + COALESCE(du.d, 0.0) AS v
+       FROM (SELECT * FROM eu UNION ALL SELECT * FROM pu WHERE id NOT IN (SELECT id FROM eu)) b
+       LEFT JOIN du ON du.id = b.id AND du.pos = b.pos),
+ni AS (SELECT b.id, b.pos, b.v + COALESCE(dv.d, 0.0) AS v
+       FROM (SELECT * FROM ei UNION ALL SELECT * FROM pi WHERE id NOT IN (SELECT id FROM ei)) b
+       LEFT JOIN dv ON dv.id = b.id AND dv.pos = b.pos)"""
+
+
+STEP_SQL = STEP_CTE + " rr AS (SELECT user_id, item_id, rating, row_number() OVER () AS rid FROM r)," + _step_body("rr")
+
+
+def _step_tables(spark, sf):
+    r = ratings(spark, sf)
+    users = fx.user_vectors(spark, sf)
+    items = fx.item_vectors(spark, sf)
+    return r, users, items
+
+
+@q("apply_deltas", STEP_SQL + f"\nSELECT id AS item_id, pos, {_sql_r6('v')} AS v FROM ni")
+def _f7(spark, sf):
+    r, users, items = _step_tables(spark, sf)
+    pu = FX.pull_or_init(r, users, "user_id", FX.seeded_init(KV))
+    pi = FX.pull_or_init(r, items, "item_id", FX.seeded_init(KV))
+    d = FX.sgd_deltas(r.select("user_id", "item_id", "rating"), pu, pi, LR)
+    new_i = FX.apply_deltas(items, d.select("item_id", F.col("dv").alias("delta")), "item_id", FX.seeded_init(KV))
+    return _long(new_i, "item_id")
+
+
+@q("pull_or_init", STEP_SQL + f"\nSELECT id AS user_id, pos, {_sql_r6('v')} AS v FROM pu")
+def _f8(spark, sf):
+    r, users, _ = _step_tables(spark, sf)
+    return _long(FX.pull_or_init(r, users, "user_id", FX.seeded_init(KV)), "user_id")
+
+
+@q("sgd_step", STEP_SQL + f"""
+SELECT 'user' AS side, id, pos, {_sql_r6('v')} AS v FROM nu
+UNION ALL SELECT 'item', id, pos, {_sql_r6('v')} FROM ni""")
+def _f10(spark, sf):
+    r, users, items = _step_tables(spark, sf)
+    nu, ni = TR.sgd_step(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
+    return _long(nu, "user_id", "id").withColumn("side", F.lit("user")).unionByName(
+        _long(ni, "item_id", "id").withColumn("side", F.lit("item")))
+
+
+@q("model_updates", STEP_SQL + f"""
+SELECT 'user' AS side, id, CAST(1 AS INTEGER) AS step, pos, {_sql_r6('v')} AS v FROM nu WHERE id IN (SELECT id FROM ({RATED_USERS}) a)
+UNION ALL SELECT 'item', id, 1, pos, {_sql_r6('v')} FROM ni WHERE id IN (SELECT id FROM ({RATED_ITEMS}) a)""")
+def _f12(spark, sf):
+    r, users, items = _step_tables(spark, sf)
+    nu, ni = TR.sgd_step(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
+    up = TR.model_updates(r, nu, ni, step=1)
+    return up.select("side", "id", "step", F.posexplode("factors").alias("pos", "v")) \
+             .select("side", "id", "step", "pos", r6("v").alias("v"))
+
+
+REQUESTS_SQL = f"""SELECT row_number() OVER (ORDER BY k1, k2, item_id, user_id) - 1 AS request_id,
+  user_id, item_id, k1, k2 FROM ({RATINGS}) r"""
+
+
+def requests(spark, sf):
+    return assign_ordered_ids(ratings(spark, sf), ["k1", "k2", "item_id", "user_id"], out="request_id")
+
+
+@q("ordered_ids", f"SELECT request_id, k1, k2, item_id, user_id FROM ({REQUESTS_SQL}) x")
+def _a4(spark, sf):
+    return requests(spark, sf).select("request_id", "k1", "k2", "item_id", "user_id")
+
+
+NEG_SQL = f"""req AS ({REQUESTS_SQL}),
+items AS (SELECT item_id AS _item, row_number() OVER (ORDER BY item_id) - 1 AS ix
+          FROM (SELECT DISTINCT item_id FROM ({RATINGS}) r) d),
+mm AS (SELECT count(*) AS m FROM items),
+rq AS (SELECT req.request_id, req.user_id, items.ix AS t_ix,
+              mm.m - CASE WHEN items.ix IS NULL THEN 0 ELSE 1 END AS c
+       FROM req LEFT JOIN items ON req.item_id = items._item, mm),
+ex AS (SELECT request_id, t_ix, c, unnest(generate_series(1, least({9}, c))) AS j FROM rq WHERE c > 0),
+hx AS (SELECT *, CAST(('0x' || substr(md5('{NEG_SEED}:' || request_id || ':' || j), 1, 8)) AS BIGINT) % c AS ix0 FROM ex),
+neg AS (SELECT request_id, j, _item AS neg_item_id
+        FROM (SELECT *, CASE WHEN t_ix IS NOT NULL AND ix0 >= t_ix THEN ix0 + 1 ELSE ix0 END AS ix FROM hx) x
+        JOIN items USING (ix))"""
+
+
+def negatives(spark, sf, req=None):
+    req = req if req is not None else requests(spark, sf)
+    items = ratings(spark, sf).select("item_id").distinct()
+    return TR.negative_samples(req, items, n=9, seed=NEG_SEED)
+
+
+@q("negative_samples", "WITH " + NEG_SQL + "\nSELECT request_id, j, neg_item_id FROM neg")
+def _f13(spark, sf):
+    return negatives(spark, sf).select("request_id", F.col("j").cast("long").alias("j"), "neg_item_id")
+
+
+@q("train_step", STEP_CTE + NEG_SQL + """,
+tq AS (SELECT user_id, item_id, CAST(1.0 AS DOUBLE) AS rating, request_id * 100 AS rid FROM req
+       UNION ALL SELECT req.user_id, neg.neg_item_id, CAST(0.0 AS DOUBLE), neg.request_id * 100 + neg.j
+       FROM neg JOIN req USING (request_id)),""" + _step_body("tq") + f"""
+SELECT 'user' AS side, id, pos, {_sql_r6('v')} AS v FROM nu
+UNION ALL SELECT 'item', id, pos, {_sql_r6('v')} FROM ni""")
+def _f14(spark, sf):
+    r, users, items = _step_tables(spark, sf)
+    req = requests(spark, sf)
+    neg = negatives(spark, sf, req)
+    nu, ni = TR.train_step(req, neg, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
+    return _long(nu, "user_id", "id").withColumn("side", F.lit("user")).unionByName(
+        _long(ni, "item_id", "id").withColumn("side", F.lit("item")))
