@@ -29,7 +29,7 @@ def main(argv):
             else:
                 r = {"rows": df.count(), "values_match": None}
         except Exception as e:  # report and go on
-            r = {"error": repr(e)[:600], "values_match": False}
+            r = {"error": str(e).splitlines()[0][:400], "values_match": False}
         r["sec"] = round(time.time() - t, 2)
         ok = r.get("values_match")
         bad += ok is False

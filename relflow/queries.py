@@ -616,3 +616,128 @@ def _f14(spark, sf):
     nu, ni = TR.train_step(req, neg, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
     return _long(nu, "user_id", "id").withColumn("side", F.lit("user")).unionByName(
         _long(ni, "item_id", "id").withColumn("side", F.lit("item")))
+
+
+# ------------------------------------------------------------- G operators
+
+from relflow.operators import evaluation as G  # noqa: E402
+from relflow.operators import topk as TK  # noqa: E402
+
+TOPK = 10
+BUCKET = 10
+
+ITEMS_LONG = f"""ivl AS (SELECT item_id, CAST(generate_subscripts(factors, 1) - 1 AS INTEGER) AS pos, unnest(factors) AS v
+  FROM ({fx.ITEM_VECTORS_SQL}) x)"""
+USERS_LONG = f"""uvl AS (SELECT user_id, CAST(generate_subscripts(factors, 1) - 1 AS INTEGER) AS pos, unnest(factors) AS v
+  FROM ({fx.USER_VECTORS_SQL}) x)"""
+BRUTE_SQL = f"""WITH {ITEMS_LONG}, {USERS_LONG},
+sc AS (SELECT u.user_id, i.item_id, sum(u.v * i.v) AS score FROM uvl u JOIN ivl i ON u.pos = i.pos GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id DESC) AS rank FROM sc)"""
+TOPK_SQL = BRUTE_SQL + f"\nSELECT user_id, rank, item_id, {_sql_r6('score')} AS score FROM rk WHERE rank <= {TOPK}"
+
+
+@q("length_buckets", f"""WITH {ITEMS_LONG},
+nr AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM ivl GROUP BY item_id),
+rk AS (SELECT *, row_number() OVER (ORDER BY norm DESC, item_id DESC) - 1 AS rank FROM nr),
+bk AS (SELECT *, rank // {BUCKET} AS bucket FROM rk)
+SELECT item_id, {_sql_r6('norm')} AS norm, rank, bucket,
+  {_sql_r6(f'max(norm) OVER (PARTITION BY bucket)')} AS bucket_max,
+  {_sql_r6(f'min(norm) OVER (PARTITION BY bucket)')} AS bucket_min FROM bk""")
+def _g1(spark, sf):
+    res = TK.length_buckets(fx.item_vectors(spark, sf), BUCKET)
+    return res.select("item_id", r6("norm").alias("norm"), "rank", "bucket",
+                      r6("bucket_max").alias("bucket_max"), r6("bucket_min").alias("bucket_min"))
+
+
+def _topk_query(prune):
+    def run(spark, sf):
+        res = TK.top_k(fx.user_vectors(spark, sf), fx.item_vectors(spark, sf), TOPK, prune=prune,
+                       bucket_size=BUCKET, n_focus=5, t=2.5)
+        return res.select("user_id", "rank", "item_id", r6("score").alias("score"))
+    return run
+
+
+QUERIES["top_k"] = _topk_query(None)
+ORACLES["top_k"] = TOPK_SQL
+for _p in ("length", "coord", "incr", "lc", "li"):
+    QUERIES[f"top_k_{_p}"] = _topk_query(_p)
+    ORACLES[f"top_k_{_p}"] = TOPK_SQL
+
+
+@q("focus_set", f"""WITH {USERS_LONG},
+r AS (SELECT user_id, pos, row_number() OVER (PARTITION BY user_id ORDER BY v * v DESC, pos ASC) AS rank FROM uvl)
+SELECT user_id, rank, pos AS coord FROM r WHERE rank <= 5""")
+def _g7(spark, sf):
+    fs = TK.focus_set(fx.user_vectors(spark, sf), 5)
+    return fs.select("user_id", F.posexplode("focus").alias("rank", "coord")) \
+             .select("user_id", (F.col("rank") + 1).cast("long").alias("rank"), "coord")
+
+
+SHARDS = 3
+
+
+@q("merge_top_k", TOPK_SQL)
+def _g8(spark, sf):
+    users, items = fx.user_vectors(spark, sf), fx.item_vectors(spark, sf)
+    # partial lists from item shards, as separate workers would hold them
+    parts = None
+    for s in range(SHARDS):
+        shard = items.filter(F.pmod(F.col("item_id"), F.lit(SHARDS)) == s)
+        p = TK.top_k(users, shard, TOPK, prune="li", bucket_size=BUCKET)
+        parts = p if parts is None else parts.unionByName(p)
+    m = TK.merge_top_k(parts.withColumnRenamed("user_id", "request_id"), TOPK, target_col=None, ts_col=None)
+    return m.select(F.col("request_id").alias("user_id"), F.col("rank").cast("long").alias("rank"),
+                    "item_id", r6("score").alias("score"))
+
+
+EVAL_SQL = f"""{BRUTE_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)},
+{REQUESTS_SQL.replace('SELECT row_number()', 'dummy AS (SELECT 1), req AS (SELECT row_number()', 1)}),
+rq AS (SELECT req.*, epoch(o.o_orderdate) AS ts FROM req JOIN orders o ON o.o_orderkey = req.k1
+       WHERE req.user_id IN (SELECT user_id FROM uvl)),
+ev AS (SELECT rq.request_id, rq.ts,
+         COALESCE(1.0 / (log2(CAST(rk.rank AS DOUBLE)) + 1.0), 0.0) AS ndcg
+       FROM rq LEFT JOIN rk ON rk.user_id = rq.user_id AND rk.item_id = rq.item_id AND rk.rank <= {TOPK})"""
+
+
+def evaluations(spark, sf):
+    users = fx.user_vectors(spark, sf)
+    req = requests(spark, sf).join(users.select("user_id"), "user_id", "left_semi") \
+        .withColumn("ts", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    ranked = TK.top_k(users.join(req.select("user_id").distinct(), "user_id", "left_semi"),
+                      fx.item_vectors(spark, sf), TOPK, prune="li", bucket_size=BUCKET)
+    return G.ndcg(ranked, req)
+
+
+@q("ndcg", EVAL_SQL + f"\nSELECT request_id, {_sql_r6('ndcg')} AS ndcg FROM ev")
+def _g9(spark, sf):
+    return evaluations(spark, sf).select("request_id", r6("ndcg").alias("ndcg"))
+
+
+@q("daily_ndcg", EVAL_SQL + f"""
+SELECT CAST(floor(ts / 86400) AS BIGINT) AS day, count(*) AS n, {_sql_r6('avg(ndcg)')} AS mean_ndcg FROM ev GROUP BY ALL""")
+def _g11(spark, sf):
+    res = G.daily_ndcg(evaluations(spark, sf))
+    return res.select("day", "n", r6("mean_ndcg").alias("mean_ndcg"))
+
+
+GAP = 2 * 86400
+
+
+@q("daily_ndcg_sessions", EVAL_SQL + f""",
+tt AS (SELECT DISTINCT CAST(ts AS BIGINT) AS t FROM ev),
+st AS (SELECT t, CASE WHEN lag(t) OVER (ORDER BY t) IS NULL OR t - lag(t) OVER (ORDER BY t) > {GAP} THEN t END AS s FROM tt),
+ss AS (SELECT t, last_value(s IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_start FROM st)
+SELECT ss.session_start, CAST(floor(ev.ts / 86400) AS BIGINT) AS day, count(*) AS n, {_sql_r6('avg(ndcg)')} AS mean_ndcg
+FROM ev JOIN ss ON ss.t = CAST(ev.ts AS BIGINT) GROUP BY ALL""")
+def _g12(spark, sf):
+    ev = evaluations(spark, sf).withColumn("t", F.col("ts"))
+    res = G.daily_ndcg_sessions(ev, GAP, time_col="t", ts_col="ts")
+    return res.select("session_start", "day", "n", r6("mean_ndcg").alias("mean_ndcg"))
+
+
+@q("recommend", f"""{BRUTE_SQL}
+SELECT user_id, rank, item_id, {_sql_r6('score')} AS score FROM rk
+WHERE rank <= {TOPK} AND user_id IN (SELECT DISTINCT user_id FROM ({RATINGS}) r)""")
+def _g13(spark, sf):
+    res = TK.recommend(ratings(spark, sf), fx.user_vectors(spark, sf), fx.item_vectors(spark, sf), TOPK)
+    return res.select("user_id", "rank", "item_id", r6("score").alias("score"))
