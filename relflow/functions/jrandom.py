@@ -36,18 +36,43 @@ def lcg_next(s: Column) -> Column:
     return (mid * F.lit(1 << 24) + lo * F.lit(_M_LO) + F.lit(ADDEND)).bitwiseAND(F.lit(MASK48))
 
 
+def _jump_table(n: int) -> list[tuple[int, int]]:
+    """``(A_j, C_j)`` with ``state_j = A_j * state_0 + C_j  mod 2^48`` for
+    ``j = 1..n`` (composition of the affine LCG step with itself)."""
+    out, a, c = [], 1, 0
+    for _ in range(n):
+        a, c = (a * MULTIPLIER) & MASK48, (c * MULTIPLIER + ADDEND) & MASK48
+        out.append((a, c))
+    return out
+
+
+def _mulmod48(a: Column, s: Column) -> Column:
+    """``a * s mod 2^48`` for 48-bit ``a``, ``s`` from 24-bit halves."""
+    a_hi, a_lo = F.shiftright(a, 24), a.bitwiseAND(F.lit(_LOW24))
+    s_hi, s_lo = F.shiftright(s, 24), s.bitwiseAND(F.lit(_LOW24))
+    mid = (a_hi * s_lo + a_lo * s_hi).bitwiseAND(F.lit(_LOW24))
+    return (mid * F.lit(1 << 24) + a_lo * s_lo).bitwiseAND(F.lit(MASK48))
+
+
 def next_doubles(seed: Column, k: int, lo: float = 0.0, hi: float = 1.0) -> Column:
-    """``array(lo + (hi - lo) * nextDouble())`` of length ``k`` for ``new Random(seed)``."""
-    init = F.struct(scramble(seed).alias("s"), F.array().cast("array<double>").alias("out"))
+    """``array(lo + (hi - lo) * nextDouble())`` of length ``k`` for ``new Random(seed)``.
+
+    Element ``i`` uses states ``2i+1`` and ``2i+2``, each reached directly from
+    the seed state by a precomputed jump, so the elements are independent
+    (one ``transform``, no sequential accumulator)."""
+    table = _jump_table(2 * k)
+    jumps = F.array(*[F.struct(F.lit(a1).cast("long").alias("a1"), F.lit(c1).cast("long").alias("c1"),
+                               F.lit(a2).cast("long").alias("a2"), F.lit(c2).cast("long").alias("c2"))
+                      for (a1, c1), (a2, c2) in zip(table[0::2], table[1::2])])
+    s0 = scramble(seed)
 
-    def step(acc, _i):
-        s1 = lcg_next(acc["s"])
-        s2 = lcg_next(s1)
+    def elem(j):
+        s1 = (_mulmod48(j["a1"], s0) + j["c1"]).bitwiseAND(F.lit(MASK48))
+        s2 = (_mulmod48(j["a2"], s0) + j["c2"]).bitwiseAND(F.lit(MASK48))
         u = (F.shiftright(s1, 22) * F.lit(1 << 27) + F.shiftright(s2, 21)).cast("double") * F.lit(DOUBLE_UNIT)
-        v = F.lit(float(lo)) + F.lit(float(hi) - float(lo)) * u if (lo, hi) != (0.0, 1.0) else u
-        return F.struct(s2.alias("s"), F.concat(acc["out"], F.array(v)).alias("out"))
+        return F.lit(float(lo)) + F.lit(float(hi) - float(lo)) * u if (lo, hi) != (0.0, 1.0) else u
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(int(k))), init, step)["out"]
+    return F.transform(jumps, elem)
 
 
 def java_random_doubles(seed: int, k: int) -> list[float]:

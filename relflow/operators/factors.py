@@ -71,33 +71,50 @@ def vector_norms(df: DataFrame, col: str = "factors") -> DataFrame:
 
 # ---------------------------------------------------------------- updates
 
-def sum_deltas(deltas: DataFrame, id_col: str, col: str = "delta") -> DataFrame:
-    """Elementwise sum of all delta vectors per id. ``posexplode`` then a
-    ``groupBy(id, pos)`` with map-side partial sums: a popular id is reduced
-    before the shuffle, never collected whole."""
-    e = deltas.select(F.col(id_col), F.posexplode(col).alias("_pos", "_x"))
-    s = e.groupBy(id_col, "_pos").agg(F.sum("_x").alias("_x"))
-    return s.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda t: t["_x"]).alias(col))
+def vector_size(df: DataFrame, col: str) -> int:
+    """Length of the vectors of a column (all vectors of a table share it)."""
+    r = df.select(F.size(col)).filter(F.col(f"size({col})") > 0).first()
+    return int(r[0]) if r else 0
+
+
+def sum_deltas(deltas: DataFrame, keys, col: str = "delta", k: int | None = None) -> DataFrame:
+    """Elementwise sum of all delta vectors per key: ``k`` plain ``sum``
+    aggregates over the array elements - a code-generated hash aggregation
+    with map-side partial sums, so a popular id is reduced before the
+    shuffle and never collected."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    k = k or vector_size(deltas, col)
+    s = deltas.groupBy(*keys).agg(*[F.sum(F.col(col)[i]).alias(f"_s{i}") for i in range(k)])
+    return s.select(*keys, F.array(*[F.col(f"_s{i}") for i in range(k)]).alias(col))
+
+
+def _add_checked(base: Column, delta: Column) -> Column:
+    return F.when(delta.isNull(), base).otherwise(V.add(base, delta))
+
+
+def _nan_guard(df: DataFrame, col: str = "factors") -> DataFrame:
+    """Fail on a NaN coordinate, as the reference's vector sum does."""
+    return df.withColumn(col, F.when(V.has_nan(F.col(col)), F.raise_error(F.lit("factor is not a number")))
+                         .otherwise(F.col(col)))
 
 
 def apply_deltas(factors: DataFrame, deltas: DataFrame, id_col: str,
-                 init: Callable[[Column], Column] | None = None, col: str = "delta") -> DataFrame:
+                 init: Callable[[Column], Column] | None = None, col: str = "delta",
+                 k: int | None = None) -> DataFrame:
     """Add the (summed) delta vectors to the vectors of the same id.
 
     Ids without a vector are initialised with ``init`` (as the reference's
     server does) or, without ``init``, keep no row. Fails on a NaN result, like
     the reference's vector sum. Ids without deltas are returned unchanged.
     """
-    d = sum_deltas(deltas, id_col, col)
+    d = sum_deltas(deltas, id_col, col, k)
     how = "full_outer" if init is not None else "left"
     j = factors.join(d, id_col, how)
     base = F.col("factors")
     if init is not None:
         base = F.coalesce(base, init(F.col(id_col)))
-    new = F.when(F.col(col).isNull(), base).otherwise(V.add(base, F.col(col)))
-    checked = F.when(V.has_nan(new), F.raise_error(F.lit("factor is not a number"))).otherwise(new)
-    return j.select(F.col(id_col), checked.alias("factors"))
+    new = j.select(F.col(id_col), _add_checked(base, F.col(col)).alias("factors"))
+    return _nan_guard(new)
 
 
 def pull_or_init(ids: DataFrame, factors: DataFrame, id_col: str,
@@ -109,11 +126,13 @@ def pull_or_init(ids: DataFrame, factors: DataFrame, id_col: str,
 
 def sgd_updater(lr: float) -> Callable[[Column, Column, Column], tuple[Column, Column]]:
     """F9 default: ``e = r - u.v``; ``du = lr*e*v``, ``dv = lr*e*u`` (no
-    regularisation, both from the pre-update vectors)."""
+    regularisation, both from the pre-update vectors). Returns
+    ``(step, du, dv)``: ``step`` = ``lr*e`` is computed once per row, the
+    deltas refer to it by column."""
 
     def upd(r: Column, u: Column, v: Column):
-        e = r - V.dot(u, v)
-        return V.scale(v, F.lit(lr) * e), V.scale(u, F.lit(lr) * e)
+        step = F.lit(lr) * (r - V.dot(u, v))
+        return step, (lambda c: V.scale(v, c)), (lambda c: V.scale(u, c))
 
     return upd
 
@@ -122,11 +141,17 @@ def sgd_deltas(ratings: DataFrame, users: DataFrame, items: DataFrame, lr: float
                updater=None, user_col: str = "user_id", item_col: str = "item_id",
                rating_col: str = "rating") -> DataFrame:
     """Per rating: the user and item deltas (F9). ``users``/``items`` must hold
-    a vector for every id (see ``pull_or_init``). ``updater(r, u, v) -> (du, dv)``
-    is pluggable (Column functions)."""
+    a vector for every id (see ``pull_or_init``). ``updater(r, u, v) ->
+    (step, du_fn, dv_fn)`` is pluggable (Column functions; ``step`` is a
+    per-row scalar materialised once, ``du_fn(step)``/``dv_fn(step)`` give
+    the delta vectors)."""
     upd = updater or sgd_updater(lr)
     u = users.select(F.col(user_col), F.col("factors").alias("_u"))
     v = items.select(F.col(item_col), F.col("factors").alias("_v"))
     j = ratings.join(u, user_col).join(v, item_col)
-    du, dv = upd(F.col(rating_col).cast("double"), F.col("_u"), F.col("_v"))
-    return j.withColumn("du", du).withColumn("dv", dv).drop("_u", "_v")
+    step, du_fn, dv_fn = upd(F.col(rating_col).cast("double"), F.col("_u"), F.col("_v"))
+    # the scalar goes through its own projection; the optimizer does not
+    # inline a non-cheap expression into two higher-order functions
+    j = j.withColumn("_step", step)
+    return j.withColumn("du", du_fn(F.col("_step"))).withColumn("dv", dv_fn(F.col("_step"))) \
+            .drop("_u", "_v", "_step")

@@ -549,9 +549,13 @@ SELECT 'user' AS side, id, pos, {_sql_r6('v')} AS v FROM nu
 UNION ALL SELECT 'item', id, pos, {_sql_r6('v')} FROM ni""")
 def _f10(spark, sf):
     r, users, items = _step_tables(spark, sf)
-    nu, ni = TR.sgd_step(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
-    return _long(nu, "user_id", "id").withColumn("side", F.lit("user")).unionByName(
-        _long(ni, "item_id", "id").withColumn("side", F.lit("item")))
+    m = TR.sgd_step_model(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
+    return _long_sides(m)
+
+
+def _long_sides(m: DataFrame) -> DataFrame:
+    return m.select("side", "id", F.posexplode("factors").alias("pos", "v")) \
+            .select("side", "id", "pos", r6("v").alias("v"))
 
 
 @q("model_updates", STEP_SQL + f"""
@@ -613,9 +617,8 @@ def _f14(spark, sf):
     r, users, items = _step_tables(spark, sf)
     req = requests(spark, sf)
     neg = negatives(spark, sf, req)
-    nu, ni = TR.train_step(req, neg, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
-    return _long(nu, "user_id", "id").withColumn("side", F.lit("user")).unionByName(
-        _long(ni, "item_id", "id").withColumn("side", F.lit("item")))
+    m = TR.train_step(req, neg, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
+    return _long_sides(m)
 
 
 # ------------------------------------------------------------- G operators
