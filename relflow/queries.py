@@ -744,3 +744,28 @@ WHERE rank <= {TOPK} AND user_id IN (SELECT DISTINCT user_id FROM ({RATINGS}) r)
 def _g13(spark, sf):
     res = TK.recommend(ratings(spark, sf), fx.user_vectors(spark, sf), fx.item_vectors(spark, sf), TOPK)
     return res.select("user_id", "rank", "item_id", r6("score").alias("score"))
+
+
+# ------------------------------------------------- iterative (rows-only checks)
+
+from relflow.operators import mf as MF  # noqa: E402
+from relflow.streaming import training as ST  # noqa: E402
+
+
+@q("train_mf")
+def _f11(spark, sf):
+    """DSGD over all ratings, reference defaults (10 factors, lr 0.01, +-0.01 init)."""
+    r = ratings(spark, sf).select("user_id", "item_id", "rating", "ts", "k1", "k2")
+    users, items = MF.train_mf(r, k=K, lr=LR, order=("ts", "k1", "k2"))
+    return _long(users, "user_id", "id").withColumn("side", F.lit("user")).unionByName(
+        _long(items, "item_id", "id").withColumn("side", F.lit("item")))
+
+
+@q("prequential_eval")
+def _g10(spark, sf):
+    """Test-then-train over four time slices of all rating requests
+    (reference defaults: K 100, lr 0.4, 9 negatives, 10 factors)."""
+    r = ratings(spark, sf).withColumn("ts", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    req = assign_ordered_ids(r, ["ts", "k1", "k2", "item_id", "user_id"], out="request_id")
+    ev = ST.prequential_eval(req, k=100, lr=0.4, n_neg=9, seed=NEG_SEED, factors=K, slices=4)
+    return ev.select("request_id", "user_id", "item_id", "ts", r6("ndcg").alias("ndcg"))
