@@ -56,14 +56,33 @@ def apply_np(m, s):
         return np.minimum(np.maximum(_scale(a, s) + b, lo), hi)
 
 
+def _grouped_cumsum(b, group):
+    import pandas as pd
+    return pd.Series(b).groupby(group, sort=False).cumsum().to_numpy(dtype=np.float64)
+
+
 def segmented_scan_np(maps, seg_start):
-    """Inclusive ordered scan of maps within segments (Hillis-Steele).
+    """Inclusive ordered scan of maps within segments.
 
     ``maps``: tuple of 4 arrays (one map per row, rows in fold order);
     ``seg_start``: int array, index of the first row of each row's segment.
-    Returns the prefix maps ``m_i o ... o m_start``, ``O(n log n)`` vector ops.
+    Returns the prefix maps ``m_i o ... o m_start``.
+
+    Unclamped maps with ``a`` in {0, 1} (counts, sums, last values) take an
+    ``O(n)`` path: a running sum restarted at the segment start and at every
+    constant map (``a == 0``), summed in row order. Everything else runs the
+    ``O(n log n)`` log-step (Hillis-Steele) composition.
     """
     n = len(seg_start)
+    a, b, lo, hi = (np.asarray(x, dtype=np.float64) for x in maps)
+    if n and np.all(np.isneginf(lo)) and np.all(np.isposinf(hi)) and np.all((a == 0.0) | (a == 1.0)):
+        idx = np.arange(n)
+        last_reset = np.maximum.accumulate(np.where(a == 0.0, idx, -1))
+        reset = last_reset >= seg_start
+        base = np.where(reset, last_reset, seg_start)
+        pb = _grouped_cumsum(b, base)
+        pa = np.where(reset, 0.0, 1.0)
+        return pa, pb, np.full(n, -INF), np.full(n, INF)
     cur = tuple(np.asarray(x, dtype=np.float64).copy() for x in maps)
     idx = np.arange(n)
     d = 1

@@ -10,11 +10,13 @@ compose associatively, and run in three steps:
    skew - a hot key is cut into contiguous pieces over many partitions - then
    one vectorised pass per partition (``mapInPandas``) folds each piece
    (a *run* = rows of one key inside one partition).
-2. Runs are folded per key in partition order. A key has at most one run per
-   partition, so these groups are bounded by the partition count.
-3. (scans only) Each row gets the state carried into its run (a join on
-   ``(keys, partition)``, broadcast only when the counted carry table is under
-   ``relflow.broadcast.maxRows``) and applies its prefix map - a JVM expression.
+2. Only a partition's first and last run can continue in a neighbouring
+   partition; every other run is a whole key, finished in place by a JVM
+   expression (no shuffle of the runs). The at most ``2 * partitions`` edge
+   runs are folded per key in partition order.
+3. (scans only) Each row of an edge run gets the state carried into its run
+   from a carry table of at most ``2 * partitions`` rows - a broadcast with a
+   proven bound - and every row applies its prefix map, a JVM expression.
 
 Scans materialise step 1 with a reliable ``checkpoint()`` into the cluster's
 checkpoint folder, so that step 3 joins exactly the rows and partition ids of
@@ -119,6 +121,7 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
         pid = TaskContext.get().partitionId()
         carry = None           # dict describing the open run at the end of the last batch
         pending = None         # rows-mode batch held back until its last run is known closed
+        first_batch = True
         for pdf in it:
             n = len(pdf)
             if n == 0:
@@ -126,6 +129,10 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
             start = _run_starts(pdf, keys)
             first_key = _key_tuple(pdf, keys, 0)
             cont = carry is not None and carry["key"] == first_key
+            # segment 0 is the partition's first run if this is the first batch,
+            # or if it continues the first run (edge runs: first and last)
+            seg0_first = first_batch or (cont and carry["first"])
+            first_batch = False
             if pending is not None:
                 pdf_prev = pending
                 pdf_prev.iloc[-1, pdf_prev.columns.get_loc("_last")] = not cont
@@ -188,7 +195,11 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
                     x0[seg == 0] = carry["x0"][c]
                 maps[c] = maps[c] + (x0,)
             last_i = n - 1
+            edge = np.zeros(n, dtype=bool)
+            if seg0_first:
+                edge[seg == 0] = True
             new_carry = {
+                "first": bool(edge[last_i]),
                 "key": _key_tuple(pdf, keys, last_i),
                 "rk": int(rk[last_i]),
                 "maps": {c: tuple(float(x[last_i]) for x in maps[c][0]) for c in chans},
@@ -213,6 +224,7 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
                     out[f"_x0_{c}"] = x0
                 lastflag = np.zeros(n, dtype=bool)
                 lastflag[:-1] = start[1:]
+                out["_edge"] = edge
                 out["_last"] = lastflag
                 drop = [v for c in chans for v in _cols(c).values()]
                 pending = out.drop(columns=drop)
@@ -222,6 +234,7 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
                 if len(ends):
                     rows = {k: [pdf[k].iat[i] for i in ends] for k in keys}
                     rows["_pid"] = np.full(len(ends), pid, dtype=np.int32)
+                    rows["_edge"] = edge[ends]
                     rows["_n"] = (rk[ends] + 1).astype(np.int64)
                     if time_col is not None:
                         rows["_t0"] = t0[ends]
@@ -236,6 +249,7 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
                 def summary(nc=new_carry, pdf_last=pdf.iloc[[last_i]]):
                     rows = {k: [pdf_last[k].iat[0]] for k in keys}
                     rows["_pid"] = np.array([pid], dtype=np.int32)
+                    rows["_edge"] = np.array([True])   # the partition's last run
                     rows["_n"] = np.array([nc["rk"] + 1], dtype=np.int64)
                     if time_col is not None:
                         rows["_t0"] = [nc["t0"]]
@@ -249,6 +263,7 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
             carry = new_carry
         if pending is not None:
             pending.iloc[-1, pending.columns.get_loc("_last")] = True
+            pending.iloc[-1, pending.columns.get_loc("_edge")] = True   # the partition's last run
             yield pending
         elif carry is not None and not rows_mode:
             yield carry["summary"]()
@@ -258,7 +273,8 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
 
 def _run_schema(df_schema: T.StructType, keys, channels, time_col):
     fields = [df_schema[k] for k in keys]
-    fields += [T.StructField("_pid", T.IntegerType()), T.StructField("_n", T.LongType())]
+    fields += [T.StructField("_pid", T.IntegerType()), T.StructField("_edge", T.BooleanType()),
+               T.StructField("_n", T.LongType())]
     if time_col is not None:
         fields += [T.StructField("_t0", T.DoubleType()), T.StructField("_tl", T.DoubleType())]
     for c in channels:
@@ -331,6 +347,20 @@ def _fold_runs(keys, channels, lam, time_col, mode):
     return fn
 
 
+def _finish_complete(runs: DataFrame, keys, channels, time_col) -> DataFrame:
+    """Final state of keys that lie inside one partition: apply the run's
+    composed map to the initial state (JVM expression, no shuffle)."""
+    cols = [F.col(k) for k in keys] + [F.col("_n").alias("n")]
+    if time_col is not None:
+        cols += [F.col("_t0").alias("t_first"), F.col("_tl").alias("t_last")]
+    for c in channels:
+        cn = c.name
+        s0 = F.col(f"_x0_{cn}") if c.init == "first" else F.lit(float(c.init))
+        pre = (F.col(f"_pa_{cn}"), F.col(f"_pb_{cn}"), F.col(f"_plo_{cn}"), F.col(f"_phi_{cn}"))
+        cols.append(cm.apply_col(pre, s0).alias(cn))
+    return runs.select(*cols)
+
+
 def ordered_fold(df: DataFrame, keys, order, channels, *, time_col=None, lam=0.0) -> DataFrame:
     """Final state per key after folding its rows in ``order``.
 
@@ -338,15 +368,20 @@ def ordered_fold(df: DataFrame, keys, order, channels, *, time_col=None, lam=0.0
     and ``lam`` every map's ``a`` is multiplied by ``exp(-lam * dt)``, ``dt``
     the time since the key's previous row (0 for its first row).
     """
+    checkpoint_dir(df.sparkSession)
     parts, _ = _prepare(df, keys, order, channels, [], time_col)
     run_schema = _run_schema(parts.schema, keys, channels, time_col)
     runs = parts.mapInPandas(_local_fold(keys, channels, time_col, lam, False, False), run_schema)
+    # one row per (key, partition): read twice below, so materialised once
+    runs = runs.checkpoint()
     out_fields = [parts.schema[k] for k in keys] + [T.StructField("n", T.LongType())]
     if time_col is not None:
         out_fields += [T.StructField("t_first", T.DoubleType()), T.StructField("t_last", T.DoubleType())]
     out_fields += [T.StructField(c.name, T.DoubleType()) for c in channels]
-    return runs.groupBy(*keys).applyInPandas(_fold_runs(keys, channels, lam, time_col, "total"),
-                                             T.StructType(out_fields))
+    complete = _finish_complete(runs.filter(~F.col("_edge")), keys, channels, time_col)
+    edge = runs.filter(F.col("_edge")).groupBy(*keys).applyInPandas(
+        _fold_runs(keys, channels, lam, time_col, "total"), T.StructType(out_fields))
+    return complete.unionByName(edge)
 
 
 def ordered_scan(df: DataFrame, keys, order, channels, *, keep=(), time_col=None, lam=0.0,
@@ -371,13 +406,14 @@ def ordered_scan(df: DataFrame, keys, order, channels, *, keep=(), time_col=None
         if exclusive:
             fields += [T.StructField(f"_{nm}_{c.name}", T.DoubleType()) for nm in ("ea", "eb", "elo", "ehi")]
         fields.append(T.StructField(f"_x0_{c.name}", T.DoubleType()))
-    fields.append(T.StructField("_last", T.BooleanType()))
+    fields += [T.StructField("_edge", T.BooleanType()), T.StructField("_last", T.BooleanType())]
     drop = {v for c in channels for v in _cols(c.name).values()}
     schema = T.StructType([f for f in fields if f.name not in drop])
     local = parts.mapInPandas(_local_fold(keys, channels, time_col, lam, True, exclusive), schema)
     local = local.checkpoint(eager=True)
 
-    runs = local.filter(F.col("_last")).select(
+    # only edge runs (a partition's first and last) can continue across partitions
+    runs = local.filter(F.col("_last") & F.col("_edge")).select(
         *keys, "_pid", (F.col("_rk") + 1).alias("_n"),
         *([F.col("_t0"), F.col(time_col).cast("double").alias("_tl")] if time_col is not None else []),
         *[F.col(f"_{nm}_{c.name}") for c in channels for nm in ("pa", "pb", "plo", "phi", "x0")])
@@ -387,9 +423,8 @@ def ordered_scan(df: DataFrame, keys, order, channels, *, keep=(), time_col=None
         T.StructField(f"_s_prev_{c.name}", T.DoubleType()) for c in channels]
     carry = runs.groupBy(*keys).applyInPandas(_fold_runs(keys, channels, lam, time_col, "carry"),
                                               T.StructType(carry_fields))
-    carry = carry.checkpoint(eager=True)
-    if carry.count() <= broadcast_row_limit(spark):
-        carry = F.broadcast(carry)
+    # at most two rows per partition: the broadcast is bounded by the partition count
+    carry = F.broadcast(carry)
     cond = [local[k].eqNullSafe(carry[k]) for k in keys] + [local["_pid"] == carry["_pid"]]
     j = local.join(carry, cond, "left")
 
