@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -64,3 +65,22 @@ def scan_partitions(spark: SparkSession) -> int:
 def broadcast_row_limit(spark: SparkSession) -> int:
     """Row bound under which a derived, counted table may be broadcast."""
     return int(spark.conf.get("relflow.broadcast.maxRows", "2000000"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``relflow`` importable in the Python workers (as ``--py-files``
+    does): zip the package once per SparkContext and ``addPyFile`` it; Spark
+    distributes the zip to every executor."""
+    import shutil
+
+    import relflow
+
+    sc = spark.sparkContext
+    if getattr(sc, "_relflow_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(relflow.__file__))
+    out = tempfile.mkdtemp(prefix="relflow-pyfiles-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "relflow"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir="relflow")
+    sc.addPyFile(archive)
+    sc._relflow_shipped = True
