@@ -1,7 +1,7 @@
 """Exact maximum-inner-product top-K with loss-free LEMP pruning.
 
 Plan: the item catalogue is sorted by vector length (descending) and cut into
-chunks whose size is checked against ``relflow.topk.maxChunkRows``; each
+chunks of at most ``relflow.topk.maxChunkBytes`` (64 MiB) of vectors; each
 chunk is broadcast and users stream past it in ``mapInPandas`` batches, each
 user carrying its running top-K (``topk_items``, ``topk_scores``). A catalogue
 of one chunk is one pass; a larger one is a loop over chunks with the user
@@ -170,9 +170,13 @@ def top_k(users: DataFrame, items: DataFrame, k: int, prune: str | None = None,
     "lc", "li"; all give the same rows.
     """
     spark = users.sparkSession
+    from relflow.operators.factors import vector_size
     from relflow.session import checkpoint_dir
     checkpoint_dir(spark)
-    limit = max_chunk_rows or int(spark.conf.get("relflow.topk.maxChunkRows", "1000000"))
+    # chunk = the broadcast unit: bounded in bytes (8 bytes per coordinate)
+    dim = max(1, vector_size(items, col))
+    max_bytes = int(spark.conf.get("relflow.topk.maxChunkBytes", str(64 << 20)))
+    limit = max_chunk_rows or max(1, max_bytes // (8 * dim + 16))
     ranked = length_buckets(items.select(item_col, col), size=limit, id_col=item_col, col=col)
     ranked = ranked.join(items.select(item_col, col), item_col).checkpoint()
     chunks = [r[0] for r in ranked.select("bucket").distinct().orderBy("bucket").collect()]
@@ -200,7 +204,7 @@ def top_k(users: DataFrame, items: DataFrame, k: int, prune: str | None = None,
             state = state.checkpoint()
     z = state.select(F.col(user_col), F.posexplode(F.arrays_zip("topk_scores", "topk_items")).alias("pos", "z"))
     z = z.filter(F.col("z.topk_items") != F.lit(int(np.iinfo(np.int64).min)))
-    return z.select(F.col(user_col), (F.col("pos") + 1).alias("rank"),
+    return z.select(F.col(user_col), (F.col("pos") + 1).cast("long").alias("rank"),
                     F.col("z.topk_items").alias(item_col), F.col("z.topk_scores").alias("score"))
 
 

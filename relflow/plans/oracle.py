@@ -41,6 +41,23 @@ def _rows(pdf: pd.DataFrame):
     return cols, sorted(out, key=repr)
 
 
+_DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                  "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "FLOAT": "float",
+                  "SMALLINT": "smallint", "TINYINT": "tinyint"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> list[str]:
+    """Columns whose Spark type differs from the DuckDB result type."""
+    rel = con.sql(sql)
+    duck_t = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    out = []
+    for c, t in spark_df.dtypes:
+        d = duck_t.get(c)
+        if d is None or _DUCK_TO_SPARK.get(d.split("(")[0], d) != t:
+            out.append(f"{c}: spark={t} duckdb={d}")
+    return out
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s = spark_df.toPandas()
     d = con.execute(sql).df()
@@ -48,6 +65,7 @@ def compare(spark_df, con, sql: str) -> dict:
     dc, dr = _rows(d)
     res = {"spark_rows": len(sr), "oracle_rows": len(dr), "cols_match": sc == dc,
            "spark_cols": sc, "oracle_cols": dc}
+    res["type_mismatches"] = type_mismatches(spark_df, con, sql)
     res["values_match"] = res["cols_match"] and sr == dr
     if not res["values_match"] and res["cols_match"]:
         ss, ds = set(sr), set(dr)

@@ -21,6 +21,7 @@ def test_query_matches_oracle(spark, name):
     assert r["cols_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["values_match"], r
+    assert not r["type_mismatches"], r
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
