@@ -74,15 +74,19 @@ def day_ms(col: str | Column) -> Column:
 
 
 def event_time_locf(df: DataFrame, day_col: str = "day", partition_cols=("source",),
-                    order_cols=EVENT_ORDER, default: int = DEFAULT_LAST_DAY_MS, out: str = "ts") -> DataFrame:
+                    order_cols=EVENT_ORDER, default: int = DEFAULT_LAST_DAY_MS, out: str = "ts",
+                    keep=None) -> DataFrame:
     """Event time = the day in ms; a null day reuses the last non-null day seen
     before it in the same partition (B5), ``default`` before any.
 
     Partition and order are the caller's (the reference uses the task a row
     happens to land in). Runs as a skew-safe ordered scan: one partition value
-    may hold all rows and still spreads over every task.
+    may hold all rows and still spreads over every task. The scan materialises
+    its rows, so ``keep`` (default: all columns) should name only the columns
+    needed downstream.
     """
-    keep = [c for c in df.columns if c not in set(partition_cols) | set(order_cols)]
+    keep = [c for c in (keep if keep is not None else df.columns)
+            if c not in set(partition_cols) | set(order_cols)]
     x = day_ms(day_col).cast("double")
     ch = Channel("_locf", a=F.when(x.isNull(), F.lit(1.0)).otherwise(F.lit(0.0)),
                  b=F.coalesce(x, F.lit(0.0)), lo=F.lit(-INF), hi=F.lit(INF), init=float(default))
@@ -102,6 +106,8 @@ def signed_interactions(events: DataFrame, translate: dict | None = None, lam_ti
     ev = with_both_actors(events)
     if "source" in partition_cols and "source" not in ev.columns:
         ev = ev.withColumn("source", F.lit("events"))
-    ev = event_time_locf(ev, partition_cols=partition_cols, order_cols=order_cols)
+    # only what the relation operators read goes through the scan
+    ev = event_time_locf(ev, partition_cols=partition_cols, order_cols=order_cols,
+                         keep=[A1, A2, "quadClass", "day"])
     ev = canonical_pair(ev)
     return quad_score(ev, translate)
