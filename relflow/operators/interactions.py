@@ -99,7 +99,7 @@ def event_time_or(df: DataFrame, col: str = "dateAdded", default: int = -1, out:
     return df.withColumn(out, F.coalesce(day_ms(col), F.lit(default).cast("long")))
 
 
-def signed_interactions(events: DataFrame, translate: dict | None = None, lam_time: str = "locf",
+def signed_interactions(events: DataFrame, translate: dict | None = None,
                         partition_cols=("source",), order_cols=EVENT_ORDER) -> DataFrame:
     """B1 -> B5 -> B2 -> B3: ``actor1, actor2, quadClass, ts, score`` + order columns,
     the input of the relation-score operators."""
