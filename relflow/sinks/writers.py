@@ -63,19 +63,22 @@ def write_snapshots(snap: DataFrame, path: str | None = None, parts: int = 1, **
 # ------------------------------------------------------ latest state
 
 class LatestStateTable:
-    """Last value per pair, replaceable as a whole.
-
-    Versions are parquet folders ``v=<batch_id>`` under ``path``; the file
-    ``_current`` names the committed one. ``upsert(changes, batch_id)`` takes
-    the last change per key in the batch (``max_by`` over ``order``), merges
-    it with the current version (full outer join, the newer side wins) and
-    commits a new version. Re-running a committed batch id is a no-op, so a
+    """Last value per key, replaceable as a whole.
+
+    Storage: a compacted base version plus delta versions, parquet folders
+    under ``path``; the file ``_current`` names them. ``upsert(changes,
+    batch_id)`` writes only the last change per key of that batch
+    (``max_by`` over ``order``) as a new delta, so a micro-batch costs its own
+    size, not the state's; every ``compact_every`` batches the deltas are
+    folded into a new base. ``read()`` resolves the newest version of each key
+    (newer batch wins). Re-running a committed batch id is a no-op, so a
     ``foreachBatch`` retry after a failure is idempotent.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys=("actor1", "actor2"), order=("ts",)):
+    def __init__(self, spark: SparkSession, path: str, keys=("actor1", "actor2"), order=("ts",),
+                 compact_every: int = 16):
         self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), list(keys), list(order)
-        self._fs = None
+        self.compact_every = compact_every
 
     # pointer file through the Hadoop file system, so any shared store works
     def _hfs(self):
@@ -112,26 +115,45 @@ class LatestStateTable:
         p = self._read_pointer()
         return None if p is None else p["batch_id"]
 
+    def _resolve(self, p) -> DataFrame | None:
+        dirs = ([f"{self.path}/base={p['base']}"] if p.get("base") is not None else []) + \
+               [f"{self.path}/v={b}" for b in p.get("deltas", [])]
+        if not dirs:
+            return None
+        allv = self.spark.read.parquet(*dirs)
+        if len(dirs) == 1:
+            return allv.drop("_v")
+        cols = [c for c in allv.columns if c != "_v"]
+        return allv.groupBy(*self.keys).agg(F.max_by(F.struct(*cols), F.col("_v")).alias("_r")).select("_r.*")
+
     def read(self) -> DataFrame | None:
         p = self._read_pointer()
-        if p is None:
-            return None
-        return self.spark.read.parquet(f"{self.path}/v={p['batch_id']}")
+        return None if p is None else self._resolve(p)
 
     def upsert(self, changes: DataFrame, batch_id: int) -> None:
-        cur_id = self.current_batch()
-        if cur_id is not None and batch_id <= cur_id:
+        p = self._read_pointer() or {"batch_id": None, "base": None, "deltas": []}
+        if p["batch_id"] is not None and batch_id <= p["batch_id"]:
             return  # already committed
         cols = [c for c in changes.columns]
         ordering = F.struct(*[F.col(o) for o in self.order])
-        last = changes.groupBy(*self.keys).agg(F.max_by(F.struct(*cols), ordering).alias("_r")).select("_r.*")
-        old = self.read()
+        last = changes.groupBy(*self.keys).agg(F.max_by(F.struct(*cols), ordering).alias("_r")) \
+                      .select("_r.*").withColumn("_v", F.lit(int(batch_id)).cast("long"))
+        last.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        p = {"batch_id": int(batch_id), "base": p.get("base"), "deltas": list(p.get("deltas", [])) + [int(batch_id)]}
+        old = None
+        if len(p["deltas"]) >= self.compact_every:
+            merged = self._resolve(p).withColumn("_v", F.lit(int(batch_id)).cast("long"))
+            merged.write.mode("overwrite").parquet(f"{self.path}/base={batch_id}")
+            old = p
+            p = {"batch_id": int(batch_id), "base": int(batch_id), "deltas": []}
+        self._write_pointer(p)
         if old is not None:
-            merged = old.join(last.select(*self.keys), self.keys, "left_anti").unionByName(last)
-        else:
-            merged = last
-        merged.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self._write_pointer({"batch_id": int(batch_id)})
+            # superseded versions: removed only after the new pointer is committed
+            fs, jvm = self._hfs()
+            stale = ([f"base={old['base']}"] if old.get("base") is not None else []) + \
+                    [f"v={b}" for b in old["deltas"]]
+            for d in stale:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{d}"), True)
 
 
 def upsert_latest(feed: DataFrame, path: str, keys=("actor1", "actor2"), order=("ts",),

@@ -27,7 +27,9 @@ class _Versioned:
         self.t._write_pointer(dict(meta, batch_id=int(batch_id), has_data=df is not None))
 
     def read(self, p):
-        return self.t.spark.read.parquet(f"{self.t.path}/v={p['data_batch']}") if p and p.get("data_batch") is not None else None
+        if not p or p.get("data_batch") is None:
+            return None
+        return self.t.spark.read.parquet(f"{self.t.path}/v={p['data_batch']}")
 
 
 def stream_daily_ndcg_sessions(evals: DataFrame, gap: int, state_path: str, out_path: str, checkpoint: str,

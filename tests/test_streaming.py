@@ -113,3 +113,14 @@ def test_messages_json(spark):
     assert change_messages(feed).first().value == '{"actor1":"B","actor2":"A","score":0.25}'
     snap = feed.withColumn("request_ts", F.lit(1))
     assert snapshot_messages(snap).first().value == '[{"_1":"B","_2":"A","_3":0.25}]'
+
+
+def test_latest_state_table_compaction(spark, tmpdir_run):
+    t = LatestStateTable(spark, f"{tmpdir_run}/latest2", compact_every=3)
+    for b in range(7):
+        t.upsert(spark.createDataFrame([("B", "A", b, float(b)), (f"K{b}", "A", b, -1.0)],
+                                       "actor1 string, actor2 string, ts long, score double"), b)
+    got = {(r.actor1, r.actor2): r.score for r in t.read().collect()}
+    assert got[("B", "A")] == 6.0 and len(got) == 8
+    p = t._read_pointer()
+    assert p["base"] == 5 and p["deltas"] == [6]
