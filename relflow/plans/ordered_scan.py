@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relflow.functions import clampmap as cm
-from relflow.session import broadcast_row_limit, checkpoint_dir, scan_partitions
+from relflow.session import checkpoint_dir, scan_partitions
 
 INF = float("inf")
 
@@ -171,7 +171,6 @@ def _local_fold(keys, channels, time_col, lam, rows_mode, exclusive):
                 if exclusive:
                     ex = [np.empty(n) for _ in range(4)]
                     ident = (1.0, 0.0, -INF, INF)
-                for_first = None
                 pre = cm.segmented_scan_np(m, seg)
                 if cont:
                     sel = seg == 0
@@ -293,8 +292,6 @@ def _fold_runs(keys, channels, lam, time_col, mode):
         pdf = pdf.sort_values("_pid", kind="stable").reset_index(drop=True)
         m = len(pdf)
         acc = None
-        tl_prev = None
-        states_prev = []
         out_rows = []
         for j in range(m):
             r = pdf.iloc[j]

@@ -1,6 +1,5 @@
 """Factor initialisers and updates."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
