@@ -10,6 +10,10 @@ than the pair's last one) is handled by the ``late`` policy:
   the last time moves back, exactly as the reference does (a NaN from
   ``0 * inf`` is reset to 0 before the clamp);
 * ``"no_decay"``: ``dt`` is floored at 0 and the last time never moves back.
+
+A pair's rows of one micro-batch are folded as composed clamp maps (one
+vectorised scan); the exact per-row loop runs only when a non-finite value
+could appear (the reference's NaN reset after a huge time jump back).
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from relflow.fixtures import EVENT_ORDER
+from relflow.functions import clampmap as cm
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAIR = ("actor1", "actor2")
@@ -57,9 +62,52 @@ class RelationScoreProcessor(StatefulProcessor):
             s, n, t = self.state.get()
         else:
             s, n, t = 0.0, 0.0, int(ts[0])
-        raw = np.empty(len(pdf))
-        nrm = np.empty(len(pdf))
-        for i in range(len(pdf)):
+        fast = self._fold_vectorised(ts, xs, s, n, t)
+        if fast is not None:
+            raw, nrm, (s, n, t) = fast
+        else:
+            raw, nrm, (s, n, t) = self._fold_loop(ts, xs, s, n, t)
+        self.state.update((float(s), float(n), int(t)))
+        out = pdf[[c for c in self.out_cols if c in pdf.columns]].copy()
+        out["raw_score"] = raw
+        out["norm"] = nrm
+        out["score"] = raw / nrm
+        yield out
+
+    def _fold_vectorised(self, ts, xs, s, n, t):
+        """The batch's rows of one pair as composed clamp maps (one log-step
+        scan) applied to the stored state; None when a non-finite value could
+        appear (then the exact loop runs, with the reference's NaN reset)."""
+        prev_t = np.empty(len(ts), dtype=np.int64)
+        prev_t[0] = t
+        if self.late == "reference":
+            prev_t[1:] = ts[:-1]
+            last = int(ts[-1])
+        else:
+            run = np.maximum.accumulate(np.maximum(ts, t))
+            prev_t[1:] = run[:-1]
+            last = int(run[-1])
+        dt = (ts - prev_t).astype(np.float64)
+        if self.late == "no_decay":
+            dt = np.maximum(dt, 0.0)
+        with np.errstate(over="ignore"):
+            a = np.exp(-self.lam * dt)
+        if not np.all(np.isfinite(a)) or a.max() > 1e150:
+            return None
+        b, bound = self.bound, np.zeros(len(ts))
+        seg = np.zeros(len(ts), dtype=np.int64)
+        ps = cm.segmented_scan_np((a, xs, xs - b, xs + b), seg)
+        pn = cm.segmented_scan_np((a, bound + 1.0, bound + 1.0 - b, bound + 1.0 + b), seg)
+        raw = cm.apply_np(ps, np.float64(s))
+        nrm = cm.apply_np(pn, np.float64(n))
+        if not (np.all(np.isfinite(raw)) and np.all(np.isfinite(nrm))):
+            return None
+        return raw, nrm, (float(raw[-1]), float(nrm[-1]), last)
+
+    def _fold_loop(self, ts, xs, s, n, t):
+        raw = np.empty(len(ts))
+        nrm = np.empty(len(ts))
+        for i in range(len(ts)):
             dt = int(ts[i]) - t
             if self.late == "no_decay" and dt < 0:
                 dt = 0
@@ -69,12 +117,7 @@ class RelationScoreProcessor(StatefulProcessor):
             n = _decayed(n, f, self.bound) + 1.0
             t = int(ts[i]) if self.late == "reference" else max(t, int(ts[i]))
             raw[i], nrm[i] = s, n
-        self.state.update((float(s), float(n), int(t)))
-        out = pdf[[c for c in self.out_cols if c in pdf.columns]].copy()
-        out["raw_score"] = raw
-        out["norm"] = nrm
-        out["score"] = raw / nrm
-        yield out
+        return raw, nrm, (s, n, t)
 
     def close(self) -> None:
         pass

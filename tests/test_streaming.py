@@ -124,3 +124,18 @@ def test_latest_state_table_compaction(spark, tmpdir_run):
     assert got[("B", "A")] == 6.0 and len(got) == 8
     p = t._read_pointer()
     assert p["base"] == 5 and p["deltas"] == [6]
+
+
+def test_vectorised_stream_fold_equals_loop():
+    import numpy as np
+    from relflow.streaming.relation_state import RelationScoreProcessor
+    rng = np.random.default_rng(9)
+    for late in ("reference", "no_decay"):
+        p = RelationScoreProcessor(1e-8, 3.0, late, "ts", "score", [], [])
+        ts = rng.integers(0, 10**9, 200)           # unsorted: late rows included
+        xs = rng.choice([0.5, -0.5, 1.0, -2.0], 200)
+        fast = p._fold_vectorised(ts, xs, 0.7, 1.5, int(ts[0]) + 5)
+        slow = p._fold_loop(ts, xs, 0.7, 1.5, int(ts[0]) + 5)
+        assert fast is not None
+        assert np.allclose(fast[0], slow[0], atol=1e-9) and np.allclose(fast[1], slow[1], atol=1e-9)
+        assert fast[2][2] == slow[2][2]
