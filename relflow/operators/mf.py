@@ -77,10 +77,14 @@ def train_mf(ratings: DataFrame, k: int = 10, lr: float = 0.01,
              item_col: str = "item_id", rating_col: str = "rating") -> tuple[DataFrame, DataFrame]:
     """Factorise ``ratings`` (F11). Defaults as the reference main: 10 factors,
     learning rate 0.01, initial values in [-0.01, 0.01) from
-    ``java.util.Random(id)``. Returns ``(users, items)`` factor tables."""
+    ``java.util.Random(id)``. ``strata`` (default: the task slots, at most 64)
+    is the number of blocks trained in parallel. Returns ``(users, items)``
+    factor tables."""
     spark = ratings.sparkSession
     checkpoint_dir(spark)
-    d = strata or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # d blocks run in parallel per sub-epoch and each sub-epoch is one job:
+    # match the task slots, capped so that an epoch stays a few dozen jobs
+    d = strata or max(1, min(spark.sparkContext.defaultParallelism, 64))
     init_user = init_user or FX.ranged_init(k, -0.01, 0.01)
     init_item = init_item or FX.ranged_init(k, -0.01, 0.01)
     r = ratings.select(F.col(user_col).cast("long").alias("user_id"), F.col(item_col).cast("long").alias("item_id"),
