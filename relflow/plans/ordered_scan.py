@@ -84,9 +84,15 @@ def _prepare(df: DataFrame, keys, order, channels, keep, time_col):
                 ch.lo.cast("double").alias(cn["lo"]), ch.hi.cast("double").alias(cn["hi"]),
                 (ch.first if ch.first is not None else ch.b).cast("double").alias(cn["f"])]
     narrow = df.select(*sel)
-    n = scan_partitions(df.sparkSession)
-    parts = narrow.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)]) \
-                  .sortWithinPartitions(*(list(keys) + list(order)))
+    cols = [F.col(c) for c in list(keys) + list(order)]
+    # without a fixed count AQE may merge adjacent small ranges (still
+    # contiguous and sorted); partition ids are read inside the same execution
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.adaptive.enabled", "true") == "true":
+        parts = narrow.repartitionByRange(*cols)
+    else:
+        parts = narrow.repartitionByRange(scan_partitions(spark), *cols)
+    parts = parts.sortWithinPartitions(*(list(keys) + list(order)))
     return parts, names
 
 
