@@ -136,7 +136,7 @@ def _fold_group(items: Column, lam: float, o: Column) -> Column:
 
 def relation_scores_by_day(df: DataFrame, lam: float = DEFAULT_LAMBDA, bound: float = DEFAULT_BOUND,
                            ts_col: str = "ts", score_col: str = "score", order=EVENT_ORDER,
-                           fanout: int = 1024, keys=PAIR) -> DataFrame:
+                           fanout: int = 16384, keys=PAIR) -> DataFrame:
     """C5 computed as a JVM-only tree of piece folds (C6); same result.
 
     An event is the map ``S -> clamp(a*S + x, x-bound, x+bound)``; maps compose,
