@@ -114,3 +114,43 @@ def test_composition_equals_sequential(ms, s0):
     last = tuple(x[-1:] for x in pre)
     got = float(cm.apply_np(last, np.array([s0]))[0])
     assert abs(got - seq) < 1e-9 * max(1.0, abs(seq))
+
+
+def test_many_partitions_and_small_batches(spark):
+    """Keys spanning many partitions and many Arrow batches inside one."""
+    pdf, rows = _data(5, n=6000, hot_share=0.5)
+    lam, bound = 1e-9, 2.0
+    seq, final = _sequential(rows, lam, bound)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.execution.arrow.maxRecordsPerBatch": "50",
+            "spark.sql.shuffle.partitions": "13"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(pdf).repartition(7)
+        feed = C.relation_scores_feed(df, lam=lam, bound=bound).toPandas()
+        state = C.relation_scores(df, lam=lam, bound=bound).toPandas()
+        locf_in = pdf.assign(v=np.where(np.arange(len(pdf)) % 3 == 0, np.nan, pdf.k1.astype(float)))
+        x = F.col("v")
+        ch = Channel("f", a=F.when(x.isNull() | F.isnan(x), 1.0).otherwise(0.0),
+                     b=F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x), init=-1.0)
+        locf = ordered_scan(spark.createDataFrame(locf_in[["actor1", "k1", "v"]]), ["actor1"], ["k1"], [ch],
+                            keep=["v"], exclusive=True).toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {(r.actor1, r.k1): (r.raw_score, r.norm) for r in feed.itertuples()}
+    assert len(got) == len(seq)
+    for key, oid, s, n in seq:
+        gs, gn = got[(key, oid)]
+        assert abs(gs - s) < 1e-9 * max(1, abs(s)) and abs(gn - n) < 1e-9 * max(1, n)
+    for r in state.itertuples():
+        assert abs(r.raw_score - final[r.actor1][0]) < 1e-9 * max(1, abs(final[r.actor1][0]))
+    # last non-null value and previous value, checked against pandas
+    exp = locf_in.sort_values(["actor1", "k1"])
+    exp_f = exp.groupby("actor1")["v"].ffill().fillna(-1.0)
+    got_f = locf.set_index(["actor1", "k1"]).loc[list(zip(exp.actor1, exp.k1))]
+    assert np.allclose(got_f["f"].to_numpy(), exp_f.to_numpy())
+    prev = exp_f.groupby(exp.actor1).shift(1)
+    assert np.allclose(got_f["f_prev"].to_numpy(dtype=float), prev.to_numpy(dtype=float), equal_nan=True)
