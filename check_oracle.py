@@ -26,6 +26,7 @@ def main(argv):
             df = QUERIES[n](spark, sf)
             if n in ORACLES:
                 r = compare(df, con, ORACLES[n])
+                r["values_match"] = r["values_match"] and not r["type_mismatches"]
             else:
                 r = {"rows": df.count(), "values_match": None}
         except Exception as e:  # report and go on
