@@ -78,3 +78,15 @@ def test_model_text_and_writers(spark, tmpdir_run):
     q = write_model_stream(st, f"{tmpdir_run}/mstream", f"{tmpdir_run}/ck2", trigger={"availableNow": True})
     q.awaitTermination()
     assert spark.read.text(f"{tmpdir_run}/mstream").count() == 3
+
+
+def test_change_messages_stream_sink(spark, tmpdir_run):
+    from relflow.sinks.writers import write_changes
+    os.makedirs(f"{tmpdir_run}/feed")
+    pd.DataFrame({"actor1": ["B", "C"], "actor2": ["A", "A"], "score": [0.5, -0.25]}) \
+        .to_parquet(f"{tmpdir_run}/feed/f.parquet", index=False)
+    st = spark.readStream.schema("actor1 string, actor2 string, score double").parquet(f"{tmpdir_run}/feed")
+    q = write_changes(st, f"{tmpdir_run}/msgs", checkpoint=f"{tmpdir_run}/ck", trigger={"availableNow": True})
+    q.awaitTermination()
+    got = sorted(r.value for r in spark.read.text(f"{tmpdir_run}/msgs").collect())
+    assert got == ['{"actor1":"B","actor2":"A","score":0.5}', '{"actor1":"C","actor2":"A","score":-0.25}']
