@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relflow.llm import minhash
+from relflow.llm import minhash, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op4_superminhash_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_hypergeometric_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents"))).drop("source")
+
+
+@_query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack_documents(_table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
