@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relflow.llm import minhash, mixing, packing
+from relflow.llm import minhash, mixing, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _op5_sql() -> str:
+    """Per rule the lengths of the matches and of the texts between them give the spans."""
+    parts, spans = [], []
+    for i, r in enumerate(secrets.RULES):
+        pat = r.pattern.replace("'", "''")
+        parts.append(f"""regexp_extract_all(t, '{pat}', 0) AS m{i}, regexp_extract_all(t, '{pat}', {r.group}) AS g{i},
+            string_split_regex(t, '{pat}') AS s{i}""")
+        at = f"list_sum(list_transform(s{i}[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:j - 1], lambda x: length(x))), 0)"
+        spans.append(f"""list_transform(list_filter(range(1, len(m{i}) + 1), lambda j: length(g{i}[j]) >= {r.least}),
+            lambda j: {{'start': CAST({at} AS BIGINT), 'rule_no': {i}, 'stop': CAST({at} + length(m{i}[j]) AS BIGINT), 'kind': '{r.kind}'}})""")
+    text = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || s.stop), ',')"
+    base = "list_filter(sp, lambda s: s.rule_no < 3)"
+    n = ", ".join(f"CAST(len(list_filter(sp, lambda s: s.kind = '{k}')) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT doc_id, {', '.join(parts)} FROM d),
+        q AS (SELECT doc_id, list_sort(list_concat({', '.join(spans)})) AS sp FROM p)
+        SELECT doc_id, {n}, sha256({text.format(base)}) AS base_sha256, {text.format('sp')} AS spans FROM q"""
+
+
+def _of_rule(number: int):
+    return lambda s: s["rule_no"] == number
+
+
+@_query("op5_blob_ledger_secrets", _op5_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    paths, entries = secrets.scan_blobs(versions)
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["rule_no"] < len(secrets.BASE))
+    count = [F.size(F.filter(spans, _of_rule(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    return secrets.findings(paths, entries).select(
+        F.col("path").alias("doc_id"), *count, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(spans).alias("spans"))
+
+
 @_query("op8_hypergeometric_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents"))).drop("source")
