@@ -124,6 +124,11 @@ def _words_of(x: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarra
     first[inner] = solid[inner]
     last[inner - 1] = solid[inner - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return span_hashes(x, s, e, lower), s
+
+
+def span_hashes(x: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of the bytes of each span ``x[s:e]``, the same wherever it stands."""
     p, inv = _powers(len(x))
     key = ("codes", lower)
     if key not in _TABLES:
@@ -134,7 +139,7 @@ def _words_of(x: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarra
     for i in np.flatnonzero(e - s > _LONG_WORD):
         w = x[s[i]:e[i]].tobytes()
         h[i] = int.from_bytes(hashlib.blake2b(w.lower() if lower else w, digest_size=8).digest(), "little")
-    return h, s
+    return h
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

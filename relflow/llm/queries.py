@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relflow.llm import minhash, mixing, packing, secrets, urls
+from relflow.llm import importance, minhash, mixing, packing, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_importance_resampling")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _op2_sql() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
     return f"""WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
