@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relflow.llm import importance, minhash, mixing, packing, secrets, urls
+from relflow.llm import forest, importance, minhash, mixing, packing, pivots, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(spans).alias("spans"))
 
 
+@_query("op6_pivot_permutation_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op7_weak_supervision_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op8_hypergeometric_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents"))).drop("source")
@@ -100,3 +110,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack_documents(_table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+@_query("op10_projection_forest")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
