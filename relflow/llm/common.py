@@ -7,6 +7,7 @@ import hashlib
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,15 +209,42 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096):
 
 # --------------------------------------------------------- connected components
 
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of some edges, as edges from each node to its component's
+    smallest node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[:len(u)], at[len(u):]
+    root = np.arange(len(nodes))
+    while True:     # hook roots to smaller ones, then jump
+        a, b = root[u], root[v]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[far], nodes[root[far]]
+
+
+def _contract(frames):
+    held = list(frames)
+    if held:
+        u, v = spanning(np.concatenate([f["u"].to_numpy() for f in held]), np.concatenate([f["v"].to_numpy() for f in held]))
+        yield pd.DataFrame({"u": u, "v": v})
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: ``(node, component)`` with
     the smallest node as component, for every node but the components' own
-    smallest ones. Union-find in distributed form: alternating large-star and
-    small-star rounds until nothing changes; each round is aggregates and
-    equi-joins on node ids, stored in the shared folder."""
+    smallest ones. Union-find in distributed form: each task first contracts the
+    edges it holds, then large-star and small-star rounds - aggregates and
+    equi-joins on node ids - run until all edges lead straight to a smallest node.
+    Each round is stored in the shared folder."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, seen = stored(e), None
-    while True:
+    e = stored(e)
+    # a node's edges are dealt to tasks of bounded size, whatever its degree
+    e = stored(e.mapInPandas(_contract, "u long, v long").distinct())
+    while not _is_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -225,7 +253,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = (large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low2.select("u", F.col("m").alias("v"))))
         e = stored(small.distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each node has one edge, to a node that has none."""
+    ends = e.groupBy("u").agg(F.count("*").alias("out")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).cast("long").alias("out")).distinct())
+    wrong = ends.groupBy("u").agg(F.sum("out").alias("out"), F.count("*").alias("roles")).where("out > 1 OR roles > 1")
+    return not wrong.limit(1).count()

@@ -18,9 +18,9 @@ band): a class's degree is the number of classes in its buckets. In each bucket
 every class is compared with the class of highest degree - for a family of
 edited copies that is their common origin, whose bands are the usual ones. This
 is linear in the bucket. What stays apart in a bucket of three or more is then
-compared exactly: all pairs of different components, in blocks of bounded size
-inside tasks that keep only pairs whose signatures agree well enough to be worth
-a check. Every link is confirmed on the full sets.
+compared exactly, every two classes of different components, on their full sets:
+the bucket is cut into blocks of bounded size, and each two blocks meet in a task
+that returns the links it needs to connect what they connect, never all pairs.
 
 Rows: every input row gets one output row. Null text counts as empty; an empty
 set links with nothing (``component_id = doc_id``). A null ``doc_id`` can't be
@@ -36,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from relflow.llm import common as C
 
@@ -142,50 +143,99 @@ def _full_sets(batches, k: int):
                 ["class_id", "k1", "k2", "items"])
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose full sets are similar enough."""
-    wanted = C.stored(pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct())
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The full sets ``(class_id, items)`` of the wanted classes (class_id), stored."""
+    wanted = C.stored(wanted.distinct())
     texts = docs.join(wanted.withColumnRenamed("class_id", "doc_id"), "doc_id", "left_semi")
     sets = texts.mapInArrow(lambda it: _full_sets(it, k), "class_id long, k1 long, k2 long, items array<long>")
     # a doc_id may have other rows with other texts: only the class's own set counts
-    sets = sets.join(classes.join(wanted, "class_id", "left_semi").select("class_id", "k1", "k2"), ["class_id", "k1", "k2"], "left_semi")
-    sets = C.stored(sets.select("class_id", "items"))
+    own = classes.join(wanted, "class_id", "left_semi").select("class_id", "k1", "k2")
+    return C.stored(sets.join(own, ["class_id", "k1", "k2"], "left_semi").select("class_id", "items"))
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose full sets are similar enough."""
     both = (pairs.join(sets.select(F.col("class_id").alias("b"), F.col("items").alias("y")), "b")
             .join(sets.select(F.col("class_id").alias("a"), F.col("items").alias("x")), "a"))
     inter = F.size(F.array_intersect("x", "y"))
     return both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b").distinct()
 
 
-def _cross_pairs(rows, percent: int, slack: float, m: int):
-    """Pairs of different components in two blocks of a bucket (or within one)
-    whose signatures agree in a share of at least ``percent`` less ``slack``."""
-    need = (percent / 100 - slack) * m
-    for pdf in rows:
-        out_a, out_b = [], []
+def _shared_elements(xa: np.ndarray, ra: np.ndarray, n: int, xb: np.ndarray, rb: np.ndarray, m: int) -> np.ndarray:
+    """Sizes of the intersections of ``n`` sets with ``m`` sets, given as elements
+    and set numbers."""
+    both = np.intersect1d(xa, xb)
+    out = np.zeros((n, m), np.float32)
+    sides = []
+    for x, r in ((xa, ra), (xb, rb)):
+        at = np.searchsorted(both, x)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == x[hit]
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], r[hit][order]))
+    for c in range(0, len(both), 4096):
+        part = []
+        for (at, r), k in zip(sides, (n, m)):
+            i, j = np.searchsorted(at, [c, c + 4096])
+            z = np.zeros((k, 4096), np.float32)
+            z[r[i:j], at[i:j] - c] = 1
+            part.append(z)
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
+
+
+def _compare(frames, percent: int):
+    """Links between different components in two blocks of a bucket, as far as
+    they are needed to connect what they connect."""
+    for pdf in frames:
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in pdf.itertuples(index=False):
-            ia, ca, na = np.asarray(r.ids), np.asarray(r.comps), np.asarray(r.ns)
-            ib, cb, nb = np.asarray(r.ids2), np.asarray(r.comps2), np.asarray(r.ns2)
-            sa, sb = np.asarray(r.sigs).reshape(-1, m), np.asarray(r.sigs2).reshape(-1, m)
-            for i in range(len(ia)):
-                ok = (cb != ca[i]) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb))
-                if r.same:
-                    ok &= ib > ia[i]
-                j = np.flatnonzero(ok)
-                j = j[(sb[j] == sa[i]).sum(axis=1) >= need]
-                out_a.append(np.minimum(ia[i], ib[j]))
-                out_b.append(np.maximum(ia[i], ib[j]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            ia, ca, na = np.asarray(r.ids), np.asarray(r.comps), np.asarray(r.ns, np.int64)
+            ib, cb, nb = np.asarray(r.ids2), np.asarray(r.comps2), np.asarray(r.ns2, np.int64)
+            may = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+            if not may.any():
+                continue
+            sets = []
+            for items, n, use in ((r.items, na, may.any(axis=1)), (r.items2, nb, may.any(axis=0))):
+                row = np.repeat(np.arange(len(n)), n)
+                keep = use[row]
+                sets += [np.asarray(items)[keep], row[keep], len(n)]
+            inter = _shared_elements(*sets)
+            i, j = np.nonzero(may & (100 * inter >= percent * (na[:, None] + nb - inter)))
+            if len(i):
+                u, v = C.spanning(ia[i], ib[j])
+                us.append(u)
+                vs.append(v)
+        yield pd.DataFrame({"a": np.concatenate(us), "b": np.concatenate(vs)}).drop_duplicates()
+
+
+def _links_between(docs: DataFrame, classes: DataFrame, shared: DataFrame, found: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """Links between classes of different components ``found`` that share a bucket:
+    enough of them to connect what all of them connect."""
+    in_bucket = shared.where("size > 2").join(found, shared["class_id"] == found["node"], "left").select(
+        "bucket", "class_id", "size", F.coalesce("component", "class_id").alias("comp"))
+    split = in_bucket.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
+    members = C.stored(in_bucket.join(split, "bucket"))
+    sets = _sets_of(docs, classes, members.select("class_id"), k)
+    parts = F.ceil(F.col("size") / block)
+    packed = C.stored(members.join(sets, "class_id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "class_id"), "parts"))
+                      .groupBy("bucket", "parts", "part").agg(F.collect_list(F.struct("class_id", "comp", F.size("items").alias("n"), "items")).alias("r"))
+                      .select("bucket", "parts", "part", F.col("r.class_id").alias("ids"), F.col("r.comp").alias("comps"),
+                              F.col("r.n").alias("ns"), F.flatten("r.items").alias("items")))
+    names = ("ids", "comps", "ns", "items")
+    one = packed.where("parts = 1").select(*names, *[F.col(c).alias(c + "2") for c in names])
+    many = packed.where("parts > 1")
+    other = many.select("bucket", F.col("part").alias("part2"), *[F.col(c).alias(c + "2") for c in names])
+    many = many.join(other, "bucket").where("part <= part2").select(*names, *[c + "2" for c in names])
+    return one.unionByName(many).mapInPandas(lambda it: _compare(it, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 16, rows: int = 4,
-                    block: int = 256, slack: float = 0.2) -> DataFrame:
+                    block: int = 256) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``
     (doc_id, text). Texts are linked when ``100 * |A n B| >= percent * |A u B|``;
     a pair at the limit of 0.85 shares one of 16 bands of 4 places with a
-    probability of 0.99999. ``slack``: how far below the limit a pair's share of
-    equal signature places may lie and still be checked (over 4 deviations)."""
+    probability of 0.99999."""
     m = bands * rows
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = C.stored(docs.mapInArrow(lambda it: _sketch(it, k, m),
@@ -206,23 +256,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     fits = F.least("n", "n_centre") * 100 >= F.greatest("n", "n_centre") * percent
     star = C.stored(shared.join(centre, "bucket").where(fits & (F.col("class_id") != F.col("centre")))
                     .select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct())
-    links = C.stored(_confirmed(docs, classes, star, k, percent))
-    found = C.components(links, "a", "b")
-
-    # buckets that still hold several components: the exact way for the rest
-    labelled = shared.where("size > 2").join(found, shared["class_id"] == found["node"], "left").select(
-        "bucket", "class_id", "n", "size", F.coalesce("component", "class_id").alias("comp"))
-    split = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-    left = (labelled.join(split, "bucket").join(classes.select("class_id", "sig"), "class_id")
-            .withColumn("part", F.pmod(F.xxhash64(F.lit(7), "class_id"), F.ceil(F.col("size") / block))))
-    packed = C.stored(left.groupBy("bucket", "part").agg(F.collect_list(F.struct("class_id", "comp", "n", "sig")).alias("r"))
-                      .select("bucket", "part", F.col("r.class_id").alias("ids"), F.col("r.comp").alias("comps"),
-                              F.col("r.n").alias("ns"), F.flatten("r.sig").alias("sigs")))
-    other = packed.select("bucket", *[F.col(c).alias(c + "2") for c in ("part", "ids", "comps", "ns", "sigs")])
-    blocks = packed.join(other, "bucket").where("part <= part2").withColumn("same", F.col("part") == F.col("part2")).drop("bucket", "part", "part2")
-    rest = blocks.mapInPandas(lambda it: _cross_pairs(it, percent, slack, m), "a long, b long").distinct()
-    rest = C.stored(rest.join(star, ["a", "b"], "left_anti"))
-    more = _confirmed(docs, classes, rest, k, percent)
+    ends = star.select(F.col("a").alias("class_id")).unionByName(star.select(F.col("b").alias("class_id")))
+    links = C.stored(_confirmed(_sets_of(docs, classes, ends, k), star, percent))
+    more = _links_between(docs, classes, shared, C.components(links, "a", "b"), k, percent, block)
 
     # rows that share a doc_id but not a text belong together
     members = named.join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select("doc_id", "class_id")
@@ -236,3 +272,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the near-duplicates: of each group the document with the
+    smallest ``doc_id`` stays, of rows that repeat a ``doc_id`` the first by all
+    their columns. Rows without a ``doc_id`` stay."""
+    kept = C.stored(near_duplicates(docs, **options).where("kept").select("doc_id").distinct())
+    rows = docs.where(F.col("doc_id").isNotNull()).join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    rows = rows.withColumn("__row", first).where("__row = 1").drop("__row")
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
