@@ -97,7 +97,7 @@ def near_vectors(table: DataFrame, least: float = 0.9, length: int = 6, shared:
     classes = C.stored(V.classes(rows).select("k1", "k2", "class_id", "copies", "vec"))
     n = classes.count()
     picked = classes.orderBy(F.xxhash64(F.lit(seed), "k1", "k2"), "class_id").limit(max(length, 2 * math.isqrt(n))).select("vec").collect()
-    pivots = V.unit(np.array([r["vec"] for r in picked], np.float64).reshape(len(picked), -1))
+    pivots = V.unit(np.array([r["vec"] for r in picked], np.float64)) if picked else np.zeros((0, 0))
     near = min(length, len(picked))
     shared = min(shared, near)
     kind = classes.schema["vec"].dataType.simpleString()

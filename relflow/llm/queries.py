@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relflow.llm import forest, importance, minhash, mixing, packing, pivots, secrets, toxicity, urls
+from relflow.llm import forest, importance, minhash, mixing, packing, pivots, preferences, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,48 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(pages, urls.rule_table(spark)).judge(pages).drop("url")
 
 
+def preference_turns(conversations: DataFrame) -> DataFrame:
+    """Stand-in input: each conversation as the chosen side; the rejected side has
+    the next conversation's last answer (none: an empty one) as its own."""
+    last = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
+    turns = (conversations.join(last, "conv_id", "left").join(other, "conv_id", "left")
+             .select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", "last", F.coalesce("other", F.lit("")).alias("other")))
+    is_last = F.coalesce((F.col("role") == "assistant") & (F.col("turn") == F.col("last.turn")), F.lit(False))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")),
+                    F.struct(F.lit("rejected").alias("side"), F.when(is_last, F.col("other")).otherwise(F.col("text")).alias("text")))
+    return turns.withColumn("s", F.explode(sides)).select("pair_id", "s.side", "turn", "role", "s.text")
+
+
+_OP3_SQL = """
+    WITH l AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+    o AS (SELECT conv_id - 1 AS conv_id, max(text) AS other FROM conversations SEMI JOIN l USING (conv_id, turn) WHERE role = 'assistant' GROUP BY conv_id),
+    t AS (SELECT c.conv_id, c.turn, coalesce(c.role, 'user') AS role, coalesce(c.text, '') AS a,
+                 CASE WHEN c.role = 'assistant' AND c.turn = l.turn THEN coalesce(o.other, '') ELSE coalesce(c.text, '') END AS b
+          FROM conversations c LEFT JOIN l USING (conv_id) LEFT JOIN o USING (conv_id)),
+    g AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': a} ORDER BY turn, role, a) AS c,
+                 list({'turn': turn, 'role': role, 'text': b} ORDER BY turn, role, b) AS r FROM t GROUP BY conv_id),
+    n AS (SELECT *, list_position(list_transform(range(1, len(c) + 1), lambda i: c[i].role = r[i].role AND c[i].text = r[i].text), false) AS p FROM g),
+    m AS (SELECT *, CAST(coalesce(nullif(p, 0) - 1, len(c)) AS INTEGER) AS n_common FROM n),
+    w AS (SELECT conv_id, n_common, c[1:n_common] AS h, c[n_common + 1:] AS x, r[n_common + 1:] AS y FROM m),
+    s AS (SELECT *, list_transform(h, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS hs,
+                 list_transform(x, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS xs,
+                 list_transform(y, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS ys FROM w)
+    SELECT conv_id AS pair_id, n_common, array_to_string(hs, '') AS prompt, array_to_string(xs, '') AS chosen,
+           array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: x[i].role = 'assistant'),
+               lambda i: CAST(length(array_to_string(xs[1:i], '')) - length(x[i].text) - 11 AS BIGINT) || ':' || CAST(length(array_to_string(xs[1:i], '')) - 1 AS BIGINT)), ',') AS chosen_spans,
+           array_to_string(ys, '') AS rejected,
+           array_to_string(list_transform(list_filter(range(1, len(y) + 1), lambda i: y[i].role = 'assistant'),
+               lambda i: CAST(length(array_to_string(ys[1:i], '')) - length(y[i].text) - 11 AS BIGINT) || ':' || CAST(length(array_to_string(ys[1:i], '')) - 1 AS BIGINT)), ',') AS rejected_spans
+    FROM s"""
+
+
+@_query("op3_preference_format", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preferences.format_pairs(preference_turns(_table(spark, sf_dir, "conversations")))
+    return out.withColumns({c: preferences.span_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 @_query("op4_superminhash_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))

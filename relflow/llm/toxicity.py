@@ -8,13 +8,13 @@ matter.
 
 Voters: the seed lexicon's words, and patterns mined from labelled rows - those
 far more common in toxic rows. Every voter groups some patterns of one kind and
-strength and votes "toxic" where the document has one of them. The voter "none"
-speaks where no other does.
+strength and speaks where the document has one of them.
 
 Label model: the votes of all documents, by expectation-maximisation. A
 document's state is toxic or clean; each voter has a rate of speaking in either
-state, and each two voters a correlation within the states. Correlated voters
-share their weight: a voter's log odds count ``1 / (1 + sum of its correlations)``.
+state, and each two voters a correlation within the states. Speech and silence
+both tell. Correlated voters share their weight: a voter's log odds count
+``1 / (1 + sum of its correlations)``.
 Labelled training rows enter with their label, all others with the posterior.
 
 Classifier: logistic regression over the patterns that tell most, trained on the
@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relflow.llm import common as C
+from relflow.llm.importance import separating_limit
 
 U64 = C.U64
 HEADS = (4, 5, 6, 7)        # bytes of a word's beginning
@@ -135,11 +136,11 @@ def mine(rows: DataFrame, least: int, top: int) -> list[tuple[int, int, int]]:
 class Voters:
     hashes: np.ndarray      # pattern hashes
     voter: np.ndarray       # the voter of each
-    n: int                  # voters, without "none"
+    n: int
 
     def votes(self, text: Column) -> Column:
-        """A bit for each voter; the highest one is "none"."""
-        hashes, voter, n = self.hashes, self.voter, self.n
+        """A bit for each voter."""
+        hashes, voter = self.hashes, self.voter
         made: list[Lookup] = []
 
         def vote(texts: pa.Array) -> pa.Array:
@@ -149,7 +150,7 @@ class Voters:
             for a, b, h, doc in _ranges(texts):
                 which, d = made[0].find(h, doc)
                 np.bitwise_or.at(out, a + d, np.int64(1) << voter[which])
-            return pa.array(np.where(out == 0, np.int64(1) << n, out))
+            return pa.array(out)
 
         return F.arrow_udf(vote, "long")(text)
 
@@ -179,13 +180,16 @@ class LabelModel:
     correlations: np.ndarray    # within the states
 
     @property
-    def weights(self) -> np.ndarray:
+    def weights(self) -> tuple[np.ndarray, float]:
+        """What each voter's speech adds to the log odds, and the log odds of silence."""
         share = 1 / (1 + np.maximum(self.correlations, 0).sum(axis=1))
-        return np.log(self.rates[1] / self.rates[0]) * share
+        speech = np.log(self.rates[1] / self.rates[0]) * share
+        silence = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * share
+        return speech - silence, float(np.log(self.prior / (1 - self.prior)) + silence.sum())
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + _bits(votes, self.rates.shape[1]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        w, b = self.weights
+        return 1 / (1 + np.exp(-np.clip(b + _bits(votes, self.rates.shape[1]) @ w, -50, 50)))
 
 
 def _moments(frames, model: LabelModel, trust: float):
@@ -285,13 +289,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
     fitted = C.stored(docs.join(F.broadcast(sample), "doc_id"))     # at most ``fit_rows`` rows of ``sample``
     mined = mine(fitted, least, features)
     made = voters(mined[:voter_patterns], seeds)
-    k = made.n + 1
+    k = made.n
     votes = C.stored(docs.withColumn("votes", made.votes(F.col("text"))).select("doc_id", "votes"))
     marked = votes.join(F.broadcast(sample), "doc_id", "left").select("votes", F.coalesce("toxic", F.lit(-1)).alias("label"))
     marked = C.stored(marked.groupBy("votes", "label").agg(F.count("*").alias("n")))
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     start = np.tile(np.array([[0.02], [0.3]]), (1, k))
-    start[:, -1] = (0.9, 0.1)
     model = label_model(marked, k, max(0.01, min(0.5, n.get(1, 0) / max(1, sum(n.values())))), start)
 
     # training rows: the labelled sample, with the label as one more voter
@@ -302,10 +305,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
     if not len(rows):
         return Classifier(hashes, np.full(len(hashes), 4.0), -2.0), model
     post = model.posterior(rows["votes"].to_numpy())
-    z = np.log(post / (1 - post)) + np.where(rows["label"] == 1, 1, -1) * np.log(0.97 / 0.03)
+    z = np.clip(np.log(post / (1 - post)), -2.5, 2.5) + np.where(rows["label"] == 1, 1, -1) * np.log(0.97 / 0.03)
     q = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    w, b = logistic([np.asarray(x, np.int64) for x in rows["hits"]], q, len(hashes), l2)
-    return Classifier(hashes, w, b), model
+    hits = [np.asarray(x, np.int64) for x in rows["hits"]]
+    w, b = logistic(hits, q, len(hashes), l2)
+    # one half lies where the labelled rows separate best
+    z, toxic = np.array([b + w[x].sum() for x in hits]), (rows["label"] == 1).to_numpy()
+    limit = separating_limit(z[toxic], z[~toxic], 1.0) if toxic.any() and not toxic.all() else 0.0
+    return Classifier(hashes, w, b - (limit if np.isfinite(limit) else 0.0)), model
 
 
 def held_out(doc_id: Column) -> Column:
