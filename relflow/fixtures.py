@@ -110,7 +110,8 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
 def user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < 50)
+    """The existing user model: every embedding as the vector of the user with its id."""
+    e = table(spark, sf_dir, "embeddings")
     scale = (F.when(F.col("vec_id") % 3 == 0, F.lit(0.1)).when(F.col("vec_id") % 3 == 1, F.lit(1.0))
              .otherwise(F.lit(3.0)))
     return e.select(F.col("vec_id").alias("user_id"),
@@ -118,7 +119,8 @@ def user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") >= 50)
+    """The existing item model: every embedding as the vector of the item with its id."""
+    e = table(spark, sf_dir, "embeddings")
     scale = F.lit(0.5) + F.lit(0.1) * (F.col("vec_id") % 10)
     return e.select(F.col("vec_id").alias("item_id"),
                     F.transform("embedding", lambda x: x.cast("double") * scale).alias("factors"))
@@ -128,12 +130,12 @@ USER_VECTORS_SQL = """
 SELECT vec_id AS user_id,
        list_transform(embedding, lambda x: CAST(x AS DOUBLE) *
          CASE vec_id % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 1.0 ELSE 3.0 END) AS factors
-FROM embeddings WHERE vec_id < 50"""
+FROM embeddings"""
 
 ITEM_VECTORS_SQL = """
 SELECT vec_id AS item_id,
        list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (0.5 + 0.1 * (vec_id % 10))) AS factors
-FROM embeddings WHERE vec_id >= 50"""
+FROM embeddings"""
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:

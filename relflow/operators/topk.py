@@ -1,30 +1,31 @@
 """Exact maximum-inner-product top-K with loss-free LEMP pruning.
 
-Plan: the item catalogue is sorted by vector length (descending) and cut into
-chunks of at most ``relflow.topk.maxChunkBytes`` (64 MiB) of vectors; each
-chunk is broadcast and users stream past it in ``mapInPandas`` batches, each
-user carrying its running top-K (``topk_items``, ``topk_scores``). A catalogue
-of one chunk is one pass; a larger one is a loop over chunks with the user
-state checkpointed between them - no cross join, no unbounded broadcast.
-
-Inside a chunk items are in buckets of ``bucket_size`` (by length). For a
+Plan: items are cut into blocks by vector length, of at most
+``relflow.topk.maxBlockBytes`` (8 MiB) of vectors; lengths decrease from block to
+block. First every user meets the block of the longest items, then the blocks
+that can still hold a better one by their greatest length. Users and items of a
+block meet by an equi-join on the block in the sense of a shuffle: a task holds
+the items of one block and streams its users past them, keeping K per user. Users
+are dealt over as many tasks as their number asks for. The K lists of a user,
+one for each block it met, are merged by a window. Nothing but block boundaries
+and counts passes the driver; there is no cross join and no broadcast of items.
+
+Inside a block items are in buckets of ``bucket_size`` (by length). For a
 batch of users, bucket by bucket:
 
 * bucket stop: a user whose k-th score ``theta`` exceeds
-  ``|u| * max_len(bucket)`` (+ margin) is done with this and every later
-  bucket (lengths only decrease);
+  ``|u| * max_len(bucket)`` is done with this and every later bucket;
 * ``prune="length"``: skip items with ``|u| * |p| < theta``;
-* ``prune="coord"``: skip items whose normalised focus coordinate lies outside
-  ``[l_f, u_f]``, the feasible interval for ``u.p >= theta``;
-* ``prune="incr"``: skip items whose partial-product bound on the ``n`` largest
-  user coordinates cannot reach ``theta``;
+* ``prune="coord"``: skip items with ``u_f p_f + |u'| |p'| < theta``, ``f`` the user's
+  largest coordinate and ``u'``, ``p'`` the vectors without it;
+* ``prune="incr"``: the same with the ``n`` largest user coordinates;
 * ``prune="lc"/"li"``: per bucket, length pruning if ``max_len > t * min_len``,
   else coord / incr (LEMP's LC and LI; default ``LI(5, 2.5)``).
 
-Bounds use true norms, ``theta = -inf`` until K items are found, a relative
-margin of 1e-9, and coord / incr only when ``theta >= 0``: pruning never drops
-a true top-K item, so every strategy returns the brute-force result (ties:
-higher score, then higher item id).
+Rest lengths are sums of squares of the other coordinates, so they carry only
+relative rounding errors, and every comparison leaves a margin above the error
+of a product of ``d`` terms: pruning never drops a true top-K item, so every
+strategy returns the brute-force result (ties: higher score, then higher item id).
 """
 
 from __future__ import annotations
@@ -33,13 +34,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from relflow.functions import vectors as V
 from relflow.plans.ordered_scan import Channel, ordered_scan
 
-MARGIN = 1e-9
+EPS = float(np.finfo(np.float64).eps)
 
 
 # --------------------------------------------------------------- G1, G7
@@ -77,156 +77,158 @@ def _topk_merge(cur_s, cur_i, new_s, new_i, k):
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
+def _slack(unorm, pnorm, theta, d):
+    """Above the rounding error of a product of two vectors of ``d`` coordinates
+    and of its bound."""
+    return (4 * d + 32) * EPS * (np.outer(unorm, pnorm) + np.abs(np.where(np.isfinite(theta), theta, 0.0))[:, None])
+
+
 def _bucket_filter(prune, U, unorm, theta, P, pnorm, n_focus, t, bmax, bmin):
     """Mask (users x bucket items) of pairs that may still enter the top-k."""
-    nu, nb = U.shape[0], P.shape[0]
-    keep = np.ones((nu, nb), dtype=bool)
+    nu, d = U.shape
     if prune is None:
-        return keep
+        return np.ones((nu, len(P)), dtype=bool)
     strategy = prune
     if prune in ("lc", "li"):
         strategy = "length" if bmax > t * bmin else ("coord" if prune == "lc" else "incr")
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ub = np.outer(unorm, pnorm)
-        tol = MARGIN * (1.0 + np.abs(theta))[:, None]
-        if strategy == "length":
-            return ub >= theta[:, None] - tol
-        active = theta >= 0
-        th = theta[:, None] / ub                      # needed cosine
-        qn = U / np.where(unorm > 0, unorm, 1.0)[:, None]
-        pn = P / np.where(pnorm > 0, pnorm, 1.0)[:, None]
-        if strategy == "coord":
-            f = np.argmax(qn * qn, axis=1)
-            qf = qn[np.arange(nu), f][:, None]
-            pf = pn[:, f].T                             # users x items
-            # u.p/(|u||p|) = cos(a - b) at best, with cos a = q_f, cos b = p_f;
-            # reaching cos g = th needs |a - b| <= g
-            alpha = np.arccos(np.clip(qf, -1.0, 1.0))
-            gamma = np.arccos(np.clip(th, -1.0, 1.0))
-            lo = np.cos(np.minimum(np.pi, alpha + gamma))
-            hi = np.cos(np.maximum(0.0, alpha - gamma))
-            ok = (pf >= lo - 1e-9) & (pf <= hi + 1e-9) & (th <= 1.0 + 1e-9)
-        else:  # incr
-            order = np.argsort(-(qn * qn), axis=1, kind="stable")[:, :n_focus]
-            qF = np.take_along_axis(qn, order, 1)       # users x n
-            part = np.einsum("un,unb->ub", qF, pn[:, order].transpose(1, 2, 0))
-            pF2 = np.einsum("unb->ub", (pn[:, order].transpose(1, 2, 0)) ** 2)
-            rest = np.sqrt(np.maximum(0.0, 1.0 - np.sum(qF * qF, axis=1)))[:, None] * \
-                np.sqrt(np.maximum(0.0, 1.0 - pF2))
-            ok = part + rest >= th - 1e-9
-        zero = (unorm[:, None] == 0) | (pnorm[None, :] == 0)
-        keep = np.where(active[:, None] & ~zero, ok, True)
-    return keep
-
-
-def _scan_chunk(pdf_iter, k, chunk, prune, bucket_size, n_focus, t):
-    """Fold one broadcast item chunk into the running top-k of each user."""
-    ids, P, pnorm = chunk
-    nb = len(ids)
-    buckets = [(s, min(s + bucket_size, nb)) for s in range(0, nb, bucket_size)]
+    if strategy == "length":
+        best = np.outer(unorm, pnorm)
+    else:
+        n = min(1 if strategy == "coord" else n_focus, d)
+        focus = np.zeros((nu, d))
+        np.put_along_axis(focus, np.argsort(-(U * U), axis=1, kind="stable")[:, :n], 1.0, axis=1)
+        rest_u = np.sqrt(np.einsum("ij,ij->i", U * (1.0 - focus), U))
+        rest_p = np.sqrt((1.0 - focus) @ (P * P).T)
+        best = (U * focus) @ P.T + rest_u[:, None] * rest_p
+    return best >= theta[:, None] - _slack(unorm, pnorm, theta, d)
+
+
+def _scan_block(U, theta0, ids, P, pnorm, k, prune, bucket_size, n_focus, t):
+    """The K best items of one block (lengths descending) for some users, and the
+    number of full products taken. ``theta0``: a score each user's K-th best is
+    known to reach."""
+    m, nb, d = len(U), len(ids), U.shape[1]
+    unorm = np.sqrt(np.einsum("ij,ij->i", U, U))
     none_id = np.iinfo(np.int64).min
-    for pdf in pdf_iter:
-        m = len(pdf)
-        if m == 0:
-            continue
-        U = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["factors"]])
-        unorm = np.sqrt(np.einsum("ij,ij->i", U, U))
-        cur_s = np.full((m, k), -np.inf)
-        cur_i = np.full((m, k), none_id, dtype=np.int64)
-        for r, (vs, vi) in enumerate(zip(pdf["topk_scores"], pdf["topk_items"])):
-            cur_s[r, :len(vs)] = vs
-            cur_i[r, :len(vi)] = vi
-        scored = np.zeros(m, dtype=np.int64)
-        for (s, e) in buckets:
-            theta = cur_s[:, k - 1]
-            bmax, bmin = pnorm[s], pnorm[e - 1]
-            if prune is None:
-                rows = np.arange(m)
-            else:
-                live = ~(unorm * bmax < theta - MARGIN * (1.0 + np.abs(theta)))
-                if not live.any():
-                    break          # lengths only decrease: no later bucket can help
-                rows = np.flatnonzero(live)
-            mask = _bucket_filter(prune, U[rows], unorm[rows], theta[rows], P[s:e], pnorm[s:e],
-                                  n_focus, t, bmax, bmin)
-            sc = np.where(mask, U[rows] @ P[s:e].T, -np.inf)
-            scored[rows] += mask.sum(axis=1)
-            bi = np.where(mask, np.broadcast_to(ids[s:e], sc.shape), none_id)
-            cur_s[rows], cur_i[rows] = _topk_merge(cur_s[rows], cur_i[rows], sc, bi, k)
-        out = pdf.drop(columns=["topk_scores", "topk_items"]).copy()
-        out["topk_scores"] = list(cur_s)
-        out["topk_items"] = list(cur_i)
-        out["n_scored"] = scored
-        yield out
+    cur_s = np.full((m, k), -np.inf)
+    cur_i = np.full((m, k), none_id, dtype=np.int64)
+    scored = np.zeros(m, dtype=np.int64)
+    for s in range(0, nb, bucket_size):
+        e = min(s + bucket_size, nb)
+        theta = np.maximum(cur_s[:, k - 1], theta0)
+        rows = np.arange(m)
+        if prune is not None:
+            rows = np.flatnonzero(unorm * pnorm[s] >= theta - _slack(unorm, pnorm[s:s + 1], theta, d)[:, 0])
+            if not len(rows):
+                break          # lengths only decrease: no later bucket can help
+        mask = _bucket_filter(prune, U[rows], unorm[rows], theta[rows], P[s:e], pnorm[s:e], n_focus, t, pnorm[s], pnorm[e - 1])
+        sc = np.where(mask, U[rows] @ P[s:e].T, -np.inf)
+        scored[rows] += mask.sum(axis=1)
+        bi = np.where(mask, np.broadcast_to(ids[s:e], sc.shape), none_id)
+        cur_s[rows], cur_i[rows] = _topk_merge(cur_s[rows], cur_i[rows], sc, bi, k)
+    return cur_s, cur_i, scored
+
+
+def _scan_parts(frames, k, prune, bucket_size, n_focus, t):
+    """Rows sorted by part, items (by length descending) before users: the lists of
+    each part's users."""
+    part, ids, vecs, held = None, [], [], None
+    for pdf in frames:
+        key = pdf[["block", "salt", "share"]].to_numpy()
+        new = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(pdf)]])
+        for a, b in zip(new[:-1], new[1:]):
+            if a == b:
+                continue
+            if part != tuple(key[a]):
+                part, ids, vecs, held = tuple(key[a]), [], [], None
+            is_user = pdf["is_user"].to_numpy()[a:b]
+            q = a + int(np.count_nonzero(~is_user))
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["factors"].iloc[a:b]])
+            if q > a:
+                ids.append(pdf["id"].to_numpy()[a:q])
+                vecs.append(x[:q - a])
+            if q == b or not ids:
+                continue
+            if held is None:
+                P = np.concatenate(vecs)
+                held = np.concatenate(ids), P, np.sqrt(np.einsum("ij,ij->i", P, P))
+                order = np.argsort(-held[2], kind="stable")
+                held = tuple(h[order] for h in held)
+            users = pdf["id"].to_numpy()[q:b]
+            for s in range(0, b - q, 1024):
+                U = x[q - a + s:q - a + s + 1024]
+                sc, it, _ = _scan_block(U, pdf["theta"].to_numpy()[q + s:q + s + len(U)], *held, k, prune, bucket_size, n_focus, t)
+                i, j = np.nonzero(np.isfinite(sc))
+                yield pd.DataFrame({"user": users[s:s + len(U)][i], "item": it[i, j], "score": sc[i, j]})
 
 
 def top_k(users: DataFrame, items: DataFrame, k: int, prune: str | None = None, bucket_size: int = 10,
           n_focus: int = 5, t: float = 2.5, user_col: str = "user_id", item_col: str = "item_id",
-          col: str = "factors", max_chunk_rows: int | None = None) -> DataFrame:
+          col: str = "factors", max_block_rows: int | None = None, share_rows: int = 4096) -> DataFrame:
     """Exact top-K items per user by inner product.
 
     Output rows ``user_id, rank (1..K), item_id, score``; fewer than K rows
     when there are fewer items. ``prune`` in None, "length", "coord", "incr",
-    "lc", "li"; all give the same rows.
+    "lc", "li"; all give the same rows. ``share_rows``: users of a block that
+    one task takes.
     """
     spark = users.sparkSession
     from relflow.operators.factors import vector_size
     from relflow.session import checkpoint_dir
     checkpoint_dir(spark)
-    # chunk = the broadcast unit: bounded in bytes (8 bytes per coordinate)
+    it = items.select(F.col(item_col).cast("long").alias("id"), F.col(col).alias("factors"))
+    it = it.withColumn("norm", F.sqrt(V.sq_norm(F.col("factors"))))
+    us = users.select(F.col(user_col).cast("long").alias("id"), F.col(col).alias("factors"))
+    us = us.withColumn("norm", F.sqrt(V.sq_norm(F.col("factors"))))
+    n_items, n_users = it.count(), us.count()
     dim = max(1, vector_size(items, col))
-    max_bytes = int(spark.conf.get("relflow.topk.maxChunkBytes", str(64 << 20)))
-    limit = max_chunk_rows or max(1, max_bytes // (8 * dim + 16))
-    ranked = length_buckets(items.select(item_col, col), size=limit, id_col=item_col, col=col)
-    ranked = ranked.join(items.select(item_col, col), item_col).checkpoint()
-    chunks = [r[0] for r in ranked.select("bucket").distinct().orderBy("bucket").collect()]
-    state = users.select(F.col(user_col), F.col(col).alias("factors"),
-                         F.array().cast("array<double>").alias("topk_scores"),
-                         F.array().cast("array<bigint>").alias("topk_items"))
-    schema = T.StructType([state.schema[user_col], state.schema["factors"],
-                           T.StructField("topk_scores", T.ArrayType(T.DoubleType())),
-                           T.StructField("topk_items", T.ArrayType(T.LongType()))])
-    for c in chunks:
-        # a chunk holds at most `limit` items: the broadcast is bounded
-        part = ranked.filter(F.col("bucket") == c).orderBy("rank").select(item_col, "norm", col).toPandas()
-        ids = part[item_col].to_numpy(dtype=np.int64)
-        P = np.stack([np.asarray(v, dtype=np.float64) for v in part[col]]) if len(part) else np.zeros((0, 0))
-        bc = spark.sparkContext.broadcast((ids, P, part["norm"].to_numpy(dtype=np.float64)))
-        args = (k, prune, bucket_size, n_focus, t)
-
-        def fn(it, bc=bc, args=args):
-            kk, pr, bs, nf, tt = args
-            for out in _scan_chunk(it, kk, bc.value, pr, bs, nf, tt):
-                yield out.drop(columns=["n_scored"])
-
-        state = state.mapInPandas(fn, schema)
-        if len(chunks) > 1:
-            state = state.checkpoint()
-    z = state.select(F.col(user_col), F.posexplode(F.arrays_zip("topk_scores", "topk_items")).alias("pos", "z"))
-    z = z.filter(F.col("z.topk_items") != F.lit(int(np.iinfo(np.int64).min)))
-    return z.select(F.col(user_col), (F.col("pos") + 1).cast("long").alias("rank"),
-                    F.col("z.topk_items").alias(item_col), F.col("z.topk_scores").alias("score"))
-
-
-def scored_pairs(users: DataFrame, items: DataFrame, k: int, prune: str | None, bucket_size: int = 10,
-                 n_focus: int = 5, t: float = 2.5, user_col: str = "user_id", item_col: str = "item_id",
-                 col: str = "factors") -> DataFrame:
-    """Diagnostics: number of full dot products each user needed (one chunk)."""
-    ranked = length_buckets(items.select(item_col, col), size=1 << 40, id_col=item_col, col=col)
-    part = ranked.join(items.select(item_col, col), item_col).orderBy("rank").select(item_col, "norm", col).toPandas()
-    ids = part[item_col].to_numpy(dtype=np.int64)
-    P = np.stack([np.asarray(v, dtype=np.float64) for v in part[col]])
-    spark = users.sparkSession
-    bc = spark.sparkContext.broadcast((ids, P, part["norm"].to_numpy(dtype=np.float64)))
-    state = users.select(F.col(user_col), F.col(col).alias("factors"),
-                         F.array().cast("array<double>").alias("topk_scores"),
-                         F.array().cast("array<bigint>").alias("topk_items"))
-
-    def fn(it):
-        for out in _scan_chunk(it, k, bc.value, prune, bucket_size, n_focus, t):
-            yield out[[user_col, "n_scored"]]
-
-    return state.mapInPandas(fn, T.StructType([state.schema[user_col], T.StructField("n_scored", T.LongType())]))
+    max_bytes = int(spark.conf.get("relflow.topk.maxBlockBytes", str(8 << 20)))
+    limit = max_block_rows or max(1, max_bytes // (8 * dim + 16))
+    n_blocks = -(-n_items // limit)
+    cuts = it.approxQuantile("norm", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks) if n_blocks > 1 else []
+    block = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c > F.col("norm"))) if cuts else F.lit(0)
+    it = it.withColumn("block", block)
+    # one row a block: rows, greatest length; equal lengths can make a block large, which is salted
+    info = [(r["block"], -(-r["n"] // (2 * limit)), r["top"]) for r in
+            it.groupBy("block").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy("block").collect()]
+    if not info:
+        return users.select(F.col(user_col), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias(item_col),
+                            F.lit(0.0).alias("score")).limit(0)
+    blocks = F.broadcast(spark.createDataFrame(info, "block int, salts int, top double"))
+    shares = max(1, -(-n_users // share_rows))
+    it = (it.join(blocks, "block").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+          .select("block", "salt", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(False).alias("is_user"),
+                  "id", F.lit(0.0).alias("theta"), "factors"))
+    schema = "user long, item long, score double"
+
+    def meet(asking: DataFrame, first: bool) -> DataFrame:
+        those = F.col("block") == info[0][0] if first else F.col("block") != info[0][0]
+        asking = (asking.select(F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "*")
+                  .withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
+                  .select("block", "salt", "share", F.lit(True).alias("is_user"), "id", "theta", "factors"))
+        both = it.where(those).unionByName(asking).repartition("block", "salt", "share").sortWithinPartitions("block", "salt", "share", "is_user")
+        return both.mapInPandas(lambda frames: _scan_parts(frames, k, prune, bucket_size, n_focus, t), schema)
+
+    none = F.lit(float("-inf"))
+    lists = meet(us.withColumn("theta", none).withColumn("block", F.lit(info[0][0])).withColumn("salts", F.lit(info[0][1])), True)
+    if len(info) > 1:
+        lists = lists.checkpoint()
+        have = lists.groupBy("user").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+        if info[0][1] > 1:      # a salted first block gives a list a part: no bound from it
+            have = have.withColumn("n", F.lit(0).cast("long"))
+        theta = F.when(F.col("n") >= k, F.col("low")).otherwise(none)
+        rest = us.join(have, us["id"] == have["user"], "left").withColumn("theta", F.coalesce(theta, none)).select("id", "factors", "norm", "theta")
+        # the blocks a user may still need, by their greatest length
+        need = F.col("norm") * F.col("b.top") >= F.col("theta") - (4 * dim + 32) * EPS * (F.col("norm") * F.col("b.top") + F.abs(F.col("theta")))
+        if prune is None:
+            need = F.lit(True)
+        later = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(s).alias("salts"), F.lit(float(w)).alias("top")) for b, s, w in info[1:]])
+        rest = rest.withColumn("b", F.explode(later)).where(need | (F.col("theta") == none)).select("id", "factors", "theta", "b.block", "b.salts")
+        lists = lists.unionByName(meet(rest, False))
+    best = Window.partitionBy("user").orderBy(F.desc("score"), F.desc("item"))      # at most K rows a block
+    kind = {c: f.schema[c].dataType for c, f in ((user_col, users), (item_col, items))}
+    return (lists.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+            .select(F.col("user").cast(kind[user_col]).alias(user_col), "rank", F.col("item").cast("long").alias(item_col), "score"))
 
 
 # ----------------------------------------------------------- G8, G13

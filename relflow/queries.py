@@ -631,9 +631,13 @@ BUCKET = 10
 
 ITEMS_LONG = f"""ivl AS (SELECT item_id, CAST(generate_subscripts(factors, 1) - 1 AS INTEGER) AS pos, unnest(factors) AS v
   FROM ({fx.ITEM_VECTORS_SQL}) x)"""
-USERS_LONG = f"""uvl AS (SELECT user_id, CAST(generate_subscripts(factors, 1) - 1 AS INTEGER) AS pos, unnest(factors) AS v
-  FROM ({fx.USER_VECTORS_SQL}) x)"""
-BRUTE_SQL = f"""WITH {ITEMS_LONG}, {USERS_LONG},
+# every rated user: its vector in the model, or its initial one
+USERS_LONG = f"""{_rng_sql("uinit", RATED_USERS, KV)},
+eu AS (SELECT user_id AS id, CAST(generate_subscripts(factors, 1) - 1 AS INTEGER) AS pos, unnest(factors) AS v
+       FROM ({fx.USER_VECTORS_SQL}) x),
+uvl AS (SELECT id AS user_id, pos, v FROM eu WHERE id IN (SELECT id FROM ({RATED_USERS}) a)
+        UNION ALL SELECT id, pos, v FROM uinit WHERE id NOT IN (SELECT id FROM eu))"""
+BRUTE_SQL = f"""WITH RECURSIVE {USERS_LONG}, {ITEMS_LONG},
 sc AS (SELECT u.user_id, i.item_id, sum(u.v * i.v) AS score FROM uvl u JOIN ivl i ON u.pos = i.pos GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id DESC) AS rank FROM sc)"""
 TOPK_SQL = BRUTE_SQL + f"\nSELECT user_id, rank, item_id, {_sql_r6('score')} AS score FROM rk WHERE rank <= {TOPK}"
@@ -652,9 +656,13 @@ def _g1(spark, sf):
                       r6("bucket_max").alias("bucket_max"), r6("bucket_min").alias("bucket_min"))
 
 
+def rated_users(spark, sf) -> DataFrame:
+    return FX.pull_or_init(ratings(spark, sf), fx.user_vectors(spark, sf), "user_id", FX.seeded_init(KV))
+
+
 def _topk_query(prune):
     def run(spark, sf):
-        res = TK.top_k(fx.user_vectors(spark, sf), fx.item_vectors(spark, sf), TOPK, prune=prune,
+        res = TK.top_k(rated_users(spark, sf), fx.item_vectors(spark, sf), TOPK, prune=prune,
                        bucket_size=BUCKET, n_focus=5, t=2.5)
         return res.select("user_id", "rank", "item_id", r6("score").alias("score"))
     return run
@@ -667,11 +675,11 @@ for _p in ("length", "coord", "incr", "lc", "li"):
     ORACLES[f"top_k_{_p}"] = TOPK_SQL
 
 
-@q("focus_set", f"""WITH {USERS_LONG},
+@q("focus_set", f"""WITH RECURSIVE {USERS_LONG},
 r AS (SELECT user_id, pos, row_number() OVER (PARTITION BY user_id ORDER BY v * v DESC, pos ASC) AS rank FROM uvl)
 SELECT user_id, rank, pos AS coord FROM r WHERE rank <= 5""")
 def _g7(spark, sf):
-    fs = TK.focus_set(fx.user_vectors(spark, sf), 5)
+    fs = TK.focus_set(rated_users(spark, sf), 5)
     return fs.select("user_id", F.posexplode("focus").alias("rank", "coord")) \
              .select("user_id", (F.col("rank") + 1).cast("long").alias("rank"), "coord")
 
@@ -681,7 +689,7 @@ SHARDS = 3
 
 @q("merge_top_k", TOPK_SQL)
 def _g8(spark, sf):
-    users, items = fx.user_vectors(spark, sf), fx.item_vectors(spark, sf)
+    users, items = rated_users(spark, sf), fx.item_vectors(spark, sf)
     # partial lists from item shards, as separate workers would hold them
     parts = None
     for s in range(SHARDS):
@@ -693,21 +701,17 @@ def _g8(spark, sf):
                     "item_id", r6("score").alias("score"))
 
 
-EVAL_SQL = f"""{BRUTE_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)},
+EVAL_SQL = f"""{BRUTE_SQL},
 {REQUESTS_SQL.replace('SELECT row_number()', 'dummy AS (SELECT 1), req AS (SELECT row_number()', 1)}),
-rq AS (SELECT req.*, epoch(o.o_orderdate) AS ts FROM req JOIN orders o ON o.o_orderkey = req.k1
-       WHERE req.user_id IN (SELECT user_id FROM uvl)),
+rq AS (SELECT req.*, epoch(o.o_orderdate) AS ts FROM req JOIN orders o ON o.o_orderkey = req.k1),
 ev AS (SELECT rq.request_id, rq.ts,
          COALESCE(1.0 / (log2(CAST(rk.rank AS DOUBLE)) + 1.0), 0.0) AS ndcg
        FROM rq LEFT JOIN rk ON rk.user_id = rq.user_id AND rk.item_id = rq.item_id AND rk.rank <= {TOPK})"""
 
 
 def evaluations(spark, sf):
-    users = fx.user_vectors(spark, sf)
-    req = requests(spark, sf).join(users.select("user_id"), "user_id", "left_semi") \
-        .withColumn("ts", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    ranked = TK.top_k(users.join(req.select("user_id").distinct(), "user_id", "left_semi"),
-                      fx.item_vectors(spark, sf), TOPK, prune="li", bucket_size=BUCKET)
+    req = requests(spark, sf).withColumn("ts", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    ranked = TK.top_k(rated_users(spark, sf), fx.item_vectors(spark, sf), TOPK, prune="li", bucket_size=BUCKET)
     return G.ndcg(ranked, req)
 
 
@@ -742,7 +746,7 @@ def _g12(spark, sf):
 SELECT user_id, rank, item_id, {_sql_r6('score')} AS score FROM rk
 WHERE rank <= {TOPK} AND user_id IN (SELECT DISTINCT user_id FROM ({RATINGS}) r)""")
 def _g13(spark, sf):
-    res = TK.recommend(ratings(spark, sf), fx.user_vectors(spark, sf), fx.item_vectors(spark, sf), TOPK)
+    res = TK.recommend(ratings(spark, sf), rated_users(spark, sf), fx.item_vectors(spark, sf), TOPK)
     return res.select("user_id", "rank", "item_id", r6("score").alias("score"))
 
 

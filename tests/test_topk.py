@@ -39,7 +39,7 @@ def test_pruning_is_loss_free(spark, prune):
 
 def test_k_larger_than_items_and_chunks(spark):
     users, items, U, P = _tables(spark, 12, ni=25)
-    got = TK.top_k(users, items, 40, prune="li", bucket_size=4, max_chunk_rows=6).toPandas()
+    got = TK.top_k(users, items, 40, prune="li", bucket_size=4, max_block_rows=6, share_rows=9).toPandas()
     assert got.groupby("user_id").size().eq(25).all()
     exp = _brute(U, P, 40)
     for u, g in got.groupby("user_id"):
@@ -47,8 +47,44 @@ def test_k_larger_than_items_and_chunks(spark):
         assert [int(i) for i in g.item_id] == [i for i, _ in exp[u]]
 
 
-def test_pruning_saves_work(spark):
-    users, items, _, _ = _tables(spark, 13, nu=30, ni=2000)
-    full = TK.scored_pairs(users, items, 5, None, bucket_size=20).agg({"n_scored": "sum"}).first()[0]
-    li = TK.scored_pairs(users, items, 5, "li", bucket_size=20).agg({"n_scored": "sum"}).first()[0]
-    assert li < full
+def _work(U, P, k, prune, bucket_size):
+    norm = np.sqrt((P * P).sum(axis=1))
+    order = np.argsort(-norm, kind="stable")
+    sc, it, n = TK._scan_block(U, np.full(len(U), -np.inf), order, P[order], norm[order], k, prune, bucket_size, 5, 2.5)
+    return sc, it, int(n.sum())
+
+
+def test_pruning_saves_work():
+    rng = np.random.default_rng(13)
+    U, P = rng.normal(size=(30, 8)), rng.normal(size=(2000, 8)) * rng.uniform(0.2, 3.0, size=(2000, 1))
+    assert _work(U, P, 5, "li", 20)[2] < _work(U, P, 5, None, 20)[2]
+
+
+@pytest.mark.parametrize("prune", ["length", "coord", "incr", "lc", "li"])
+def test_dominant_coordinates_and_near_ties_are_kept(prune):
+    # a user along one axis, items that differ in the last bits or by 1e-9
+    rng = np.random.default_rng(3)
+    for eps in (0.0, 1e-16, 1e-12, 1e-8, 1e-4):
+        U = np.array([[1.0, eps, 0.0], [eps, 3.0, eps], [-1.0, eps, eps]])
+        base = np.array([[1.0, 1e-8, 0], [1.0 - 1.7e-9, 0.0, 0.0], [1.0, 0.0, 1e-8], [0.0, 1.0, 0.0], [1e-9, 1.0, 1e-9], [-1.0, 0.0, 0.0]])
+        P = np.concatenate([base * (1 + j * 2.0 ** -51) for j in range(5)] + [rng.normal(size=(20, 3)) * 0.9])
+        want, ids, _ = _work(U, P, 3, None, 4)
+        got, ids2, _ = _work(U, P, 3, prune, 4)
+        assert (want == got).all() and (ids == ids2).all()
+
+
+@pytest.mark.parametrize("prune", [None, "li"])
+def test_many_blocks_equal_lengths_and_hot_block(spark, prune):
+    rng = np.random.default_rng(5)
+    U = rng.normal(size=(50, 4))
+    P = rng.normal(size=(400, 4))
+    P[100:300] /= np.sqrt((P[100:300] ** 2).sum(axis=1, keepdims=True))     # half of the items have one length
+    P[200:260] = P[200]
+    users = spark.createDataFrame(pd.DataFrame({"user_id": np.arange(50), "factors": list(U)}))
+    items = spark.createDataFrame(pd.DataFrame({"item_id": np.arange(400) + 1000, "factors": list(P)}))
+    got = TK.top_k(users, items, 7, prune=prune, bucket_size=5, max_block_rows=30, share_rows=8).toPandas()
+    exp = _brute(U, P, 7)
+    assert got.groupby("user_id").size().eq(7).all() and got.user_id.nunique() == 50
+    for u, g in got.groupby("user_id"):
+        assert [round(x, 9) for x in g.sort_values("rank").score] == [x for _, x in exp[u]]
+    assert TK.top_k(users, items.limit(0), 3).count() == 0
