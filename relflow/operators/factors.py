@@ -32,9 +32,13 @@ def seeded_init(k: int) -> Callable[[Column], Column]:
 
 
 def random_init(k: int, seed: int = 0) -> Callable[[Column], Column]:
-    """unseeded-style uniform vector; ``seed`` makes reruns of the same
-    plan agree (values depend on the partitioning, so there is no oracle)."""
-    return lambda id_col: F.array(*[F.rand(seed + i) for i in range(k)])
+    """uniform values in [0, 1) drawn from ``md5("seed:id:position")`` (52
+    bits): random over ids, the same under every partitioning and rerun."""
+    def unit(id_col: Column, i: int) -> Column:
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), id_col.cast("string"), F.lit(str(i))))
+        return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+    return lambda id_col: F.array(*[unit(id_col, i) for i in range(k)])
 
 
 def python_init(fn: Callable[[int], "list[float] | np.ndarray"]) -> Callable[[Column], Column]:

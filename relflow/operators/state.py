@@ -18,7 +18,6 @@ from pyspark.sql.window import Window
 
 from relflow.fixtures import EVENT_ORDER
 from relflow.plans.ordered_scan import Channel, ordered_fold, ordered_scan
-from relflow.session import broadcast_row_limit
 from relflow.sources.ids import assign_ordered_ids
 
 PAIR = ("actor1", "actor2")
@@ -156,22 +155,26 @@ def relation_scores_by_day(df: DataFrame, lam: float = DEFAULT_LAMBDA, bound: fl
     base = df.select(*keys, t.alias("_t"), F.col(order_cols[0]).cast("long").alias("_id"),
                      _event_piece(x, t, order_cols, bound).alias("p"))
     lo_id, hi_id, t_min, t_max = base.agg(F.min("_id"), F.max("_id"), F.min("_t"), F.max("_t")).first()
-    b = F.floor(F.col("_id") / F.lit(fanout))
+    # pieces are counted from the smallest id and time, with whole numbers: the index reaches 0
+    def up(c: str, least: int = 0) -> Column:
+        return F.expr(f"({c} - ({least})) div {fanout}")
+
+    b = up("_id", lo_id or 0)
     cur = base.groupBy(*keys, "_t", b.alias("_b")).agg(
         _fold_group(F.collect_list("p"), lam, F.col("_b")).alias("p"))
-    lo_b, hi_b = (lo_id or 0) // fanout, (hi_id or 0) // fanout
-    while lo_b != hi_b:
-        lo_b, hi_b = lo_b // fanout, hi_b // fanout
-        nb = F.floor(F.col("_b") / F.lit(fanout))
+    top = ((hi_id or 0) - (lo_id or 0)) // fanout
+    while top:
+        top //= fanout
+        nb = up("_b")
         cur = cur.groupBy(*keys, "_t", nb.alias("_nb")).agg(
             _fold_group(F.collect_list("p"), lam, F.col("_nb")).alias("p")).withColumnRenamed("_nb", "_b")
     # one piece per (pair, ts); climb over time
     cur = cur.groupBy(*keys, "_t").agg(_fold_group(F.collect_list("p"), lam, F.col("_t")).alias("p")) \
-             .withColumnRenamed("_t", "_b")
-    lo_b, hi_b = t_min or 0, t_max or 0
-    while lo_b != hi_b:
-        lo_b, hi_b = lo_b // fanout, hi_b // fanout
-        nb = F.floor(F.col("_b") / F.lit(fanout))
+             .select(*keys, (F.col("_t") - F.lit(t_min or 0)).alias("_b"), "p")
+    top = (t_max or 0) - (t_min or 0)
+    while top:
+        top //= fanout
+        nb = up("_b")
         cur = cur.groupBy(*keys, nb.alias("_nb")).agg(
             _fold_group(F.collect_list("p"), lam, F.col("_nb")).alias("p")).withColumnRenamed("_nb", "_b")
     cur = cur.groupBy(*keys).agg(_fold_group(F.collect_list("p"), lam, F.lit(0)).alias("p"))
@@ -210,7 +213,8 @@ def pair_fold(df: DataFrame, value: str, update, keys=PAIR, order=EVENT_ORDER, k
               feed: bool = True) -> DataFrame:
     """Generic keyed fold (C7): the first value of a key is stored as is, later
     values become ``update(old, new)``; emits the new value per row (``feed``,
-    column ``value``) or the final value per key (columns ``keys, value, n``).
+    column ``value``) or the final value per key (columns ``keys, value, n``),
+    whatever the update.
 
     ``update``: ``sum_update()`` (C8), ``weighted(w)`` (C9) - both run as the
     skew-safe ordered scan - or a Python callable ``(old, new) -> float``.
@@ -230,12 +234,12 @@ def _python_fold(df, value, update: Callable, keys, order, keep, feed):
     cols = list(dict.fromkeys(keys + order + keep + [value]))
     base = df.select(*cols)
     parts = base.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*(keys + order))
-    out_fields = [base.schema[c] for c in cols] + [T.StructField("state", T.DoubleType())]
+    out_fields = [base.schema[c] for c in cols if c != "value"] + [T.StructField("value", T.DoubleType())]
     schema = T.StructType(out_fields) if feed else T.StructType(
-        [base.schema[k] for k in keys] + [T.StructField("state", T.DoubleType())])
+        [base.schema[k] for k in keys] + [T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType())])
 
     def fn(it):
-        cur_key, cur = None, None
+        cur_key, cur, n = None, None, 0
         for pdf in it:
             if len(pdf) == 0:
                 continue
@@ -246,19 +250,19 @@ def _python_fold(df, value, update: Callable, keys, order, keep, feed):
             for i, k in enumerate(ks):
                 if k != cur_key:
                     if cur_key is not None and not feed:
-                        last_rows.append(cur_key + (cur,))
-                    cur_key, cur = k, float(vals[i])
+                        last_rows.append(cur_key + (cur, n))
+                    cur_key, cur, n = k, float(vals[i]), 1
                 else:
-                    cur = float(update(cur, float(vals[i])))
+                    cur, n = float(update(cur, float(vals[i]))), n + 1
                 states[i] = cur
             if feed:
                 pdf = pdf.copy()
-                pdf["state"] = states
+                pdf["value"] = states
                 yield pdf
             elif last_rows:
-                yield pd.DataFrame(last_rows, columns=keys + ["state"])
+                yield pd.DataFrame(last_rows, columns=keys + ["value", "n"])
         if not feed and cur_key is not None:
-            yield pd.DataFrame([cur_key + (cur,)], columns=keys + ["state"])
+            yield pd.DataFrame([cur_key + (cur, n)], columns=keys + ["value", "n"])
 
     return parts.mapInPandas(fn, schema)
 
@@ -273,32 +277,25 @@ def snapshot_at(requests: DataFrame, feed: DataFrame, value: str, ts_col: str =
     request at time r sees, per pair, the last change with ``ts <= r``
     (in ``(ts, order)`` order). Output: ``request_ts (ms), keys, value``.
 
-    Plan: each change is assigned to the first request at or after it by an
-    equi-join on the day (the request table exploded over the days of its
-    intervals - bounded by the days spanned, broadcast only after a count);
-    the last change per (pair, request) is a partial aggregation (``max_by``);
-    each such row then stands for every request up to the pair's next change
-    (``explode(sequence)`` over a bounded per-pair list).
+    Plan: requests and changes are ordered by time, from late to early, in one
+    ordered scan that hands each change the first request at or after it; the
+    last change per (pair, request) is a partial aggregation (``max_by``); each
+    such row then stands for every request up to the pair's next change
+    (``explode(sequence)``).
     """
-    spark = feed.sparkSession
     req = (requests.select(F.unix_millis(F.col(request_col).cast("timestamp")).alias("r"))
            .filter(F.col("r").isNotNull()).distinct())
-    req = assign_ordered_ids(req, ["r"], out="ri")
+    req = assign_ordered_ids(req, ["r"], out="ri").checkpoint()
     w = feed.select(*keys, F.col(ts_col).cast("long").alias("_t"),
                     *[F.col(o) for o in order], F.col(value).alias("_v"))
-    t_min = w.agg(F.min("_t")).first()[0]
-    # interval of request i: (r_{i-1}, r_i]; the first one starts at the earliest change
-    prev = req.select((F.col("ri") + 1).alias("ri"), F.col("r").alias("r_prev"))
-    day = F.lit(86400000)
-    intervals = req.join(prev, "ri", "left").withColumn(
-        "r_prev", F.coalesce(F.col("r_prev"), F.lit((t_min if t_min is not None else 0) - 1)))
-    lookup = intervals.select(
-        "ri", "r", "r_prev",
-        F.explode(F.sequence(F.floor((F.col("r_prev") + 1) / day), F.floor(F.col("r") / day))).alias("_d"))
-    if lookup.count() <= broadcast_row_limit(spark):
-        lookup = F.broadcast(lookup)
-    assigned = w.withColumn("_d", F.floor(F.col("_t") / day)).join(lookup, "_d") \
-                .filter((F.col("_t") > F.col("r_prev")) & (F.col("_t") <= F.col("r")))
+    # a request comes before the changes of its own millisecond
+    mark = req.select(F.col("r").alias("_t"), F.col("ri").alias("_ri")).withColumn("_late", F.lit(0))
+    both = w.withColumn("_late", F.lit(1)).unionByName(mark, allowMissingColumns=True)
+    both = both.withColumn("_g", F.lit(0)).withColumn("_back", -F.col("_t"))
+    ahead = Channel("_next", a=F.when(F.col("_ri").isNull(), F.lit(1.0)).otherwise(F.lit(0.0)),
+                    b=F.coalesce(F.col("_ri").cast("double"), F.lit(0.0)), lo=F.lit(float("-inf")), hi=F.lit(float("inf")), init=-1.0)
+    assigned = ordered_scan(both, ["_g"], ["_back", "_late"], [ahead], keep=[*keys, "_t", *order, "_v", "_ri"])
+    assigned = assigned.filter(F.col("_ri").isNull() & (F.col("_next") >= 0)).withColumn("ri", F.col("_next").cast("long"))
     last = assigned.groupBy(*keys, "ri").agg(
         F.max_by("_v", F.struct(F.col("_t"), *[F.col(o) for o in order])).alias("_v"))
     nxt = F.lead("ri").over(Window.partitionBy(*keys).orderBy("ri"))

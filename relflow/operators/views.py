@@ -91,14 +91,17 @@ def activity_series(updates: DataFrame, width_ms: int, keep: int = 30, ts_col: s
     t = F.col(ts_col) if dict(updates.dtypes)[ts_col] == "bigint" \
         else F.unix_millis(F.col(ts_col).cast("timestamp"))
     d = updates.select(t.alias("_t")).filter(F.col("_t").isNotNull())
-    if t0_ms is None:
-        t0_ms = d.agg(F.min("_t")).first()[0]
-        if t0_ms is None:
-            return spark.createDataFrame([], "bucket bigint, t_start bigint, n bigint")
+    least, most = d.agg(F.min("_t"), F.max("_t")).first()
+    if least is None:
+        return spark.createDataFrame([], "bucket bigint, t_start bigint, n bigint")
+    t0_ms = least if t0_ms is None else t0_ms
     w = int(width_ms)
-    bucket = F.greatest(F.ceil((F.col("_t") - F.lit(t0_ms)) / F.lit(w)) - 1, F.lit(0)).cast("long")
+    last = max(-(-(most - t0_ms) // w) - 1, 0)
+    first = max(last - keep, 0)
+    if first:       # earlier buckets are not shown: their rows need not be read
+        d = d.filter(F.col("_t") > F.lit(t0_ms + first * w))
+    bucket = F.greatest(F.expr(f"(_t - ({t0_ms}) + {w - 1}) div {w}") - 1, F.lit(0)).cast("long")
     counts = d.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    last = counts.agg(F.max("bucket")).first()[0] or 0
     grid = spark.range(max(last - keep, 0), last).withColumnRenamed("id", "bucket")
     return grid.join(counts, "bucket", "left").select(
         "bucket", (F.lit(t0_ms) + F.col("bucket") * F.lit(w)).alias("t_start"),

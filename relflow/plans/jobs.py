@@ -2,7 +2,7 @@
 
 Batch: event files -> both actors -> last-seen day -> unordered pair ->
 quad score -> relation state / change feed -> files. Stream: the same chain
-as a Structured Streaming query whose micro-batches write the change messages
+as Structured Streaming queries whose micro-batches write the change messages
 and upsert the latest-state table (``foreachBatch``), with snapshot requests
 answered from that table.
 """
@@ -17,6 +17,7 @@ from relflow.operators import state as C
 from relflow.sinks.writers import LatestStateTable, change_messages
 from relflow.sources.events import read_events, stream_events
 from relflow.streaming import relation_state as RS
+from relflow.streaming.sessions import stream_snapshots
 
 EVENT_ID_ORDER = ("globalEventID",)
 
@@ -46,29 +47,145 @@ def interaction_counts_batch(spark: SparkSession, events_path: str) -> DataFrame
     return C.interaction_counts(ev)
 
 
+class StreamJob:
+    """A chain of streaming queries, each reading what the one before writes.
+    With an ``availableNow`` trigger they run one after the other."""
+
+    def __init__(self, starts, in_turn: bool):
+        self._starts, self._in_turn = list(starts), in_turn
+        self.queries = [] if in_turn else [s() for s in self._starts]
+        if in_turn:
+            self.queries.append(self._starts[0]())
+
+    def awaitTermination(self, timeout: float | None = None) -> None:
+        self.queries[0].awaitTermination(timeout)
+        for start in self._starts[len(self.queries):] if self._in_turn else []:
+            self.queries.append(start())
+            self.queries[-1].awaitTermination(timeout)
+        for q in self.queries[1:]:
+            q.awaitTermination(timeout)
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+
+def _resolve_days(events: DataFrame, resolved_path: str, checkpoint: str, trigger: dict):
+    """Last-seen-day fill (B5) of a stream: every micro-batch goes through the
+    ordered scan, per source, after the last day that earlier batches saw of the
+    source. Rows with their time go to ``resolved_path/batch=<id>``; the last days
+    are kept beside it. A batch that is replayed after its rows were written
+    leaves them as they are."""
+    spark = events.sparkSession
+    days = LatestStateTable(spark, f"{resolved_path}_days", keys=("source",), order=EVENT_ID_ORDER)
+    keep = [B.A1, B.A2, "quadClass", "day"]
+    names = ["source", *EVENT_ID_ORDER, *keep]
+
+    def done(path: str) -> bool:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        out = f"{resolved_path}/batch={batch_id}"
+        if days.current_batch() is not None and batch_id <= days.current_batch():
+            return
+        rows = B.with_both_actors(batch).select(*names).withColumn("_old", F.lit(False))
+        seen = days.read()
+        if seen is not None:
+            # the source's last day, as a row before all others
+            kinds = dict(rows.dtypes)
+            old = seen.select("source", F.lit(None).cast(kinds["globalEventID"]).alias("globalEventID"),
+                              *[F.lit(None).cast(kinds[c]).alias(c) for c in keep if c != "day"],
+                              F.timestamp_millis("ts").cast("date").alias("day"), F.lit(True).alias("_old"))
+            rows = rows.unionByName(old)
+        rows = rows.withColumn("_new", F.when(F.col("_old"), 0).otherwise(1))
+        filled = B.event_time_locf(rows, order_cols=("_new", *EVENT_ID_ORDER), keep=[B.A1, B.A2, "quadClass", "day", "_old"])
+        if not done(out):
+            filled.filter(~F.col("_old")).drop("_old", "_new").write.mode("overwrite").parquet(out)
+        written = spark.read.parquet(out)
+        days.upsert(written.filter(F.col("day").isNotNull()).select("source", *EVENT_ID_ORDER, "ts"), batch_id)
+
+    return (events.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/days").trigger(**trigger)
+            if trigger else events.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/days")).start()
+
+
+def _signed_stream(spark: SparkSession, resolved_path: str, max_files_per_trigger: int | None) -> DataFrame:
+    """The resolved rows as a stream, signed and paired."""
+    schema = (f"source string, globalEventID {_event_id_type()}, {B.A1} string, {B.A2} string, quadClass int, day date, ts long")
+    r = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(resolved_path).getFileSystem(
+        spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(resolved_path))
+    return B.quad_score(B.canonical_pair(r.parquet(resolved_path)))
+
+
+def _event_id_type() -> str:
+    from relflow.sources.events import event_schema
+    return event_schema()["globalEventID"].dataType.simpleString()
+
+
 def relation_scores_stream(spark: SparkSession, events_path: str, changes_path: str, state_path: str,
                            checkpoint: str, lam: float = C.DEFAULT_LAMBDA, late: str = "reference",
-                           max_files_per_trigger: int | None = None, trigger: dict | None = None):
-    """Streaming relation scores: per micro-batch, the change messages (JSON)
-    go to ``changes_path/batch=<id>`` and the latest state per pair is
-    upserted into ``state_path`` (``LatestStateTable``). The last-seen day of
-    a streamed event is its own day or, if null, the default (a stream has no
-    order to carry it over safely). Returns ``(query, state_table)``."""
-    ev = stream_events(spark, events_path, max_files_per_trigger)
-    ev = B.with_both_actors(ev).withColumn(
-        "ts", F.coalesce(B.day_ms("day"), F.lit(B.DEFAULT_LAST_DAY_MS).cast("long")))
-    sig = B.quad_score(B.canonical_pair(ev))
-    changes = RS.stream_relation_scores(sig, lam=lam, late=late, order=EVENT_ID_ORDER)
+                           max_files_per_trigger: int | None = None, trigger: dict | None = None,
+                           requests: DataFrame | None = None, snapshots_path: str | None = None):
+    """Streaming relation scores, in two queries. The first fills in the last-seen
+    day (``<state_path>_resolved``). The second keeps the scores: per micro-batch,
+    the change messages (JSON) go to ``changes_path/batch=<id>`` and the latest
+    state per pair is upserted into ``state_path`` (``LatestStateTable``). With
+    ``requests`` (``stream_snapshot_requests``), a third answers them from that
+    table, raw scores as rows in ``snapshots_path``. Returns ``(job, table)``."""
     table = LatestStateTable(spark, state_path, keys=("actor1", "actor2"), order=("ts",) + EVENT_ID_ORDER)
+    resolved = f"{state_path}_resolved"
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if table.current_batch() is not None and batch_id <= table.current_batch():
-            return
-        b = batch.checkpoint()
-        change_messages(b).write.mode("overwrite").text(f"{changes_path}/batch={batch_id}")
-        table.upsert(b.select("actor1", "actor2", "ts", *EVENT_ID_ORDER, "raw_score", "norm", "score"), batch_id)
-
-    w = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    if trigger:
-        w = w.trigger(**trigger)
-    return w.start(), table
+    def days():
+        ev = stream_events(spark, events_path, max_files_per_trigger).withColumn("source", F.input_file_name())
+        return _resolve_days(ev, resolved, checkpoint, trigger or {})
+
+    def scores():
+        changes = RS.stream_relation_scores(_signed_stream(spark, resolved, None), lam=lam, late=late, order=EVENT_ID_ORDER)
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            if table.current_batch() is not None and batch_id <= table.current_batch():
+                return
+            b = batch.checkpoint()
+            change_messages(b).write.mode("overwrite").text(f"{changes_path}/batch={batch_id}")
+            table.upsert(b.select("actor1", "actor2", "ts", *EVENT_ID_ORDER, "raw_score", "norm", "score"), batch_id)
+
+        return _started(changes, run, f"{checkpoint}/scores", trigger)
+
+    return _job([days, scores], requests, table, snapshots_path, checkpoint, "raw_score", trigger), table
+
+
+def interaction_counts_stream(spark: SparkSession, events_path: str, changes_path: str, state_path: str,
+                              checkpoint: str, max_files_per_trigger: int | None = None, trigger: dict | None = None,
+                              requests: DataFrame | None = None, snapshots_path: str | None = None):
+    """Streaming interaction counts: change messages, latest state and snapshots
+    on request, as ``relation_scores_stream`` has them for scores."""
+    table = LatestStateTable(spark, state_path, keys=("actor1", "actor2"), order=("n",))
+
+    def counts():
+        ev = B.canonical_pair(B.with_both_actors(stream_events(spark, events_path, max_files_per_trigger)))
+        feed = RS.stream_counts(ev, order=EVENT_ID_ORDER)
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            if table.current_batch() is not None and batch_id <= table.current_batch():
+                return
+            b = batch.checkpoint()
+            change_messages(b, "n").write.mode("overwrite").text(f"{changes_path}/batch={batch_id}")
+            table.upsert(b.select("actor1", "actor2", *EVENT_ID_ORDER, "n"), batch_id)
+
+        return _started(feed, run, f"{checkpoint}/counts", trigger)
+
+    return _job([counts], requests, table, snapshots_path, checkpoint, "n", trigger), table
+
+
+def _started(df: DataFrame, run, checkpoint: str, trigger: dict | None):
+    w = df.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint)
+    return (w.trigger(**trigger) if trigger else w).start()
+
+
+def _job(starts: list, requests, table, snapshots_path, checkpoint, value, trigger) -> StreamJob:
+    if requests is not None:
+        starts = [*starts, lambda: stream_snapshots(requests, table, snapshots_path, f"{checkpoint}/snapshots", value, trigger)]
+    return StreamJob(starts, in_turn=bool(trigger and trigger.get("availableNow")))

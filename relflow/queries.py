@@ -434,7 +434,9 @@ def _f2(spark, sf):
     return _long(FX.init_factors(ids, "user_id", FX.seeded_init(K)), "user_id")
 
 
-@q("init_factors_random")
+@q("init_factors_random", f"""SELECT id AS item_id, CAST(p AS INTEGER) AS pos,
+  {_sql_r6("CAST(CAST('0x' || substr(md5('7:' || id || ':' || p), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0")} AS v
+FROM ({RATED_ITEMS}) i, generate_series(0, {K - 1}) g(p)""")
 def _f3(spark, sf):
     ids = ratings(spark, sf).select("item_id").distinct()
     return _long(FX.init_factors(ids, "item_id", FX.random_init(K, seed=7)), "item_id")
@@ -534,7 +536,7 @@ def _f7(spark, sf):
     pu = FX.pull_or_init(r, users, "user_id", FX.seeded_init(KV))
     pi = FX.pull_or_init(r, items, "item_id", FX.seeded_init(KV))
     d = FX.sgd_deltas(r.select("user_id", "item_id", "rating"), pu, pi, LR)
-    new_i = FX.apply_deltas(items, d.select("item_id", F.col("dv").alias("delta")), "item_id", FX.seeded_init(KV))
+    new_i = FX.apply_deltas(items, d.select("item_id", F.col("dv").alias("delta")), "item_id", FX.seeded_init(KV), k=KV)
     return _long(new_i, "item_id")
 
 
@@ -549,7 +551,7 @@ SELECT 'user' AS side, id, pos, {_sql_r6('v')} AS v FROM nu
 UNION ALL SELECT 'item', id, pos, {_sql_r6('v')} FROM ni""")
 def _f10(spark, sf):
     r, users, items = _step_tables(spark, sf)
-    m = TR.sgd_step_model(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
+    m = TR.sgd_step_model(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV), k=KV)
     return _long_sides(m)
 
 
@@ -563,8 +565,7 @@ SELECT 'user' AS side, id, CAST(1 AS INTEGER) AS step, pos, {_sql_r6('v')} AS v
 UNION ALL SELECT 'item', id, 1, pos, {_sql_r6('v')} FROM ni WHERE id IN (SELECT id FROM ({RATED_ITEMS}) a)""")
 def _f12(spark, sf):
     r, users, items = _step_tables(spark, sf)
-    nu, ni = TR.sgd_step(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
-    up = TR.model_updates(r, nu, ni, step=1)
+    up = TR.step_updates(r, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV), step=1, k=KV)
     return up.select("side", "id", "step", F.posexplode("factors").alias("pos", "v")) \
              .select("side", "id", "step", "pos", r6("v").alias("v"))
 
@@ -590,7 +591,7 @@ rq AS (SELECT req.request_id, req.user_id, items.ix AS t_ix,
               mm.m - CASE WHEN items.ix IS NULL THEN 0 ELSE 1 END AS c
        FROM req LEFT JOIN items ON req.item_id = items._item, mm),
 ex AS (SELECT request_id, t_ix, c, unnest(generate_series(1, least({9}, c))) AS j FROM rq WHERE c > 0),
-hx AS (SELECT *, CAST(('0x' || substr(md5('{NEG_SEED}:' || request_id || ':' || j), 1, 8)) AS BIGINT) % c AS ix0 FROM ex),
+hx AS (SELECT *, CAST(('0x' || substr(md5('{NEG_SEED}:' || request_id || ':' || j), 1, 15)) AS BIGINT) % c AS ix0 FROM ex),
 neg AS (SELECT request_id, j, _item AS neg_item_id
         FROM (SELECT *, CASE WHEN t_ix IS NOT NULL AND ix0 >= t_ix THEN ix0 + 1 ELSE ix0 END AS ix FROM hx) x
         JOIN items USING (ix))"""
@@ -615,9 +616,9 @@ SELECT 'user' AS side, id, pos, {_sql_r6('v')} AS v FROM nu
 UNION ALL SELECT 'item', id, pos, {_sql_r6('v')} FROM ni""")
 def _f14(spark, sf):
     r, users, items = _step_tables(spark, sf)
-    req = requests(spark, sf)
+    req = requests(spark, sf).checkpoint()
     neg = negatives(spark, sf, req)
-    m = TR.train_step(req, neg, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV))
+    m = TR.train_step(req, neg, users, items, LR, FX.seeded_init(KV), FX.seeded_init(KV), k=KV)
     return _long_sides(m)
 
 

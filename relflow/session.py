@@ -16,6 +16,7 @@ _BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -28,6 +29,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(_BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    # Python processes that Spark's JVM starts by itself (stateful streams) inherit its
+    # environment: they must find the package from any working directory
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *paths])
     conf["spark.driver.memory"] = os.environ.get("RELFLOW_DRIVER_MEMORY", "16g")
     if extra:
         conf.update(extra)
@@ -43,14 +50,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``. A local session without one gets a fresh
+    scratch folder; on a cluster, where a machine's own folder would be seen by
+    that machine alone, a missing setting is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="relflow-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -62,11 +72,6 @@ def scan_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_row_limit(spark: SparkSession) -> int:
-    """Row bound under which a derived, counted table may be broadcast."""
-    return int(spark.conf.get("relflow.broadcast.maxRows", "2000000"))
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``relflow`` importable in the Python workers (as ``--py-files``
     does): zip the package once per SparkContext and ``addPyFile`` it; Spark

@@ -26,6 +26,7 @@ def snapshot_messages(snap: DataFrame, value: str = "score", request_col: str =
     keys = [F.col(request_col)]
     if parts > 1:
         keys.append(F.pmod(F.hash("actor1", "actor2"), F.lit(parts)).alias("part"))
+    item = F.when(F.col("actor1").isNotNull(), item)     # a row without a pair stands for an empty snapshot
     return snap.groupBy(*keys).agg(
         F.to_json(F.array_sort(F.collect_list(item))).alias("value"))
 
@@ -52,12 +53,12 @@ def write_messages(msgs: DataFrame, path: str | None = None, fmt: str = "text",
     return None
 
 
-def write_changes(feed: DataFrame, path: str | None = None, **kw):
-    return write_messages(change_messages(feed), path, **kw)
+def write_changes(feed: DataFrame, path: str | None = None, value: str = "score", **kw):
+    return write_messages(change_messages(feed, value), path, **kw)
 
 
-def write_snapshots(snap: DataFrame, path: str | None = None, parts: int = 1, **kw):
-    return write_messages(snapshot_messages(snap, parts=parts), path, **kw)
+def write_snapshots(snap: DataFrame, path: str | None = None, value: str = "score", parts: int = 1, **kw):
+    return write_messages(snapshot_messages(snap, value, parts=parts).select("value"), path, **kw)
 
 
 # ------------------------------------------------------ latest state
@@ -66,7 +67,7 @@ class LatestStateTable:
     """Last value per key, replaceable as a whole.
 
     Storage: a compacted base version plus delta versions, parquet folders
-    under ``path``; the file ``_current`` names them. ``upsert(changes,
+    under ``path``; the newest file ``_current.<number>`` names them. ``upsert(changes,
     batch_id)`` writes only the last change per key of that batch
     (``max_by`` over ``order``) as a new delta, so a micro-batch costs its own
     size, not the state's; every ``compact_every`` batches the deltas are
@@ -87,12 +88,21 @@ class LatestStateTable:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(conf), jvm
 
+    def _pointers(self):
+        """Numbers of the pointer files ``_current.<number>``, ascending."""
+        fs, jvm = self._hfs()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n.split(".")[1]) for n in names if n.startswith("_current.") and n.split(".")[1].isdigit())
+
     def _read_pointer(self):
         fs, jvm = self._hfs()
-        ptr = jvm.org.apache.hadoop.fs.Path(self.path + "/_current")
-        if not fs.exists(ptr):
+        have = self._pointers()
+        if not have:
             return None
-        stream = fs.open(ptr)
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current.{have[-1]}"))
         try:
             data = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -100,16 +110,22 @@ class LatestStateTable:
         return json.loads(data)
 
     def _write_pointer(self, obj):
+        """A new pointer file under the next number, whole at once by a rename; the
+        newest number counts, so there is a valid pointer at every moment. The
+        one before stays for readers that have just looked."""
         fs, jvm = self._hfs()
-        tmp = jvm.org.apache.hadoop.fs.Path(self.path + "/_current.tmp")
-        ptr = jvm.org.apache.hadoop.fs.Path(self.path + "/_current")
+        path = jvm.org.apache.hadoop.fs.Path
+        have = self._pointers()
+        tmp = path(self.path + "/_tmp_current")
         out = fs.create(tmp, True)
         try:
             out.write(bytearray(json.dumps(obj).encode("utf-8")))
         finally:
             out.close()
-        fs.delete(ptr, False)
-        fs.rename(tmp, ptr)
+        if not fs.rename(tmp, path(f"{self.path}/_current.{(have[-1] if have else 0) + 1}")):
+            raise OSError(f"could not write the pointer of {self.path}")
+        for n in have[:-1]:
+            fs.delete(path(f"{self.path}/_current.{n}"), False)
 
     def current_batch(self):
         p = self._read_pointer()
@@ -131,7 +147,7 @@ class LatestStateTable:
         return None if p is None else self._resolve(p)
 
     def upsert(self, changes: DataFrame, batch_id: int) -> None:
-        p = self._read_pointer() or {"batch_id": None, "base": None, "deltas": []}
+        p = old = self._read_pointer() or {"batch_id": None, "base": None, "deltas": []}
         if p["batch_id"] is not None and batch_id <= p["batch_id"]:
             return  # already committed
         cols = [c for c in changes.columns]
@@ -140,20 +156,19 @@ class LatestStateTable:
                       .select("_r.*").withColumn("_v", F.lit(int(batch_id)).cast("long"))
         last.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
         p = {"batch_id": int(batch_id), "base": p.get("base"), "deltas": list(p.get("deltas", [])) + [int(batch_id)]}
-        old = None
+        gone = list(old.get("stale", []))
         if len(p["deltas"]) >= self.compact_every:
             merged = self._resolve(p).withColumn("_v", F.lit(int(batch_id)).cast("long"))
             merged.write.mode("overwrite").parquet(f"{self.path}/base={batch_id}")
-            old = p
-            p = {"batch_id": int(batch_id), "base": int(batch_id), "deltas": []}
+            # superseded versions go one compaction later, when no reader holds them
+            stale = ([f"base={p['base']}"] if p["base"] is not None else []) + [f"v={b}" for b in p["deltas"]]
+            p = {"batch_id": int(batch_id), "base": int(batch_id), "deltas": [], "stale": stale}
+        else:
+            p["stale"], gone = gone, []
         self._write_pointer(p)
-        if old is not None:
-            # superseded versions: removed only after the new pointer is committed
-            fs, jvm = self._hfs()
-            stale = ([f"base={old['base']}"] if old.get("base") is not None else []) + \
-                    [f"v={b}" for b in old["deltas"]]
-            for d in stale:
-                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{d}"), True)
+        fs, jvm = self._hfs()
+        for d in gone:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{d}"), True)
 
 
 def upsert_latest(feed: DataFrame, path: str, keys=("actor1", "actor2"), order=("ts",),

@@ -50,7 +50,7 @@ def _raw_schema() -> T.StructType:
 
 def _reader(reader, mode: str):
     return (reader.schema(_raw_schema())
-            .option("sep", "\t").option("header", "false")
+            .option("sep", "\t").option("header", "false").option("lineSep", "\n")
             .option("quote", "\u0000").option("escape", "\u0000")
             .option("dateFormat", DATE_FORMAT)
             .option("encoding", "UTF-8")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relflow.sources.ids import assign_evaluation_id
+from relflow.sinks.writers import LatestStateTable
+from relflow.sources.ids import assign_evaluation_id, assign_ordered_ids
 
 _RAW = T.StructType([T.StructField("_c0", T.StringType()), T.StructField("_c1", T.StringType()),
                      T.StructField("_c2", T.StringType())])
@@ -21,8 +22,7 @@ def _shape(df: DataFrame, layout: str) -> DataFrame:
         # field 0 = epoch seconds; id generated per request
         d = df.select(F.col("_c0").try_cast("long").alias("ts"), F.col("_c1").try_cast("int").alias("user_id"),
                       F.col("_c2").try_cast("int").alias("item_id"), F.lit(1.0).alias("rating"))
-        return assign_evaluation_id(d) if not df.isStreaming else d.withColumn(
-            "evaluation_id", F.monotonically_increasing_id())
+        return d if df.isStreaming else assign_evaluation_id(d)
     raise ValueError(f"layout: {layout}")
 
 
@@ -35,12 +35,36 @@ def read_ratings(spark: SparkSession, path: str, layout: str = "rating") -> Data
 
 def stream_ratings(spark: SparkSession, path: str, layout: str = "rating",
                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same files as a stream (A3). Requests get their ids micro-batch by
+    micro-batch, see ``foreach_evaluations``."""
     r = spark.readStream.schema(_RAW).option("header", "false")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return _shape(r.csv(path), layout)
 
 
+def foreach_evaluations(requests: DataFrame, ids_path: str, run, checkpoint: str, trigger: dict | None = None):
+    """Start a query that calls ``run(batch, batch_id)`` with ``evaluation_id`` on
+    every request of a stream of layout "evaluation": ids go on from the last
+    committed one, in the order ``(ts, user_id, item_id)``. A batch that is
+    replayed gets the ids it had."""
+    table = LatestStateTable(requests.sparkSession, ids_path, keys=("batch",), order=("next",))
+
+    def numbered(batch: DataFrame, batch_id: int) -> None:
+        ids = table.read()
+        before = ids.filter(F.col("batch") < batch_id) if ids is not None else None
+        start = (before.agg(F.max("next")).first()[0] if before is not None else None) or 0
+        out = assign_ordered_ids(batch, ["ts", "user_id", "item_id"], out="evaluation_id")
+        out = out.withColumn("evaluation_id", F.col("evaluation_id") + F.lit(int(start))).checkpoint()
+        run(out, batch_id)
+        table.upsert(batch.sparkSession.createDataFrame([(batch_id, start + out.count())], "batch long, next long"), batch_id)
+
+    w = requests.writeStream.foreachBatch(numbered).option("checkpointLocation", checkpoint)
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start()
+
+
 def stream_snapshot_requests(spark: SparkSession, fmt: str = "kafka", options: dict | None = None,
                              path: str | None = None, time_col: str | None = "timestamp") -> DataFrame:
     """Snapshot requests (A5): a stream of strings, only the value ``yes``

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relflow.operators import evaluation as G
-from relflow.session import broadcast_row_limit
 from relflow.sinks.writers import LatestStateTable
 
 
@@ -68,26 +67,24 @@ def stream_daily_ndcg_sessions(evals: DataFrame, gap: int, state_path: str, out_
 
 
 def stream_snapshots(requests: DataFrame, table: LatestStateTable, out_path: str, checkpoint: str,
-                     value: str = "score", trigger: dict | None = None):
+                     value: str = "raw_score", trigger: dict | None = None):
     """C10 as a stream: each snapshot request of a micro-batch gets the full
     committed pair state (``table``, fed by ``upsert_latest``) at that moment,
     written as rows ``request_ts, actor1, actor2, value`` to
-    ``out_path/batch=<id>``. The batch's request times are a counted, bounded
-    literal list; each state row is repeated once per request."""
+    ``out_path/batch=<id>``: requests joined to the state, each state row once per
+    request. A request that finds no state gets one row without a pair, which
+    ``snapshot_messages`` turns into an empty array. ``value``: the raw score,
+    as the reference sends it."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        reqs = batch.select(F.unix_millis(F.col("request_ts").cast("timestamp")).alias("r")).distinct()
-        n = reqs.count()
-        if n == 0:
-            return
-        if n > broadcast_row_limit(batch.sparkSession):
-            raise ValueError("too many snapshot requests in one micro-batch")
-        times = [row.r for row in reqs.collect()]
+        reqs = batch.select(F.unix_millis(F.col("request_ts").cast("timestamp")).alias("request_ts")).distinct()
         st = table.read()
         if st is None:
-            return
-        out = st.select(F.explode(F.array(*[F.lit(t) for t in times])).alias("request_ts"),
-                        "actor1", "actor2", F.col(value))
+            out = reqs.select("request_ts", *[F.lit(None).cast("string").alias(c) for c in ("actor1", "actor2")],
+                              F.lit(None).cast("double").alias(value))
+        else:
+            st = st.select("actor1", "actor2", value, F.lit(0).alias("_all"))
+            out = reqs.withColumn("_all", F.lit(0)).join(st, "_all", "left").select("request_ts", "actor1", "actor2", value)
         out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -43,7 +43,7 @@ def test_snapshot_stream_and_requests_source(spark, tmpdir_run):
     with open(f"{tmpdir_run}/req/a.txt", "w") as f:
         f.write("yes\nno\nyes\n")
     req = stream_snapshot_requests(spark, fmt="text", path=f"{tmpdir_run}/req")
-    q = stream_snapshots(req, table, f"{tmpdir_run}/snap", f"{tmpdir_run}/ck", trigger={"availableNow": True})
+    q = stream_snapshots(req, table, f"{tmpdir_run}/snap", f"{tmpdir_run}/ck", value="score", trigger={"availableNow": True})
     q.awaitTermination()
     out = spark.read.parquet(f"{tmpdir_run}/snap").toPandas()
     # "no" is ignored; each distinct request time gets the whole committed state
