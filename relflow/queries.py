@@ -369,13 +369,12 @@ def _d9(spark, sf):
     return D.score_classes(st, "score", 9).select("actor1", "actor2", "score", "class")
 
 
-@q("nested_state", STATE_CTE + """
-SELECT actor1, count(*) AS n_partners, string_agg(actor2, ',' ORDER BY actor2) AS partners
-FROM state GROUP BY actor1""")
+@q("nested_state", STATE_CTE + f"""
+SELECT actor1, actor2, {_sql_r6("score")} AS score, count(*) OVER (PARTITION BY actor1) AS n_partners FROM state""")
 def _d10(spark, sf):
-    res = D.nested_state(relation_state(spark, sf))
-    return res.select("actor1", F.size("relations").cast("long").alias("n_partners"),
-                      F.array_join(F.array_sort(F.map_keys("relations")), ",").alias("partners"))
+    res = D.nested_state(relation_state(spark, sf)).withColumn("n_partners", F.size("relations").cast("long"))
+    return res.select("actor1", "n_partners", F.explode("relations").alias("actor2", "score")) \
+              .select("actor1", "actor2", r6("score").alias("score"), "n_partners")
 
 
 # ------------------------------------------------------------- F operators
@@ -774,3 +773,8 @@ def _g10(spark, sf):
     req = assign_ordered_ids(r, ["ts", "k1", "k2", "item_id", "user_id"], out="request_id")
     ev = ST.prequential_eval(req, k=100, lr=0.4, n_neg=9, seed=NEG_SEED, factors=K, slices=4)
     return ev.select("request_id", "user_id", "item_id", "ts", r6("ndcg").alias("ndcg"))
+
+
+# ------------------------------------- sources, sinks, streams (own module)
+
+from relflow import io_queries  # noqa: E402, F401
