@@ -30,6 +30,8 @@ HEADLINE = [
     "negative_samples",         # F13
     "top_k",                    # G2 (no pruning)
     "top_k_li",                 # G6 (LEMP LI)
+    "train_step",           # F14
+    "train_mf",             # F11
     "ndcg",                     # G9
 ]
 

@@ -135,6 +135,12 @@ def _c11c(spark, sf):
     return _in_runs(spark, rows, "k1", lambda s: RS.stream_counts(s, order=ORDER)).select("actor1", "actor2", *ORDER, "n")
 
 
+@q("stream_changes_only", Q.ORACLES["changes_only"])
+def _d3(spark, sf):
+    rows = C.relation_scores_feed(Q.signed(spark, sf), lam=Q.LAM, order=ORDER).select("actor1", "actor2", "ts", *ORDER, r6("score").alias("score")).checkpoint()
+    return _in_runs(spark, rows, "ts", RS.stream_changes_only).select("actor1", "actor2", *ORDER, "score")
+
+
 @q("snapshot_relation_raw", Q.RELATION_FEED_SQL + f""",
 req AS (SELECT DISTINCT epoch_ms(request_ts) AS r FROM ({fx.SNAPSHOT_REQUESTS_SQL}) q),
 seen AS (SELECT r, actor1, actor2, s, row_number() OVER (PARTITION BY r, actor1, actor2 ORDER BY rn DESC) AS back

@@ -10,11 +10,16 @@ Inside a block the reference's per-rating online update runs in rating order
 before this rating). A block is streamed: its factor rows are sorted ahead of
 its rating rows in one partition, so only the block's vectors - never its
 ratings - are held in memory. Factor tables are checkpointed after every
-sub-epoch, so each sub-epoch's lineage is cut.
+sub-epoch, so each sub-epoch's lineage is cut. The ratings are written once,
+in a folder for each stratum, and a sub-epoch reads its own only.
+
+The number of blocks decides the order of the updates, so it comes from the data
+(or the caller) and never from the machine: the model is the same everywhere.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 import numpy as np
@@ -27,6 +32,10 @@ from relflow.operators import factors as FX
 from relflow.session import checkpoint_dir
 
 
+# Users and items in a block: a task holds their vectors.
+BLOCK_IDS = 250_000
+
+
 def _block_fn(lr: float, k: int):
     def fn(it):
         model: dict = {}
@@ -77,20 +86,28 @@ def train_mf(ratings: DataFrame, k: int = 10, lr: float = 0.01,
              item_col: str = "item_id", rating_col: str = "rating") -> tuple[DataFrame, DataFrame]:
     """Factorise ``ratings`` (F11). Defaults as the reference main: 10 factors,
     learning rate 0.01, initial values in [-0.01, 0.01) from
-    ``java.util.Random(id)``. ``strata`` (default: the task slots, at most 64)
-    is the number of blocks trained in parallel. Returns ``(users, items)``
-    factor tables."""
+    ``java.util.Random(id)``. ``strata`` is the number of blocks trained in
+    parallel (default: one for every ``BLOCK_IDS`` users and items, 4 at
+    least). Returns ``(users, items)`` factor tables."""
     spark = ratings.sparkSession
     checkpoint_dir(spark)
-    # d blocks run in parallel per sub-epoch and each sub-epoch is one job:
-    # match the task slots, capped so that an epoch stays a few dozen jobs
-    d = strata or max(1, min(spark.sparkContext.defaultParallelism, 64))
     init_user = init_user or FX.ranged_init(k, -0.01, 0.01)
     init_item = init_item or FX.ranged_init(k, -0.01, 0.01)
     r = ratings.select(F.col(user_col).cast("long").alias("user_id"), F.col(item_col).cast("long").alias("item_id"),
                        F.col(rating_col).cast("double").alias("rating"), *[F.col(o) for o in order])
+    if strata is None:
+        n = r.agg(F.approx_count_distinct("user_id", 0.01) + F.approx_count_distinct("item_id", 0.01)).first()[0]
+        strata = max(4, -(-n // BLOCK_IDS))
+    d = int(strata)
     r = r.withColumn("ub", F.pmod(F.col("user_id"), F.lit(d))).withColumn("ib", F.pmod(F.col("item_id"), F.lit(d)))
-    r = r.checkpoint()
+    r = r.withColumn("stratum", F.pmod(F.col("ib") - F.col("ub"), F.lit(d)))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ratings-{uuid.uuid4().hex}"
+    r.write.partitionBy("stratum").parquet(folder)
+    r = spark.read.schema(r.schema).parquet(folder)
+    # a key for each block that Spark's hash sends to a partition of its own
+    found = {x["p"]: x["id"] for x in spark.range(64 * d + 64).select("id", F.pmod(F.hash("id"), F.lit(d)).alias("p"))
+             .groupBy("p").agg(F.min("id").alias("id")).collect()}
+    own = F.array(*[F.lit(found.get(b, -1 - b)).cast("long") for b in range(d)])
     u0 = FX.pull_or_init(r, users.withColumnRenamed(user_col, "user_id") if users is not None else
                          spark.createDataFrame([], "user_id long, factors array<double>"), "user_id", init_user)
     i0 = FX.pull_or_init(r, items.withColumnRenamed(item_col, "item_id") if items is not None else
@@ -103,7 +120,7 @@ def train_mf(ratings: DataFrame, k: int = 10, lr: float = 0.01,
     for _ in range(epochs):
         for s in range(d):
             # block of a user / an item in this sub-epoch: its user block
-            rs = r.filter(F.col("ib") == F.pmod(F.col("ub") + F.lit(s), F.lit(d))) \
+            rs = r.filter(F.col("stratum") == s) \
                   .select(F.lit(1).alias("kind"), F.col("ub").alias("blk"), F.lit(None).cast("string").alias("side"),
                           F.lit(None).cast("long").alias("id"),
                           F.lit(None).cast("array<double>").alias("factors"),
@@ -114,7 +131,8 @@ def train_mf(ratings: DataFrame, k: int = 10, lr: float = 0.01,
                               F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("item_id"),
                               F.lit(None).cast("double").alias("rating"),
                               *[F.lit(None).cast(rs.schema[o].dataType).alias(o) for o in order])
-            both = ms.unionByName(rs).repartition(d, "blk") \
+            both = ms.unionByName(rs).withColumn("own", F.element_at(own, F.col("blk").cast("int") + 1)) \
+                     .repartition(d, "own").drop("own") \
                      .sortWithinPartitions("blk", "kind", *order, "user_id", "item_id")
             model = both.mapInPandas(fn, out_schema).checkpoint()
     users_out = model.filter(F.col("side") == "user").select(F.col("id").alias(user_col), "factors")
@@ -127,22 +145,3 @@ def squared_error(ratings: DataFrame, users: DataFrame, items: DataFrame, user_c
     """Mean squared error of the model on ``ratings`` (training check)."""
     s = FX.score_pairs(ratings.select(user_col, item_col, rating_col), users, items, user_col, item_col)
     return s.agg(F.avg((F.col(rating_col) - F.col("score")) ** 2)).first()[0]
-
-
-def replay_mf(ratings: pd.DataFrame, users: dict, items: dict, lr: float, d: int, epochs: int = 1,
-              order=("ts",)) -> tuple[dict, dict]:
-    """Single-machine replay of the same block order (tests)."""
-    users = {k: np.array(v, dtype=np.float64) for k, v in users.items()}
-    items = {k: np.array(v, dtype=np.float64) for k, v in items.items()}
-    for _ in range(epochs):
-        for s in range(d):
-            for b in range(d):
-                blk = ratings[(ratings.user_id % d == b) & (ratings.item_id % d == (b + s) % d)]
-                blk = blk.sort_values(list(order) + ["user_id", "item_id"], kind="stable")
-                for row in blk.itertuples():
-                    u, v = users[row.user_id], items[row.item_id]
-                    e = row.rating - float(u @ v)
-                    du, dv = lr * e * v, lr * e * u
-                    u += du
-                    v += dv
-    return users, items

@@ -169,6 +169,40 @@ def stream_counts(events: DataFrame, order=EVENT_ORDER, keys=PAIR) -> DataFrame:
         CountProcessor(order, keep), T.StructType(fields), "Update", "None")
 
 
+class ChangedProcessor(StatefulProcessor):
+    """State: the last value per pair; passes on the rows whose value is another."""
+
+    def __init__(self, order, value):
+        self.order, self.value = list(order), value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        v = pdf[self.value].to_numpy(dtype=np.float64)
+        before = np.empty(len(v))
+        before[1:] = v[:-1]
+        known = self.state.exists()
+        before[0] = self.state.get()[0] if known else 0.0
+        same = (v == before) | (np.isnan(v) & np.isnan(before))
+        same[0] &= known
+        self.state.update((float(v[-1]),))
+        yield pdf[~same]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_changes_only(feed: DataFrame, value: str = "score", order=("ts",) + EVENT_ORDER, keys=PAIR) -> DataFrame:
+    """D3 as a streaming query: rows whose value differs from the pair's previous
+    one, over all micro-batches."""
+    use_rocksdb(feed.sparkSession)
+    keep = list(dict.fromkeys([*keys, *order, value]))
+    rows = feed.select(*keep)
+    return rows.groupBy(*keys).transformWithStateInPandas(ChangedProcessor(order, value), rows.schema, "Update", "None")
+
+
 def stream_counts_windowed(events: DataFrame, width: str = "5 seconds", ts_col: str = "ts",
                            keys=PAIR, delay: str = "0 seconds") -> DataFrame:
     """C3 as a streaming query: event-time tumbling counts per pair with a
