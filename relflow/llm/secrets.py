@@ -119,7 +119,8 @@ def blob_spans(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(path, blob, spans)``: the ledger's spans for every path, by start and
     then by the order of the rules."""
-    return paths.join(blob_spans(ledger, rules), "blob", "left").select(
+    known = C.stored(blob_spans(ledger, rules))     # a plain table, so that Spark may split a hot blob's paths
+    return paths.join(known, "blob", "left").select(
         "path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
