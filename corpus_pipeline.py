@@ -33,9 +33,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences: ``(sequence_id, ids, spans)``."""
+    """Token pieces with their ids and their places: ``sequence_id`` and ``offset``."""
     import public_tokenizers
-    return packing.sequences(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

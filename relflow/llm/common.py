@@ -42,6 +42,7 @@ def stored(df: DataFrame) -> DataFrame:
     lineage is cut, a lost executor costs no recomputation of earlier steps,
     and its size is known to later joins. Deleted when the application ends."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,7 +51,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20          # bytes of text handled at once
+_CHUNK = 1 << 19          # bytes of text handled at once
+_BATCH = "8m"             # of an Arrow batch, so that long texts come few at a time
 _LONG_WORD = 256          # longer words are hashed by blake2b
 
 
@@ -83,7 +85,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(max(n, _CHUNK), b, U64)
             p[0] = 1
             out.append(np.cumprod(p, dtype=U64))
-        if n > 4 * _CHUNK:      # one huge word: not kept
+        if n > 8 * _CHUNK:      # one huge word: not kept
             return tuple(out)
         have = _TABLES["powers"] = tuple(out)
     return have

@@ -25,7 +25,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections import deque
 
 import numpy as np
@@ -198,41 +197,31 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> list[tuple[int,
     return runs
 
 
-def _place(frames, runs: list, size: int):
-    runs = sorted(runs)
-    key = [(r[0], r[1]) for r in runs]
-    by = np.array(runs, np.int64).reshape(-1, 6)
-    starts = {n: (bisect_left(key, (n, 0)), bisect_left(key, (n + 1, 0))) for n in {r[0] for r in runs}}
-    for pdf in frames:
-        which = np.zeros(len(pdf), np.int64)
-        length, rank = pdf["length"].to_numpy(), pdf["rank"].to_numpy()
-        for n in np.unique(length):
-            a, b = starts[int(n)]
-            rows = np.flatnonzero(length == n)
-            which[rows] = a + np.searchsorted(by[a:b, 1], rank[rows], "right") - 1
-        run = by[which]
-        i = rank - run[:, 1]
-        out = pdf.drop(columns=["rank"])
-        out["sequence_id"] = run[:, 4] + i // run[:, 3]
-        out["offset"] = run[:, 5] + i % run[:, 3] * length
-        yield out
-
-
-def pack(pieces: DataFrame, size: int = SIZE, bucket_rows: int = 20_000) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``.
+def pack(pieces: DataFrame, size: int = SIZE, bucket_rows: int = 1_000) -> DataFrame:
+    """``pieces`` (doc_id, piece, length, ids_crc32, ...) with ``sequence_id`` and ``offset``.
     They are read several times: pass a stored table."""
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
     runs = best_fit_decreasing(hist, size)
-    buckets = max(1, -(-max(hist.values(), default=1) // bucket_rows))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.lit(3), "doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns]), F.lit(buckets)))
+    # each length has buckets of about ``bucket_rows`` pieces; at most ``size`` rows are broadcast
+    buckets = pieces.sparkSession.createDataFrame([(n, -(-c // bucket_rows)) for n, c in hist.items()], "length long, buckets long")
+    h = F.xxhash64(F.lit(3), "doc_id", "piece", "ids_crc32")
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(h, "buckets")).drop("buckets")
     totals = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = (dealt.withColumn("rank", rank - 1).join(totals, ["length", "bucket"])
               .withColumn("rank", (F.col("rank") + F.col("before")).cast("long")).select(*pieces.columns, "rank"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"]
-    return ranked.mapInPandas(lambda it: _place(it, runs, size), ", ".join(fields))
+    # each length's runs, at most a few: the one that holds the rank gives the place
+    by: dict[int, list] = {}
+    for n, *run in runs:
+        by.setdefault(n, []).append(tuple(run))
+    kind = "array<struct<rank long, pieces long, k long, seq long, at long>>"
+    places = F.broadcast(pieces.sparkSession.createDataFrame(list(by.items()), f"length long, runs {kind}"))
+    run = F.element_at(F.filter("runs", lambda r: (r["rank"] <= F.col("rank")) & (F.col("rank") < r["rank"] + r["pieces"])), 1)
+    out = ranked.join(places, "length").withColumn("run", run).withColumn("i", F.col("rank") - F.col("run.rank"))
+    return out.select(*pieces.columns, (F.col("run.seq") + F.expr("i div run.k")).alias("sequence_id"),
+                      (F.col("run.at") + F.col("i") % F.col("run.k") * F.col("length")).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
