@@ -151,7 +151,7 @@ def _scored(batches, k: int):
                      pa.array(np.take_along_axis(sims, best, axis=1).ravel())], ["query_id", "class_id", "near"])
 
 
-def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, depth: int = 7, share: float = 0.75,
+def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, depth: int = 7, share: float = 1.75,
             fit_rows: int = 65_536, least: int = 16, part_rows: int = 4096, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of ``table`` (vec_id,
     embedding) found nearest by cosine to each row that fulfils ``queries``, a

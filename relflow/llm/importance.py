@@ -124,7 +124,7 @@ class Model:
         return F.arrow_udf(weigh, "double")(text)
 
 
-def fit(raw: np.ndarray, target: np.ndarray, prior: float = 20.0) -> Model:
+def fit(raw: np.ndarray, target: np.ndarray, prior: float = 4.0) -> Model:
     """Log ratios of the target model (with ``prior`` pseudo-counts a bucket in the
     raw model's proportions) to the raw model, for each kind of features."""
     out = []
@@ -167,7 +167,7 @@ class Sampler:
         return docs.where(self.log_weight(docs) + self.noise(docs) >= F.lit(self.cut))
 
 
-def sampler(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, prior: float = 20.0, seed: int = 23) -> tuple[Sampler, DataFrame]:
+def sampler(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, prior: float = 4.0, seed: int = 23) -> tuple[Sampler, DataFrame]:
     """A sampler for ``docs`` (doc_id, text), with ``labels`` (doc_id, quality 0 or
     1), and the stored table ``(doc_id, log_weight, key)`` it was made with."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
