@@ -104,6 +104,11 @@ class Mix:
     draws: DataFrame        # row, doc_id, block, start_word, words, source_no, draw, shard, order_key
 
 
+def _small(table: DataFrame, n: int) -> DataFrame:
+    """A table of known length: broadcast up to 100,000 rows, joined by a shuffle beyond."""
+    return F.broadcast(table) if n <= 100_000 else table
+
+
 def _hash(seed: int, block: Column) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", block.cast("long"))
 
@@ -129,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
                                    for i, r in enumerate(rows)], kind)
 
     # every block with its rank, and the words before it, in its source's random order
-    src = table.withColumnRenamed("source", "source_key")
+    src = _small(table, len(rows)).withColumnRenamed("source", "source_key")
     blocks = (sizes.where("size > 0").join(src, F.col("source").eqNullSafe(F.col("source_key")))
               .select("row", "doc_id", "size", "source_no", "passes", "rest", "blocks", "bins",
                       F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1)).alias("block")))
@@ -154,9 +159,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
         F.max(F.when(F.col("last") > 0, F.struct("bin", "h"))).alias("cut")).collect()}
     of = [cuts.get(i) for i in range(len(rows))]
     quotas = [passes[i] * int(r["blocks"]) + (of[i]["n"] if of[i] else 0) for i, r in enumerate(rows)]
-    cut = spark.createDataFrame([(i, c["cut"]["bin"] if c and c["cut"] else None, c["cut"]["h"] if c and c["cut"] else None)
-                                 for i, c in enumerate(of)], "source_no int, cut_bin long, cut_hash long")
-    table = table.join(cut, "source_no").drop("rest", "blocks")
+    ends = [tuple(c["cut"]) if c and c["cut"] else (None, None) for c in of]
+    table = spark.createDataFrame([(r["source"], i, r["size"], target[i], passes[i], bins[i], *ends[i]) for i, r in enumerate(rows)],
+                                  "source string, source_no int, source_size long, target double, passes long, bins long, cut_bin long, cut_hash long")
+    table = _small(table, len(rows))
 
     # the draws: one row for each pass that takes the block
     times = F.col("passes") + (F.col("last") > 0).cast("long")
