@@ -18,10 +18,10 @@ both tell. Correlated voters share their weight: a voter's log odds count
 Labelled training rows enter with their label, all others with the posterior.
 
 Classifier: logistic regression over the patterns that tell most, trained on the
-posterior labels of a sample of training rows. Its score reads the text alone.
+posterior labels of the sampled training rows. Its score reads the text alone.
 
-Bounds: mining and training use at most ``fit_rows`` labelled rows and as many
-unlabelled ones. Votes and the label model cover all documents.
+Bounds: mining and training use at most ``fit_rows`` labelled rows. Votes and the
+label model cover all documents.
 
 Rows: one per input row, repeated ones too. Null and empty texts have no pattern
 and get the score of a text without one. A label that is null or neither 0 nor 1
@@ -35,6 +35,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,7 +203,6 @@ def _moments(frames, model: LabelModel, trust: float):
         v = _bits(votes, k)
         for y, w in ((0, (1 - q) * n), (1, q * n)):
             sums[y] += np.concatenate([[w.sum()], w @ v, ((v * w[:, None]).T @ v).ravel()])
-    import pandas as pd
     at = np.flatnonzero(sums.ravel())
     yield pd.DataFrame({"i": at, "x": sums.ravel()[at]})
 
