@@ -90,3 +90,27 @@ def test_change_messages_stream_sink(spark, tmpdir_run):
     q.awaitTermination()
     got = sorted(r.value for r in spark.read.text(f"{tmpdir_run}/msgs").collect())
     assert got == ['{"actor1":"B","actor2":"A","score":0.5}', '{"actor1":"C","actor2":"A","score":-0.25}']
+
+
+def test_state_table_survives_a_stop_between_its_pointer_steps(spark, tmpdir_run, monkeypatch):
+    rows = spark.createDataFrame([("B", "A", 1, 0.5)], "actor1 string, actor2 string, ts long, score double")
+    newer = spark.createDataFrame([("B", "A", 2, 0.7)], rows.schema)
+    table = LatestStateTable(spark, f"{tmpdir_run}/latest", compact_every=2)
+    table.upsert(rows, 0)
+    with monkeypatch.context() as m:
+        m.setattr(LatestStateTable, "_write_pointer", lambda self, obj: (_ for _ in ()).throw(OSError("stopped")))
+        try:
+            table.upsert(newer, 1)
+        except OSError:
+            pass
+    again = LatestStateTable(spark, f"{tmpdir_run}/latest", compact_every=2)
+    assert again.current_batch() == 0 and [r.score for r in again.read().collect()] == [0.5]
+    reader = again.read()           # looked up before the next versions
+    again.upsert(newer, 1)          # the replayed batch, with a compaction
+    assert [r.score for r in again.read().collect()] == [0.7]
+    assert [r.score for r in reader.collect()] == [0.5]     # its files are still there
+    for i in range(2, 7):
+        again.upsert(newer.withColumn("score", F.lit(float(i))), i)
+    assert [r.score for r in again.read().collect()] == [6.0]
+    names = os.listdir(f"{tmpdir_run}/latest")
+    assert sum(n.startswith("_current.") for n in names) == 2 and sum(n.startswith("base=") for n in names) <= 2
