@@ -62,6 +62,35 @@ def test_recall_of_the_index(spark):
     assert sum(got[i] for i in links) >= 0.9 * sum(links.values())
 
 
+@pytest.mark.parametrize("pair_cosine", [0.92, 0.95])
+def test_recall_on_a_noisy_family_with_a_third_of_all_rows(spark, pair_cosine):
+    r = np.random.default_rng(4)
+    n, d = 12000, 64
+    x = unit_rows(r.normal(size=(n, d)))
+    x[::3] = unit_rows(np.sqrt(pair_cosine) * x[0] + np.sqrt(1 - pair_cosine) * x[::3])
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA).repartition(8)
+    out = pivots.near_vectors(df).toPandas().set_index("vec_id").sort_index()
+    u = unit_rows(x.astype(np.float64))
+    want = np.concatenate([(u[s:s + 2000] @ u.T >= 0.9).sum(axis=1) - 1 for s in range(0, n, 2000)])
+    got = out["n_links"].to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+
+
+def test_descriptions_follow_the_pivots_density():
+    r = np.random.default_rng(5)
+    for n in (10 ** 4, 10 ** 6, 10 ** 8):
+        drawn = unit_rows(r.normal(size=(2 * int(n ** 0.5), 64)))
+        x = unit_rows(r.normal(size=(1000, 64)))
+        near = pivots.fitting_length(drawn, [(x[:500], pivots._neighbours(x[:500], 0.9, 1))], 6, 2)
+        a, b = (pivots._nearest(v, drawn, near) for v in (x[500:], pivots._neighbours(x[500:], 0.9, 2)))
+        assert near and pivots._found(a, b, 2) >= 0.94
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_nearest_equal_brute_force_with_all_leaves(spark):
     rows = table()
     ok = {i: np.array(v, np.float64) for i, v in rows if i in brute(rows)[0]}
