@@ -18,8 +18,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SuperMinHash near-duplicates: one document of each group stays."""
-    return minhash.distinct_documents(docs)
+    """SuperMinHash near-duplicates (five-word shingles, similarity 0.8 or more):
+    one document of each group stays."""
+    return minhash.distinct_documents(docs, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,16 @@ def test_run_and_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{none}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
     assert P.run(spark, none).count() == 0
+
+
+def test_near_dedup_links_from_a_similarity_of_080(spark, tmp_path):
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(44 + i % 30)]
+        rows.append((2 * i, " ".join(words), "en", "s", 0))
+        words[20] = "changed"
+        rows.append((2 * i + 1, " ".join(words), "en", "s", 0))
+    want = set(near_components([(i, t) for i, t, *_ in rows], 80).values())
+    assert len(set(near_components([(i, t) for i, t, *_ in rows]).values())) > len(want) > 40
+    got = P.near_dedup(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
