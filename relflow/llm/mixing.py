@@ -191,21 +191,14 @@ def taken(m: Mix) -> DataFrame:
             .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, m: Mix, seed: int = 17) -> DataFrame:
-    """``docs``, each row as often as the mix takes the document (a mix of whole
-    documents, ``block_words=None``). Whether the last pass takes a document
-    follows from its place in the source's order, so no text is shuffled."""
-    names = docs.columns
-    src = m.sources.select(F.col("source").alias("__source"), "passes", "bins", "cut_bin", "cut_hash",
-                           ).toDF("__source", "__passes", "__bins", "__cut_bin", "__cut_hash")
-    rows = docs.join(src, docs["source"].cast("string").eqNullSafe(F.col("__source")))
-    h = F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), F.lit(0).cast("long"))
-    place = F.struct(F.pmod(h, F.col("__bins")).alias("b"), h.alias("h"))
-    cut = F.struct(F.col("__cut_bin").alias("b"), F.col("__cut_hash").alias("h"))
-    times = F.when(word_count(docs["text"]) > 0, F.col("__passes") + F.coalesce(
-        (F.col("__cut_bin").isNotNull() & (place <= cut)).cast("long"), F.lit(0))).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("__times", times).where("__times > 0")
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[docs[c] for c in names])
+def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
+    """``docs``, each row once for each of its draws (a mix of whole documents,
+    ``block_words=None``), in the order of the shards and of each shard's local
+    shuffle. ``docs`` must be the table that ``m`` was made of, a stored one: its
+    rows are known by their place in it."""
+    places = C.stored(shard_rows(m).select(F.col("row").alias("__drawn"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(places, F.col("__row") == F.col("__drawn"))
+    return rows.orderBy("__shard", "__slot").select(*docs.columns)
 
 
 def shard_rows(m: Mix) -> DataFrame:

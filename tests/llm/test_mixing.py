@@ -89,6 +89,14 @@ def test_mixed_documents_repeat_rows_as_the_mix_says(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_mixed_documents_come_by_shard_and_local_shuffle(spark):
+    df = spark.createDataFrame([(i, f"w{i} " * (i % 7 + 1), "en", "ab"[i % 2], 0) for i in range(300)], DOCS)
+    made = mixing.mix(df, block_words=None, shard_draws=60)
+    want = [r["doc_id"] for r in mixing.shard_rows(made).orderBy("shard", "slot").collect()]
+    assert made.draws.select("shard").distinct().count() > 2
+    assert [r["doc_id"] for r in mixing.mixed_documents(df, made).collect()] == want
+
+
 def test_empty_table(spark):
     made = mixing.mix(spark.createDataFrame([], DOCS))
     assert mixing.taken(made).count() == 0 and made.draws.count() == 0
