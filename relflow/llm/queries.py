@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relflow.llm import forest, importance, minhash, mixing, packing, pivots, preferences, secrets, toxicity, urls
+from relflow.llm import codes, forest, importance, minhash, mixing, packing, pivots, preferences, quality_rules, secrets, toxicity, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,68 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_projection_forest")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op11_chebyshev_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in quality_rules.stop_words())
+    tests = []
+    for r in quality_rules.THRESHOLDS:
+        value = f"CAST({r.measure} AS DOUBLE)" + (f" / greatest({r.per}, 1)" if r.per else "")
+        broken = [f"{value} < {r.least}"] * (r.least is not None) + [f"{value} > {r.most}"] * (r.most is not None)
+        tests.append(f"CASE WHEN {' OR '.join(broken)} THEN '{r.name}' END")
+    return f"""WITH b AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        s AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM b),
+        u AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM s),
+        g AS (SELECT r, i, x, lead(x, 1) OVER q AS y, lead(x, 2) OVER q AS z FROM u WINDOW q AS (PARTITION BY r ORDER BY i)),
+        c AS (SELECT r, i, z IS NOT NULL AND count(*) OVER (PARTITION BY r, x, y, z) > 1 AS twice FROM g),
+        v AS (SELECT r, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside FROM c),
+        n AS (SELECT r, count(*) FILTER (WHERE inside) AS n_repeat_words FROM v GROUP BY r),
+        m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                     CAST(len(l) AS BIGINT) AS n_lines, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaims,
+                     len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words,
+                     len(list_filter(l, lambda x: contains(x, '|'))) AS n_bar_lines FROM s LEFT JOIN n USING (r)),
+        j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                     concat_ws(',', {', '.join(tests)}) AS broken FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM j"""
+
+
+@_query("op12_threshold_quality_rules", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    """Brute force: each round compares all parts with all entries."""
+    def nearest(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT r, p, min(CAST(xx - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS k
+            FROM parts JOIN b{i} USING (p) GROUP BY r, p)"""
+
+    def moved(i: int) -> str:
+        return f"""m{i} AS (SELECT p, e, list(CAST(floor(s / n) AS DOUBLE) ORDER BY pos) AS c FROM (
+                SELECT p, k % 256 AS e, pos, sum(CAST(x[pos] AS BIGINT)) AS s, count(*) AS n
+                FROM parts JOIN a{i} USING (r, p), (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS pos) GROUP BY ALL) GROUP BY p, e),
+            b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} USING (p, e))"""
+    rounds = codes.ROUNDS
+    steps = ", ".join(f"{nearest(i)}, {moved(i)}" for i in range(rounds)) + ", " + nearest(rounds)
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, x) AS r, * FROM v),
+        parts AS MATERIALIZED (SELECT r, p, x[p * w + 1:(p + 1) * w] AS x, list_inner_product(x[p * w + 1:(p + 1) * w], x[p * w + 1:(p + 1) * w]) AS xx
+                  FROM (SELECT r, x, len(x) // 4 AS w, unnest(range(4)) AS p FROM o)),
+        b0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 256), {steps},
+        h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+        f AS (SELECT r, string_agg(printf('%02x', k % 256), '' ORDER BY p) AS code, CAST(sum(k // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN f USING (r), h"""
+
+
+@_query("op13_bitmask_codes", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))

@@ -42,6 +42,27 @@ def classes(rows: DataFrame, copies: int = 1) -> DataFrame:
     return out.withColumn("ids", F.array("class_id"))
 
 
+def integer_vectors(table: DataFrame, scale: int) -> DataFrame:
+    """``(vec_id, label, x)`` of the rows of ``table`` (vec_id, embedding, label) whose
+    vector has no null or non-finite component and the most common length (of equally
+    common ones the largest); ``x`` = floor(``scale`` * component) as longs, within a
+    long's range. Zero vectors and null ids stay."""
+    v = F.col("embedding").cast("array<double>")
+    label = F.col("label") if "label" in table.columns else F.lit(None).cast("int")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), v.alias("v"))
+    bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    rows = rows.where(F.col("v").isNotNull() & ~bad)
+    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    rows = rows.where(F.size("v") == (size[0]["d"] if size else 0))
+    return rows.select("vec_id", "label", F.transform("v", lambda c: F.floor(F.lit(float(scale)) * c)).alias("x"))
+
+
+def longs(column: pa.Array) -> np.ndarray:
+    """A list column of longs without nulls as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls as a double matrix."""
     if isinstance(column, pa.ChunkedArray):
