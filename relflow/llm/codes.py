@@ -195,7 +195,7 @@ def _coded(books: list[np.ndarray], width: int):
 def first_entries(rows: DataFrame) -> np.ndarray:
     """The vectors of the smallest ids, at most ``ENTRIES``, in order."""
     first = rows.select("vec_id", "x").orderBy(F.asc_nulls_last("vec_id"), "x").limit(ENTRIES).collect()
-    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1) if first else np.zeros((0, 0), np.int64)
 
 
 def train(rows: DataFrame) -> tuple[list[np.ndarray], int]:

@@ -155,7 +155,9 @@ def judge(docs: DataFrame, rules: Sequence[Threshold] = THRESHOLDS) -> DataFrame
     # arrays that several measures read are columns of their own, made once per text
     split = text.select("doc_id", "t", F.array_remove(F.split("t", SPACE), "").alias("words"),
                         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
-    rows = _with_windows(split).select("doc_id", *[measures[m].alias(m) for m in used])
+    # generated, not projected: a later filter on a result then stays above the measures,
+    # where Catalyst would otherwise copy their expressions into it and work them out anew
+    rows = _with_windows(split).select("doc_id", F.inline(F.array(F.struct(*[measures[m].alias(m) for m in used]))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = rows.select("*", failed.alias("base_failed"), compiled(rules).alias("broken"))
     return rows.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("broken") == "")).alias("kept"), "broken")
