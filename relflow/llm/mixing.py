@@ -25,8 +25,10 @@ holds a third of all blocks spreads over tasks. Only one row for each source
 reaches the driver.
 
 Rows: each row counts on its own, repeated ones too. Null texts have size 0;
-documents without words are never drawn. A null source is a source of its own.
-An empty table gives no rows. Other columns are not read.
+documents without words are never drawn. A null source is a source of its own. An
+empty table gives no rows. Other columns are not read; ``mixed_documents`` returns them
+all. A row is known by its file and its place there, so the draws find it whatever
+tasks a later scan cuts the files into; rows that come from no file are stored first.
 """
 
 from __future__ import annotations
@@ -99,7 +101,8 @@ class SplitTree:
 
 @dataclass
 class Mix:
-    sizes: DataFrame        # row, doc_id, source, size
+    docs: DataFrame         # the documents as a table of files
+    sizes: DataFrame        # row, file, place, doc_id, source, size
     sources: DataFrame      # source, source_no, source_size, target, passes, cut_bin, cut_hash, bins
     draws: DataFrame        # row, doc_id, block, start_word, words, source_no, draw, shard, order_key
 
@@ -109,6 +112,19 @@ def _small(table: DataFrame, n: int) -> DataFrame:
     return F.broadcast(table) if n <= 100_000 else table
 
 
+def _in_files(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is a table of files as it was read, else a stored copy."""
+    node = docs._jdf.queryExecution().analyzed().nodeName()
+    return docs if "Relation" in node and docs.inputFiles() else C.stored(docs)
+
+
+def _place(docs: DataFrame) -> list[Column]:
+    """A row's file and its number there: however the files are split among
+    tasks, a later scan finds the same row under them."""
+    at = docs.metadataColumn("_metadata")
+    return [at["file_path"].alias("__file"), at["row_index"].alias("__place")]
+
+
 def _hash(seed: int, block: Column) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", block.cast("long"))
 
@@ -118,7 +134,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
     """The mix of ``docs`` (doc_id, text, source): which blocks, how often, and
     in which shard of about ``shard_draws`` draws."""
     spark = docs.sparkSession
-    sizes = C.stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+    docs = _in_files(docs)
+    sizes = C.stored(docs.select(F.monotonically_increasing_id().alias("row"), *_place(docs), F.col("doc_id").cast("long").alias("doc_id"),
                                  F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
     n_blocks = F.ceil(F.col("size") / block_words) if block_words else F.least(F.col("size"), F.lit(1))
     rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.sum(n_blocks).alias("blocks")).collect()
@@ -179,7 +196,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
             yield pdf
 
     draws = draws.mapInPandas(place, "row long, doc_id long, block long, start_word long, words long, source_no int, draw long, shard long")
-    return Mix(sizes, table, draws.withColumn("order_key", F.xxhash64(F.lit(seed), "shard", "source_no", "draw")))
+    return Mix(docs, sizes, table, draws.withColumn("order_key", F.xxhash64(F.lit(seed), "shard", "source_no", "draw")))
 
 
 def taken(m: Mix) -> DataFrame:
@@ -191,14 +208,15 @@ def taken(m: Mix) -> DataFrame:
             .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
-    """``docs``, each row once for each of its draws (a mix of whole documents,
-    ``block_words=None``), in the order of the shards and of each shard's local
-    shuffle. ``docs`` must be the table that ``m`` was made of, a stored one: its
-    rows are known by their place in it."""
-    places = C.stored(shard_rows(m).select(F.col("row").alias("__drawn"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(places, F.col("__row") == F.col("__drawn"))
-    return rows.orderBy("__shard", "__slot").select(*docs.columns)
+def mixed_documents(m: Mix) -> DataFrame:
+    """The documents of ``m``, each row once for each of its draws (a mix of whole
+    documents, ``block_words=None``), in the order of the shards and of each shard's
+    local shuffle. Draws find their rows by file and place in the file."""
+    places = (shard_rows(m).select("row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+              .join(m.sizes.select("row", F.col("__file").alias("__drawn_file"), F.col("__place").alias("__drawn")), "row").drop("row"))
+    places = C.stored(places)
+    rows = m.docs.select(F.struct("*").alias("__doc"), *_place(m.docs)).join(places, (F.col("__place") == F.col("__drawn")) & (F.col("__file") == F.col("__drawn_file")))
+    return rows.orderBy("__shard", "__slot").select("__doc.*")
 
 
 def shard_rows(m: Mix) -> DataFrame:

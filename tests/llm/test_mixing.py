@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from brute import DOCS, WORD
@@ -82,7 +84,7 @@ def test_mixed_documents_repeat_rows_as_the_mix_says(spark):
     data = [r for r in rows() if r[0] is not None and r[0] != 7]
     df = spark.createDataFrame(data, DOCS)
     made = mixing.mix(df, block_words=None)
-    out = mixing.mixed_documents(df, made)
+    out = mixing.mixed_documents(made)
     assert out.columns == df.columns
     want = {r["doc_id"]: -(-r["taken"] // r["size"]) if r["size"] else 0 for r in mixing.taken(made).collect()}
     got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
@@ -94,7 +96,37 @@ def test_mixed_documents_come_by_shard_and_local_shuffle(spark):
     made = mixing.mix(df, block_words=None, shard_draws=60)
     want = [r["doc_id"] for r in mixing.shard_rows(made).orderBy("shard", "slot").collect()]
     assert made.draws.select("shard").distinct().count() > 2
-    assert [r["doc_id"] for r in mixing.mixed_documents(df, made).collect()] == want
+    assert [r["doc_id"] for r in mixing.mixed_documents(made).collect()] == want
+
+
+def test_rows_are_found_however_the_files_are_split(spark, tmp_path):
+    """The scan that reads the texts may cut the files into other tasks than the one that
+    numbered the rows (executors come and go): every draw still gets its own row."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"w{i} " * (i % 7 + 1), "en", "ab"[i % 2], i) for i in range(2000)], DOCS).repartition(6).write.parquet(path)
+    keys = ["spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        made = mixing.mix(spark.read.parquet(path), block_words=None)
+        want = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.taken(made).collect() if r["taken"]}
+        for values in (("1", "1", "100000000"), ("40", "1", "4096")):
+            for k, v in zip(keys, values):
+                spark.conf.set(k, v)
+            again = spark.read.parquet(path)
+            made.docs = again
+            out = mixing.mixed_documents(made).collect()
+            got = Counter(r["doc_id"] for r in out)
+            assert got == want and all(r["text"] == f"w{r['doc_id']} " * (r["doc_id"] % 7 + 1) and r["n_chars"] == r["doc_id"] for r in out)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_derived_rows_are_stored_first(spark):
+    df = spark.range(40).selectExpr("id AS doc_id", "repeat('w ', int(id % 4) + 1) AS text", "'en' AS lang", "'a' AS source", "id AS n_chars",
+                                    "'clash' AS row", "map('k', 1) AS __file")
+    made = mixing.mix(df, block_words=None)
+    assert {r["doc_id"] for r in mixing.mixed_documents(made).collect()} == {r["doc_id"] for r in mixing.taken(made).where("taken > 0").collect()}
 
 
 def test_empty_table(spark):
