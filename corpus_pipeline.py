@@ -30,7 +30,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact source quotas: each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs, mixing.mix(docs, block_words=None))
+    return mixing.mixed_documents(mixing.mix(docs, block_words=None))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
