@@ -7,8 +7,10 @@ parallel; after ``d`` sub-epochs every rating was seen once per epoch.
 
 Inside a block the reference's per-rating online update runs in rating order
 (``e = r - u.v``; ``u += lr*e*v``; ``v += lr*e*u``, both from the vectors
-before this rating). A block is streamed: its factor rows are sorted ahead of
-its rating rows in one partition, so only the block's vectors - never its
+before this rating), in waves: a rating's wave is one after the last wave of its
+user and its item, and a wave, in which no user and no item occurs twice, is one
+vectorised update (``levels``). A block is streamed: its factor rows are sorted
+ahead of its rating rows in one partition, so only the block's vectors - never its
 ratings - are held in memory. Factor tables are checkpointed after every
 sub-epoch, so each sub-epoch's lineage is cut. The ratings are written once,
 in a folder for each stratum, and a sub-epoch reads its own only.
@@ -23,7 +25,7 @@ import uuid
 from typing import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,44 +38,98 @@ from relflow.session import checkpoint_dir
 BLOCK_IDS = 250_000
 
 
+def levels(users: np.ndarray, items: np.ndarray):
+    """The ratings of a sequence, as arrays of places: each array holds the ratings
+    whose user and item stand in no earlier rating outside the arrays before it. No
+    user and no item occurs twice in an array, so its ratings can be applied at once;
+    array after array this is the same as one rating after another."""
+    n = len(users)
+    after, waits = [], np.zeros(n, np.int8)
+    for ids in (users, items):
+        order = np.argsort(ids, kind="stable")
+        same = ids[order[1:]] == ids[order[:-1]]
+        following = np.full(n, -1)
+        following[order[:-1][same]] = order[1:][same]
+        waits[order[1:][same]] += 1
+        after.append(following)
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        yield ready
+        freed = np.concatenate([f[ready] for f in after])
+        freed = freed[freed >= 0]
+        np.subtract.at(waits, freed, 1)
+        ready = np.unique(freed[waits[freed] == 0])
+
+
+class _Block:
+    """Vectors of one block, and its ratings in order."""
+
+    def __init__(self):
+        self.ids, self.rows, self.vectors = {"user": [], "item": []}, {"user": [], "item": []}, None
+
+    def add(self, side: str, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids[side].append(ids)
+        self.rows[side].append(vectors)
+
+    def ready(self) -> None:
+        self.vectors, self.sorted = {}, {}
+        for side in ("user", "item"):
+            if self.ids[side]:
+                ids = np.concatenate(self.ids[side])
+                order = np.argsort(ids, kind="stable")
+                self.sorted[side], self.vectors[side] = ids[order], np.concatenate(self.rows[side])[order]
+        self.ids = self.rows = None
+
+    def train(self, users: np.ndarray, items: np.ndarray, ratings: np.ndarray, lr: float) -> None:
+        if self.vectors is None:
+            self.ready()
+        at_u, at_v = np.searchsorted(self.sorted["user"], users), np.searchsorted(self.sorted["item"], items)
+        u_all, v_all = self.vectors["user"], self.vectors["item"]
+        for wave in levels(at_u, at_v):
+            iu, iv = at_u[wave], at_v[wave]
+            u, v = u_all[iu], v_all[iv]
+            step = (lr * (ratings[wave] - np.einsum("ij,ij->i", u, v)))[:, None]
+            u_all[iu], v_all[iv] = u + step * v, v + step * u
+        if np.isnan(u_all[at_u]).any() or np.isnan(v_all[at_v]).any():
+            raise ValueError("factor is not a number")
+
+    def result(self):
+        if self.vectors is None:
+            self.ready()
+        for side, vectors in self.vectors.items():
+            for a in range(0, len(vectors), 8192):
+                part = vectors[a:a + 8192]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([side] * len(part)), pa.array(self.sorted[side][a:a + 8192]), lists],
+                                                 names=["side", "id", "factors"])
+
+
 def _block_fn(lr: float, k: int):
-    def fn(it):
-        model: dict = {}
-        cur_blk = None
-
-        def flush():
-            if not model:
-                return None
-            rows = [(side, i, vec.tolist()) for (side, i), vec in model.items()]
-            return pd.DataFrame(rows, columns=["side", "id", "factors"])
-
-        for pdf in it:
-            if len(pdf) == 0:
+    """Rows of a partition, by block: first its vectors (kind 0), then its ratings in
+    order (kind 1). Ratings are applied in waves within each Arrow batch."""
+    def fn(batches):
+        now, block = None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            kinds, blks = pdf["kind"].tolist(), pdf["blk"].tolist()
-            sides, ids, facs = pdf["side"].tolist(), pdf["id"].tolist(), pdf["factors"].tolist()
-            uids, iids, rats = pdf["user_id"].tolist(), pdf["item_id"].tolist(), pdf["rating"].tolist()
-            for r in range(len(pdf)):
-                b = blks[r]
-                if b != cur_blk:
-                    out = flush()
-                    if out is not None:
-                        yield out
-                    model, cur_blk = {}, b
-                if kinds[r] == 0:                      # factor row
-                    model[(sides[r], int(ids[r]))] = np.array(facs[r], dtype=np.float64)
-                else:                                  # rating row
-                    u = model[("user", int(uids[r]))]
-                    v = model[("item", int(iids[r]))]
-                    e = rats[r] - float(u @ v)
-                    du, dv = lr * e * v, lr * e * u
-                    u += du
-                    v += dv
-                    if np.isnan(u).any() or np.isnan(v).any():
-                        raise ValueError("factor is not a number")
-        out = flush()
-        if out is not None:
-            yield out
+            key = batch.column("blk").to_numpy().astype(np.int64) * 2 + batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                number, kind = divmod(int(key[a]), 2)
+                if number != now:
+                    if block is not None:
+                        yield from block.result()
+                    now, block = number, _Block()
+                part = batch.slice(a, b - a)
+                if kind == 1:
+                    block.train(*(part.column(c).to_numpy() for c in ("user_id", "item_id", "rating")), lr)
+                else:
+                    side, ids = part.column("side").to_numpy(zero_copy_only=False), part.column("id").to_numpy()
+                    vectors = part.column("factors").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), k)
+                    for s in ("user", "item"):
+                        block.add(s, ids[side == s], vectors[side == s])
+        if block is not None:
+            yield from block.result()
 
     return fn
 
@@ -134,7 +190,8 @@ def train_mf(ratings: DataFrame, k: int = 10, lr: float = 0.01,
             both = ms.unionByName(rs).withColumn("own", F.element_at(own, F.col("blk").cast("int") + 1)) \
                      .repartition(d, "own").drop("own") \
                      .sortWithinPartitions("blk", "kind", *order, "user_id", "item_id")
-            model = both.mapInPandas(fn, out_schema).checkpoint()
+            both = both.drop(*[o for o in order if o not in ("user_id", "item_id", "rating")])
+            model = both.mapInArrow(fn, out_schema).checkpoint()
     users_out = model.filter(F.col("side") == "user").select(F.col("id").alias(user_col), "factors")
     items_out = model.filter(F.col("side") == "item").select(F.col("id").alias(item_col), "factors")
     return users_out, items_out

@@ -1,0 +1,111 @@
+"""Blocked training step (F10, F14) and wavefront updates."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from relflow.operators import cells, mf
+from relflow.operators import factors as FX
+from relflow.operators import training as TR
+
+K = 5
+
+
+def ratings(n=600, seed=0):
+    r = np.random.default_rng(seed)
+    rows = [(int(u), int(i), float(x)) for u, i, x in zip(r.integers(0, 40, n), r.integers(100, 130, n), r.normal(size=n))]
+    rows += [(3, 105, 1.0)] * (n // 3)                     # one pair with a third of all rows
+    rows += [(3, int(i), 0.5) for i in range(100, 130)]    # a user with every item
+    return rows
+
+
+def plain(rows, users, items, lr):
+    """One synchronous step in numpy."""
+    du, dv = {}, {}
+    for u, i, r in rows:
+        a, b = users[u], items[i]
+        e = lr * (r - a @ b)
+        du[u], dv[i] = du.get(u, 0) + e * b, dv.get(i, 0) + e * a
+    return {u: v + du.get(u, 0) for u, v in users.items()}, {i: v + dv.get(i, 0) for i, v in items.items()}
+
+
+def model(spark, lo, hi, name, seed):
+    r = np.random.default_rng(seed)
+    vec = {i: r.normal(size=K) for i in range(lo, hi)}
+    return vec, spark.createDataFrame([(i, v.tolist()) for i, v in vec.items()], f"{name} long, factors array<double>")
+
+
+@pytest.mark.parametrize("block_bytes,cell_pairs,dense", [(8 << 20, 250_000, 32), (8 * K * 7, 50, 32), (8 * K * 7, 50, 0)])
+def test_step_equals_plain(spark, monkeypatch, block_bytes, cell_pairs, dense):
+    rows = ratings()
+    uv, u = model(spark, 0, 45, "user_id", 1)      # some users without ratings
+    iv, i = model(spark, 100, 130, "item_id", 2)
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    monkeypatch.setattr(cells, "DENSE", dense)
+    parts = cells.step_deltas(df, u, i, 0.05, FX.seeded_init(K), FX.seeded_init(K), K, block_bytes=block_bytes, cell_pairs=cell_pairs)
+    n = parts.groupBy("side").count().collect()
+    if cell_pairs == 50:
+        assert max(r["count"] for r in n) > 40      # several partial deltas an id, never one a rating
+    wu, wi = plain(rows, uv, iv, 0.05)
+    got = {(r["side"], r["id"]): np.array(r["delta"]) for r in FX.sum_deltas(parts, ["side", "id"], k=K).collect()}
+    for (side, x), d in got.items():
+        old, new = (uv, wu) if side == "user" else (iv, wi)
+        assert np.allclose(old[x] + d, new[x], atol=1e-9)
+    assert {x for s, x in got if s == "user"} == {r[0] for r in rows} and {x for s, x in got if s == "item"} == {r[1] for r in rows}
+
+
+def test_own_updater_gives_the_same_model(spark):
+    rows = ratings(200, 4)
+    _, u = model(spark, 0, 30, "user_id", 1)       # users 30-39 start from their initial vectors
+    _, i = model(spark, 100, 125, "item_id", 2)
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    key = lambda m: {(r["side"], r["id"]): r["factors"] for r in m.collect()}
+    a = key(TR.sgd_step_model(df, u, i, 0.1, FX.seeded_init(K), FX.seeded_init(K), k=K))
+    b = key(TR.sgd_step_model(df, u, i, 0.1, FX.seeded_init(K), FX.seeded_init(K), updater=FX.sgd_updater(0.1), k=K))
+    assert a.keys() == b.keys() and all(np.allclose(a[x], b[x], atol=1e-9) for x in a)
+
+
+def test_nulls_and_empty(spark):
+    _, u = model(spark, 0, 3, "user_id", 1)
+    _, i = model(spark, 100, 103, "item_id", 2)
+    rows = [(0, 100, None), (None, 101, 1.0), (1, None, 1.0), (2, 102, 1.0), (9, 100, 1.0)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    m = {(r["side"], r["id"]) for r in TR.sgd_step_model(df, u, i, 0.1, FX.seeded_init(K), FX.seeded_init(K), k=K, touched_only=True).collect()}
+    assert m == {("user", 0), ("user", 2), ("user", 9), ("item", 100), ("item", 102)}
+    empty = TR.sgd_step_model(df.limit(0), u, i, 0.1, FX.seeded_init(K), FX.seeded_init(K), k=K)
+    assert empty.count() == 6
+
+
+def test_no_vector_travels_with_a_rating(spark):
+    """Only distinct (id, cell) rows carry vectors into the cells' exchange."""
+    rows = ratings(3000, 7)
+    _, u = model(spark, 0, 40, "user_id", 1)
+    _, i = model(spark, 100, 130, "item_id", 2)
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    parts = cells.step_deltas(df, u, i, 0.1, FX.seeded_init(K), FX.seeded_init(K), K, block_bytes=8 * K * 10, cell_pairs=200)
+    ub, ib = cells.block_counts(40, 30, 1000, K, 8 * K * 10, 200)
+    assert parts.count() <= 2 * (40 * ib + 30 * ub) < len(rows)
+
+
+def test_block_counts_are_bounded():
+    for users, items, pairs in ((0, 0, 0), (10, 1, 10), (10**8, 10**6, 10**11), (5, 10**7, 10**9)):
+        ub, ib = cells.block_counts(users, items, pairs, 64)
+        assert ub >= 1 and ib >= 1
+        assert users / ub * 512 <= cells.BLOCK_BYTES * 1.01 or users <= ub and items / ib * 512 <= cells.BLOCK_BYTES * 1.01
+        assert ub * ib >= min(pairs / cells.CELL_PAIRS, users * items) * 0.9
+
+
+def test_levels_are_the_sequence():
+    r = np.random.default_rng(3)
+    for n, a, b in ((0, 1, 1), (1, 1, 1), (500, 20, 15), (300, 1, 50), (200, 200, 200)):
+        users, items = r.integers(0, a, n), r.integers(0, b, n)
+        want = np.zeros(n, int)
+        lu, li = {}, {}
+        for x in range(n):
+            want[x] = 1 + max(lu.get(users[x], 0), li.get(items[x], 0))
+            lu[users[x]] = li[items[x]] = want[x]
+        got = np.zeros(n, int)
+        for level, wave in enumerate(mf.levels(users, items), 1):
+            assert len(set(users[wave])) == len(wave) == len(set(items[wave]))
+            got[wave] = level
+        assert (got == want).all()
