@@ -23,9 +23,11 @@ from relflow.operators import state as C
 from relflow.queries import K, ORDER, _sql_r6, q, r6
 from relflow.session import checkpoint_dir
 from relflow.sinks import writers as W
+from relflow.sinks.history import ChangeHistory
 from relflow.sources import events as EV
 from relflow.sources import ratings as RT
 from relflow.streaming import relation_state as RS
+from relflow.streaming.sessions import stream_snapshots
 
 NOW = {"availableNow": True}
 
@@ -152,6 +154,25 @@ def _c10(spark, sf):
     return res.select("request_ts", "actor1", "actor2", r6("raw_score").alias("raw_score"))
 
 
+@q("stream_snapshot_relation_raw", Q.ORACLES["snapshot_relation_raw"])
+def _c10s(spark, sf):
+    """The changes come over three runs of the score stream into a history, then the
+    requests as a stream of their own: each gets the state as of its time."""
+    rows = Q.signed(spark, sf).select("actor1", "actor2", "ts", *ORDER, "score").checkpoint()
+    d = folder(spark)
+    history = ChangeHistory(spark, f"{d}/history", order=ORDER, base_every=2)
+    for part in slices(rows, "ts"):
+        part.write.mode("append").parquet(f"{d}/in")
+        scores = RS.stream_relation_scores(spark.readStream.schema(rows.schema).parquet(f"{d}/in"), lam=Q.LAM, order=ORDER)
+        (scores.writeStream.outputMode("update").option("checkpointLocation", f"{d}/ck").trigger(**NOW)
+         .foreachBatch(lambda b, i: history.append(b.checkpoint(), i)).start().awaitTermination())
+    fx.snapshot_requests(spark, sf).write.parquet(f"{d}/requests")
+    asked = spark.readStream.schema("request_ts timestamp").parquet(f"{d}/requests")
+    stream_snapshots(asked, history, f"{d}/out", f"{d}/ck_requests", trigger=NOW).awaitTermination()
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{d}/out").where("actor1 IS NOT NULL")
+    return out.select("request_ts", "actor1", "actor2", r6("raw_score").alias("raw_score"))
+
+
 # ------------------------------------------------------------------- sinks
 
 @q("write_changes", f"""SELECT '{{"actor1":"' || actor1 || '","actor2":"' || actor2 || '","score":' || n || '}}' AS value

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from relflow.operators import interactions as B
 from relflow.operators import state as C
+from relflow.sinks.history import ChangeHistory
 from relflow.sinks.writers import LatestStateTable, change_messages
 from relflow.sources.events import read_events, stream_events
 from relflow.streaming import relation_state as RS
@@ -133,8 +134,10 @@ def relation_scores_stream(spark: SparkSession, events_path: str, changes_path:
     day (``<state_path>_resolved``). The second keeps the scores: per micro-batch,
     the change messages (JSON) go to ``changes_path/batch=<id>`` and the latest
     state per pair is upserted into ``state_path`` (``LatestStateTable``). With
-    ``requests`` (``stream_snapshot_requests``), a third answers them from that
-    table, raw scores as rows in ``snapshots_path``. Returns ``(job, table)``."""
+    ``requests`` (``stream_snapshot_requests``), the changes are also kept in
+    ``<state_path>_history`` and a third query answers each request with the state as
+    of its time, raw scores as rows in ``snapshots_path``. Returns ``(job, table)``."""
+    history = ChangeHistory(spark, f"{state_path}_history", order=EVENT_ID_ORDER) if requests is not None else None
     table = LatestStateTable(spark, state_path, keys=("actor1", "actor2"), order=("ts",) + EVENT_ID_ORDER)
     resolved = f"{state_path}_resolved"
 
@@ -150,11 +153,13 @@ def relation_scores_stream(spark: SparkSession, events_path: str, changes_path:
                 return
             b = batch.checkpoint()
             change_messages(b).write.mode("overwrite").text(f"{changes_path}/batch={batch_id}")
+            if history is not None:
+                history.append(b, batch_id)
             table.upsert(b.select("actor1", "actor2", "ts", *EVENT_ID_ORDER, "raw_score", "norm", "score"), batch_id)
 
         return _started(changes, run, f"{checkpoint}/scores", trigger)
 
-    return _job([days, scores], requests, table, snapshots_path, checkpoint, "raw_score", trigger), table
+    return _job([days, scores], requests, history, snapshots_path, checkpoint, "raw_score", trigger), table
 
 
 def interaction_counts_stream(spark: SparkSession, events_path: str, changes_path: str, state_path: str,

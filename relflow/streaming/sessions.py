@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relflow.operators import evaluation as G
+from relflow.session import scan_partitions
+from relflow.sinks.history import ChangeHistory
 from relflow.sinks.writers import LatestStateTable
 
 
@@ -68,26 +70,42 @@ def stream_daily_ndcg_sessions(evals: DataFrame, gap: int, state_path: str, out_
 
 def stream_snapshots(requests: DataFrame, table: LatestStateTable, out_path: str, checkpoint: str,
                      value: str = "raw_score", trigger: dict | None = None):
-    """C10 as a stream: each snapshot request of a micro-batch gets the full
-    committed pair state (``table``, fed by ``upsert_latest``) at that moment,
-    written as rows ``request_ts, actor1, actor2, value`` to
-    ``out_path/batch=<id>``: requests joined to the state, each state row once per
-    request. A request that finds no state gets one row without a pair, which
+    """C10 as a stream: each snapshot request of a micro-batch gets the full pair
+    state, written as rows ``request_ts, actor1, actor2, value`` to
+    ``out_path/batch=<id>``. From a ``ChangeHistory`` that is the state as of the
+    request's own time, from the changes committed when the batch runs; from a
+    ``LatestStateTable`` (fed by ``upsert_latest``) the state committed at that moment.
+    A request that finds no state gets one row without a pair, which
     ``snapshot_messages`` turns into an empty array. ``value``: the raw score,
     as the reference sends it."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        reqs = batch.select(F.unix_millis(F.col("request_ts").cast("timestamp")).alias("request_ts")).distinct()
-        st = table.read()
-        if st is None:
-            out = reqs.select("request_ts", *[F.lit(None).cast("string").alias(c) for c in ("actor1", "actor2")],
-                              F.lit(None).cast("double").alias(value))
+        times = batch.select("request_ts").where("request_ts IS NOT NULL").distinct().checkpoint()
+        reqs = times.select(F.unix_millis(F.col("request_ts").cast("timestamp")).alias("request_ts")).distinct()
+        if isinstance(table, ChangeHistory):
+            found = table.as_of(times)
         else:
-            st = st.select("actor1", "actor2", value, F.lit(0).alias("_all"))
-            out = reqs.withColumn("_all", F.lit(0)).join(st, "_all", "left").select("request_ts", "actor1", "actor2", value)
-        out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            found = _of_every_request(reqs, table.read(), value)
+        found = found.select("request_ts", "actor1", "actor2", value)
+        written = f"{out_path}/batch={batch_id}"
+        found.write.mode("overwrite").parquet(written)
+        answered = reqs.sparkSession.read.schema(found.schema).parquet(written).select("request_ts").distinct()
+        none = reqs.join(answered, "request_ts", "left_anti").select(
+            "request_ts", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("actor1", "actor2", value)])
+        none.checkpoint().write.mode("append").parquet(written)
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)
     return w.start()
+
+
+def _of_every_request(reqs: DataFrame, state: DataFrame | None, value: str) -> DataFrame:
+    """Each state row once for each request. The state is dealt to parts by its keys and
+    every part meets the requests in an equi-join, so no side is broadcast unseen."""
+    if state is None:
+        return reqs.select("request_ts", *[F.lit(None).cast("string").alias(c) for c in ("actor1", "actor2")],
+                           F.lit(None).cast("double").alias(value)).limit(0)
+    n = scan_partitions(reqs.sparkSession)
+    dealt = state.select("actor1", "actor2", value, F.pmod(F.xxhash64("actor1", "actor2"), F.lit(n)).alias("_part"))
+    return reqs.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(dealt, "_part")
