@@ -27,6 +27,7 @@ from relflow.sinks.history import ChangeHistory
 from relflow.sources import events as EV
 from relflow.sources import ratings as RT
 from relflow.streaming import relation_state as RS
+from relflow.streaming import scan_state as SS
 from relflow.streaming.sessions import stream_snapshots
 
 NOW = {"availableNow": True}
@@ -137,6 +138,29 @@ def _c11c(spark, sf):
     return _in_runs(spark, rows, "k1", lambda s: RS.stream_counts(s, order=ORDER)).select("actor1", "actor2", *ORDER, "n")
 
 
+def _scanned(spark, rows: DataFrame, by: str, start) -> DataFrame:
+    """All rows that a scanning stream hands to its sink over three runs."""
+    d = folder(spark)
+    sink = lambda changes, i: changes.write.mode("overwrite").parquet(f"{d}/out/batch={i}")
+    for part in slices(rows, by):
+        part.write.mode("append").parquet(f"{d}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{d}/in"), f"{d}/state", f"{d}/ck", sink)[0].awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{d}/out")
+
+
+@q("stream_relation_scores_scan", Q.ORACLES["stream_relation_scores"])
+def _c11s(spark, sf):
+    rows = Q.signed(spark, sf).select("actor1", "actor2", "ts", *ORDER, "score").checkpoint()
+    out = _scanned(spark, rows, "ts", lambda s, *a: SS.start_relation_scores(s, *a, lam=Q.LAM, order=ORDER, trigger=NOW))
+    return out.select("actor1", "actor2", *ORDER, "ts", r6("raw_score").alias("raw_score"), r6("score").alias("score"))
+
+
+@q("stream_counts_scan", Q.ORACLES["stream_counts"])
+def _c11cs(spark, sf):
+    rows = Q.pairs(spark, sf).select("actor1", "actor2", *ORDER).checkpoint()
+    return _scanned(spark, rows, "k1", lambda s, *a: SS.start_counts(s, *a, order=ORDER, trigger=NOW)).select("actor1", "actor2", *ORDER, "n")
+
+
 @q("stream_changes_only", Q.ORACLES["changes_only"])
 def _d3(spark, sf):
     rows = C.relation_scores_feed(Q.signed(spark, sf), lam=Q.LAM, order=ORDER).select("actor1", "actor2", "ts", *ORDER, r6("score").alias("score")).checkpoint()
