@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from relflow.fixtures import EVENT_ORDER
+from relflow.operators.folds import Monoid, Sequential, monoid_fold, sequential_fold
 from relflow.plans.ordered_scan import Channel, ordered_fold, ordered_scan
 from relflow.sources.ids import assign_ordered_ids
 
@@ -220,8 +221,15 @@ def pair_fold(df: DataFrame, value: str, update, keys=PAIR, order=EVENT_ORDER, k
     skew-safe ordered scan - or a Python callable ``(old, new) -> float``.
     A callable is an arbitrary sequential function, so its keys cannot be cut:
     rows are hash-partitioned by key, sorted, and streamed batch by batch
-    through it (memory stays bounded; a hot key costs time in one task).
+    through it (memory stays bounded; a hot key costs time in one task). With
+    ``feed=False`` also a ``folds.Monoid`` (skew-safe tree) or a ``folds.Sequential``
+    of Spark expressions.
     """
+    if isinstance(update, (Monoid, Sequential)):
+        if feed:
+            raise ValueError("folds of Spark expressions give the final value per key: feed=False")
+        fold = monoid_fold if isinstance(update, Monoid) else sequential_fold
+        return fold(df, value, update, keys, order)
     if callable(update):
         return _python_fold(df, value, update, list(keys), list(order), list(keep), feed)
     ch = update_channel(update, F.col(value).cast("double"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from relflow import fixtures as fx
 from relflow.operators import interactions as B
 from relflow.operators import state as C
+from relflow.operators.folds import Monoid, Sequential
 
 ORDER = ("k1", "k2", "k3", "k4")
 LAM = C.DEFAULT_LAMBDA
@@ -233,6 +234,38 @@ def _c7(spark, sf):
     return res.select("actor1", "actor2", r6("value").alias("value"), "n")
 
 
+def sign_runs() -> Monoid:
+    """Longest run of scores of one sign, as pieces that know their first and last run."""
+    def lift(x):
+        sign = F.signum(x).cast("int")
+        one = F.lit(1).cast("long")
+        return F.struct(one.alias("n"), sign.alias("first"), one.alias("head"), sign.alias("last"), one.alias("tail"), one.alias("best"))
+
+    def merge(a, b):
+        met = F.when(a["last"] == b["first"], a["tail"] + b["head"]).otherwise(F.lit(0).cast("long"))
+        head = F.when((a["head"] == a["n"]) & (a["last"] == b["first"]), a["n"] + b["head"]).otherwise(a["head"])
+        tail = F.when((b["tail"] == b["n"]) & (a["last"] == b["first"]), b["n"] + a["tail"]).otherwise(b["tail"])
+        return F.struct((a["n"] + b["n"]).alias("n"), a["first"].alias("first"), head.alias("head"), b["last"].alias("last"), tail.alias("tail"),
+                        F.greatest(a["best"], b["best"], met).alias("best"))
+    return Monoid(lift, merge, lambda p: p["best"])
+
+
+@q("pair_fold_monoid", f"""WITH e AS (SELECT actor1, actor2, CAST(sign(score) AS INTEGER) AS g,
+    row_number() OVER (PARTITION BY actor1, actor2 ORDER BY ts, k1, k2, k3, k4) AS rn FROM ({SIGNED_SQL}) s),
+  r AS (SELECT *, rn - row_number() OVER (PARTITION BY actor1, actor2, g ORDER BY rn) AS island FROM e),
+  l AS (SELECT actor1, actor2, count(*) AS n FROM r GROUP BY actor1, actor2, g, island)
+SELECT actor1, actor2, max(n) AS value, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY actor1, actor2""")
+def _c7m(spark, sf):
+    return C.pair_fold(signed(spark, sf), "score", sign_runs(), order=("ts",) + ORDER, feed=False)
+
+
+@q("pair_fold_sequential", ORACLES["pair_fold_weighted_state"])
+def _c7s(spark, sf):
+    update = Sequential(lambda state, x: state * WEIGHT + x * (1 - WEIGHT))
+    res = C.pair_fold(signed(spark, sf), "score", update, order=("ts",) + ORDER, feed=False)
+    return res.select("actor1", "actor2", r6("value").alias("value"), "n")
+
+
 @q("snapshot_counts", f"""WITH ev AS (
   SELECT actor1, actor2, COALESCE(epoch_ms(CAST(dateAdded AS TIMESTAMP)), -1) AS ts FROM ({PAIRS_SQL}) p
 ), req AS (SELECT DISTINCT epoch_ms(request_ts) AS r FROM ({fx.SNAPSHOT_REQUESTS_SQL}) q)
