@@ -161,6 +161,21 @@ def _c11cs(spark, sf):
     return _scanned(spark, rows, "k1", lambda s, *a: SS.start_counts(s, *a, order=ORDER, trigger=NOW)).select("actor1", "actor2", *ORDER, "n")
 
 
+@q("stream_counts_windowed", f"""WITH e AS (SELECT *, COALESCE(epoch_ms(CAST(dateAdded AS TIMESTAMP)), -1) AS ts FROM ({Q.PAIRS_SQL}) p)
+SELECT * FROM (SELECT actor1, actor2, w * {Q.WEEK_MS} AS window_start, (w + 1) * {Q.WEEK_MS} AS window_end, CAST(sum(quadClass) AS BIGINT) AS n
+  FROM (SELECT *, ts // {Q.WEEK_MS} AS w FROM e WHERE ts >= 0) x GROUP BY actor1, actor2, w) y
+WHERE window_end <= (SELECT max(ts) FROM e)""")
+def _c3(spark, sf):
+    """Weighted windows over three runs: the windows that the last event closes."""
+    rows = B.event_time_or(Q.pairs(spark, sf)).select("actor1", "actor2", "ts", "quadClass").checkpoint()
+    d = folder(spark)
+    for part in slices(rows, "ts"):
+        part.write.mode("append").parquet(f"{d}/in")
+        out = RS.stream_counts_windowed(spark.readStream.schema(rows.schema).parquet(f"{d}/in"), width="7 days", weight="quadClass")
+        out.writeStream.format("parquet").option("checkpointLocation", f"{d}/ck").trigger(**NOW).start(f"{d}/out").awaitTermination()
+    return spark.read.parquet(f"{d}/out")
+
+
 @q("stream_changes_only", Q.ORACLES["changes_only"])
 def _d3(spark, sf):
     rows = C.relation_scores_feed(Q.signed(spark, sf), lam=Q.LAM, order=ORDER).select("actor1", "actor2", "ts", *ORDER, r6("score").alias("score")).checkpoint()
@@ -215,6 +230,17 @@ def _e2(spark, sf):
     return spark.read.text(d)
 
 
+MESSAGE_BYTES = 512
+
+
+@q("write_snapshots_bounded", f"""WITH i AS (SELECT request_ts, actor1, actor2, '{{"_1":"' || actor1 || '","_2":"' || actor2 || '","_3":' || n || '}}' AS j
+    FROM ({Q.ORACLES["snapshot_counts"]}) s),
+  c AS (SELECT *, sum(strlen(j) + 1) OVER (PARTITION BY request_ts ORDER BY actor1, actor2) - strlen(j) - 1 AS before FROM i)
+SELECT request_ts, CAST(before // {MESSAGE_BYTES} AS BIGINT) AS part, '[' || string_agg(j, ',' ORDER BY actor1, actor2) || ']' AS value FROM c GROUP BY 1, 2""")
+def _e2b(spark, sf):
+    return W.bounded_snapshot_messages(Q.QUERIES["snapshot_counts"](spark, sf), "n", max_bytes=MESSAGE_BYTES)
+
+
 @q("upsert_latest", Q.ORACLES["interaction_counts"])
 def _e3(spark, sf):
     d = folder(spark)

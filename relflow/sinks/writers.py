@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relflow.plans.ordered_scan import Channel, ordered_scan
 
 # ------------------------------------------------------------ messages
 
@@ -31,6 +32,25 @@ def snapshot_messages(snap: DataFrame, value: str = "score", request_col: str =
         F.to_json(F.array_sort(F.collect_list(item))).alias("value"))
 
 
+def bounded_snapshot_messages(snap: DataFrame, value: str = "score", request_col: str = "request_ts",
+                              max_bytes: int = 1 << 20) -> DataFrame:
+    """``(request, part, value)``: each snapshot as arrays of about ``max_bytes`` (a
+    pair that is larger gets an array of its own), in the order of ``snapshot_messages``:
+    the arrays of a request, one after another, hold the elements of its one array.
+    The bytes before a pair in its snapshot come from an ordered scan, so one request
+    of all pairs spreads over tasks, and no group is larger than a message."""
+    item = F.struct(F.col("actor1").alias("_1"), F.col("actor2").alias("_2"), F.col(value).alias("_3"))
+    item = F.when(F.col("actor1").isNotNull(), item)
+    rows = snap.select(F.col(request_col), F.col("actor1").alias("_a"), F.col("actor2").alias("_b"), F.to_json(item).alias("_json"))
+    rows = rows.withColumn("_size", F.coalesce(F.octet_length("_json") + 1, F.lit(0)).cast("double"))
+    sized = ordered_scan(rows, [request_col], ["_a", "_b"], [Channel("_upto", a=F.lit(1.0), b=F.col("_size"))], keep=["_json", "_size"])
+    part = F.floor((F.col("_upto") - F.col("_size")) / F.lit(float(max_bytes)))
+    lists = sized.groupBy(F.col(request_col), part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_json").isNotNull(), F.struct("_a", "_b", "_json")))).alias("_l"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("_l", lambda s: s["_json"]), ","), F.lit("]"))
+    return lists.select(request_col, "part", text.alias("value"))
+
+
 def write_messages(msgs: DataFrame, path: str | None = None, fmt: str = "text", options: dict | None = None,
                    checkpoint: str | None = None, trigger: dict | None = None):
     """Write a ``value`` column as text files (batch) or to any stream sink,

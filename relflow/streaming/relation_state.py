@@ -204,14 +204,15 @@ def stream_changes_only(feed: DataFrame, value: str = "score", order=("ts",) + E
 
 
 def stream_counts_windowed(events: DataFrame, width: str = "5 seconds", ts_col: str = "ts",
-                           keys=PAIR, delay: str = "0 seconds") -> DataFrame:
-    """C3 as a streaming query: event-time tumbling counts per pair with a
-    watermark of ``max event time - delay`` (zero lateness by default), append
+                           keys=PAIR, delay: str = "0 seconds", weight: str | None = None) -> DataFrame:
+    """C3 as a streaming query: event-time tumbling counts per pair (``weight``: sums
+    of that column, such as the number of interactions of a row) with a watermark of ``max event time - delay`` (zero lateness by default), append
     mode - a window is emitted once the watermark passes its end."""
     t = F.col(ts_col)
     d = events.filter(t.isNotNull() & (t >= 0)).withColumn("_et", F.timestamp_millis(t))
+    n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
     return (d.withWatermark("_et", delay)
              .groupBy(F.window("_et", width).alias("w"), *keys)
-             .agg(F.count(F.lit(1)).alias("n"))
+             .agg(n.alias("n"))
              .select(*keys, F.unix_millis(F.col("w.start")).alias("window_start"),
                      F.unix_millis(F.col("w.end")).alias("window_end"), "n"))
