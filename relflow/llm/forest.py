@@ -5,15 +5,23 @@ the difference of two random vectors of its part, its threshold the median. The
 forest is fitted on at most ``fit_rows`` vectors (a documented bound, so its size is
 bounded too); every vector of the table is then sent to its leaf in every tree.
 
+The trees are as deep as leaves of about ``leaf_rows`` rows ask for, as far as the
+sample has ``least`` vectors for each; beyond that leaves grow with the table.
+
 A query searches all trees through one priority queue: the entry with the least
 distance to the planes crossed so far is taken next, a node's near side goes on
 at once, its far side enters the queue, and leaves are collected until they hold
-``share`` of the rows (counted once a tree). The candidates of a leaf are scored
-inside the task that holds it, the best of all leaves are ranked again by the
-exact cosine of the original vectors.
+enough rows (counted once a tree). How many are enough is measured: ``tuning``
+queries, drawn by hash, are compared with every row, and the budget is the least
+with which the queue comes to ``recall`` of their true neighbours. Vectors without
+structure have no near neighbours to speak of and need most of the table; clustered
+vectors need a few leaves.
 
-``share`` sets recall. Vectors without structure have no near neighbours to speak
-of, and need a large share; clustered vectors need far less.
+The candidates of a leaf are scored inside the task that holds it, a row once for
+each query: a row that also lies in a leaf which the query takes in an earlier tree is
+passed over (those are the leaves nearer than the query's last one, so one number
+for each query tells them). Each leaf's best, by the exact cosine of the original
+vectors and the smaller id, are ranked again over all leaves.
 
 Equal vectors are one candidate and are written out by their smallest ids, so
 copies cost nothing. Large leaves and much visited ones are dealt out in salted
@@ -30,10 +38,10 @@ neighbour. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,25 +69,37 @@ class Forest:
             out[:, t] = (t << self.depth) + at - ((1 << self.depth) - 1)
         return out
 
-    def search(self, v: np.ndarray, counts: np.ndarray, want: float) -> list[int]:
-        """Leaves in the order of the shared queue until they hold ``want`` rows."""
-        inner, out, have = (1 << self.depth) - 1, [], 0
-        side = self.normals @ v - self.offsets
-        queue = [(0.0, t, 0) for t in range(len(self.normals))]
-        heapq.heapify(queue)
+    def search(self, v: np.ndarray, counts: list[int], want: float) -> tuple[list[int], float]:
+        """Leaves in the order of the shared queue until they hold ``want`` rows, and
+        the distance of the last."""
+        inner, out, have, last = (1 << self.depth) - 1, [], 0, 0.0
+        side = (self.normals @ v - self.offsets).tolist()
+        queue = [(0.0, t, 0) for t in range(len(side))]
         while queue and have < want:
             far, t, i = heapq.heappop(queue)
+            mine = side[t]
             while i < inner:
-                m = side[t, i]
+                m = mine[i]
                 near = 2 * i + 2 if m >= 0 else 2 * i + 1
-                if np.isfinite(m):
+                if m > -np.inf:
                     heapq.heappush(queue, (max(far, abs(m)), t, 4 * i + 3 - near))
                 i = near
             leaf = (t << self.depth) + i - inner
             if counts[leaf]:
                 out.append(leaf)
                 have += counts[leaf]
-        return out
+                last = far
+        return out, last
+
+    def nearer(self, v: np.ndarray, limit: float) -> np.ndarray:
+        """Which leaves the queue takes before one at the distance ``limit``."""
+        side = self.normals @ v - self.offsets
+        far = np.zeros((len(side), 1))
+        for d in range(self.depth):
+            m = side[:, (1 << d) - 1:(2 << d) - 1]
+            both = np.stack([np.where(m >= 0, np.maximum(far, abs(m)), far), np.where(m >= 0, far, np.maximum(far, abs(m)))], axis=2)
+            far = both.reshape(len(side), -1)
+        return (far < limit * (1 - 1e-9)).ravel()
 
 
 def grow(sample: np.ndarray, trees: int, depth: int, least: int, seed: int) -> Forest:
@@ -112,50 +132,106 @@ def _routed(batches, forest: Forest):
         yield pa.RecordBatch.from_arrays([batch.column("class_id"), C.list_array(leaves.ravel(), np.full(n, t), pa.int64())], ["class_id", "leaves"])
 
 
-def _visits(batches, forest: Forest, counts: np.ndarray, want: float):
+def _visits(batches, forest: Forest, counts: list[int], want: float):
+    for batch in batches:
+        found = [forest.search(v, counts, want) for v in V.unit(V.matrix(batch.column("vec")))]
+        flat = np.concatenate([np.array(f, np.int64) for f, _ in found]) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), C.list_array(flat, np.array([len(f) for f, _ in found]), pa.int64()),
+                                          pa.array([last for _, last in found], pa.float64()), batch.column("vec")], ["query_id", "leaves", "last", "vec"])
+
+
+def _true_neighbours(batches, asked: np.ndarray, k: int):
+    """The ``k`` nearest of each batch to each sampled query, without its own direction."""
     for batch in batches:
-        x = V.unit(V.matrix(batch.column("vec")))
-        found = [forest.search(v, counts, want) for v in x]
-        flat = np.concatenate([np.array(f, np.int64) for f in found]) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), C.list_array(flat, np.array([len(f) for f in found]), pa.int64())], ["query_id", "leaves"])
+        sims = asked @ V.unit(V.matrix(batch.column("vec"))).T
+        sims[sims > 1 - 1e-9] = -2
+        n = min(k, sims.shape[1])
+        best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), n)), batch.column("class_id").take(pa.array(best.ravel())),
+                                          pa.array(np.take_along_axis(sims, best, axis=1).ravel())], ["q", "class_id", "near"])
+
+
+def budget(forest: Forest, counts: list[int], asked: np.ndarray, true: list[tuple[int, list[int]]], recall: float) -> float:
+    """The rows, counted once a tree, within which the queue reaches ``recall`` of the
+    true neighbours, given as the query's number and the neighbour's leaves."""
+    order = [forest.search(v, counts, np.inf)[0] for v in asked]
+    upto = np.full((len(asked), len(counts)), np.inf)
+    for q, leaves in enumerate(order):
+        upto[q, leaves] = np.cumsum(np.asarray(counts)[leaves])
+    need = np.sort([upto[q, leaves].min() for q, leaves in true])
+    return float(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]) if len(need) else 0.0
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows, summed in order as ``vectors.cosine`` does."""
+    def dot(x, y):
+        return np.cumsum(x * y, axis=1)[:, -1]
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
-def _scored(batches, k: int):
+def _scored(batches, forest: Forest, k: int):
     """Rows of a partition, sorted by part, members before queries: the ``k``
-    best members of each part for each of its queries."""
-    part, ids, vecs, members = None, [], [], None
+    best members of each part for each of its queries, ties by the smaller id; a
+    member that the query meets in an earlier tree is passed over."""
+    part, held, members, seen = None, [], None, {}
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy() for c in ("leaf", "salt", "qsalt")], axis=1)
         is_query, who = batch.column("is_query").to_numpy(zero_copy_only=False), batch.column("who").to_numpy()
-        x = V.unit(V.matrix(batch.column("vec")))
+        last, raw, leaves = batch.column("last").to_numpy(zero_copy_only=False), V.matrix(batch.column("vec")), V.longs(batch.column("leaves"))
+        x = V.unit(raw)
         new = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
         for a, b in zip(new[:-1], new[1:]):
             if a == b:
                 continue
             if part != tuple(keys[a]):
-                part, ids, vecs, members = tuple(keys[a]), [], [], None
+                part, held, members = tuple(keys[a]), [], None
             q = a + int(np.count_nonzero(~is_query[a:b]))
             if q > a:
-                ids.append(who[a:q])
-                vecs.append(x[a:q])
-            if q == b or not ids:
+                held.append((who[a:q], x[a:q], raw[a:q], leaves[a:q]))
+            if q == b or not held:
                 continue
             if members is None:
-                members = np.concatenate(ids), np.concatenate(vecs)
+                members = [np.concatenate(m) for m in zip(*held)]
+            ids, unit, whole, at = members
+            tree = part[0] >> forest.depth
             for s in range(q, b, 256):
-                sims = x[s:min(b, s + 256)] @ members[1].T
-                n = min(k, sims.shape[1])
-                best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(who[s:min(b, s + 256)], n)), pa.array(members[0][best].ravel()),
-                     pa.array(np.take_along_axis(sims, best, axis=1).ravel())], ["query_id", "class_id", "near"])
+                e = min(b, s + 256)
+                fresh = np.ones((e - s, len(ids)), bool)
+                if tree:
+                    taken = []
+                    for r in range(s, e):
+                        key = (who[r], raw[r].tobytes())
+                        if key not in seen:
+                            if len(seen) >= 4096:
+                                seen.clear()
+                            seen[key] = forest.nearer(x[r], last[r])
+                        taken.append(seen[key])
+                    taken = np.stack(taken)
+                    for t in range(tree):
+                        fresh &= ~taken[:, at[:, t]]
+                sims = np.full(fresh.shape, -np.inf)
+                if fresh.mean() > 0.1:
+                    np.copyto(sims, x[s:e] @ unit.T, where=fresh)
+                else:
+                    i, j = np.nonzero(fresh)
+                    sims[i, j] = np.einsum("ij,ij->i", x[s + i], unit[j])
+                n = min(k, len(ids))
+                least = -np.partition(-sims, n - 1, axis=1)[:, n - 1]
+                i, j = np.nonzero(fresh & (sims >= least[:, None] - 1e-9))        # near ties are told apart exactly
+                exact = _cosines(raw[s + i], whole[j])
+                order = np.lexsort((ids[j], -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                first = np.searchsorted(i, i)
+                best = np.arange(len(i)) - first < k
+                yield pa.RecordBatch.from_arrays([pa.array(who[s + i[best]]), pa.array(ids[j[best]]), pa.array(exact[best])],
+                                                 ["query_id", "class_id", "near"])
 
 
-def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, depth: int = 7, share: float = 1.75,
-            fit_rows: int = 65_536, least: int = 16, part_rows: int = 4096, seed: int = 11) -> DataFrame:
+def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, leaf_rows: int = 128, recall: float = 0.95,
+            tuning: int = 128, fit_rows: int = 65_536, least: int = 16, part_rows: int = 4096, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of ``table`` (vec_id,
     embedding) found nearest by cosine to each row that fulfils ``queries``, a
-    condition on ``vec_id``."""
+    condition on ``vec_id``. ``recall`` 1: all leaves are searched."""
     spark = table.sparkSession
     rows = C.stored(V.valid_vectors(table))
     # the k nearest may all be copies, and one more id may be the query's own
@@ -163,33 +239,46 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, dept
     n = classes.count()
     picked = classes.orderBy(F.xxhash64(F.lit(seed), "class_id"), "class_id").limit(fit_rows).select("vec").toPandas()["vec"]
     sample = V.unit(np.array([np.asarray(v, np.float64) for v in picked])) if len(picked) else np.zeros((0, 0))
+    depth = max(1, min(math.ceil(math.log2(max(2, n) / leaf_rows)), int(math.log2(fit_rows / least))))
     forest = grow(sample, trees, depth, least, seed)
-    shipped = spark.sparkContext.broadcast(forest)      # trees * 2^depth planes
+    shipped = spark.sparkContext.broadcast(forest)      # trees * 2^depth planes, at most trees * fit_rows / least
 
     kind = classes.schema["vec"].dataType.simpleString()
     leaves = C.stored(classes.select("class_id", "vec").mapInArrow(lambda it: _routed(it, shipped.value), "class_id long, leaves array<long>"))
-    counts = np.zeros(trees << depth, np.int64)
+    counts = [0] * (trees << depth)
     for r in leaves.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():      # one row a leaf
         counts[r["leaf"]] = r["count"]
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "vec").distinct()
-    want = max(share * n, 16.0 * k)
+    want = np.inf
+    if recall < 1:
+        drawn = asked.orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id").limit(tuning).select("vec").collect()
+        drawn = V.unit(np.array([r["vec"] for r in drawn], np.float64)) if drawn else np.zeros((0, 0))
+        true = []
+        if len(drawn):
+            best = Window.partitionBy("q").orderBy(F.desc("near"), "class_id")
+            true = (classes.select("class_id", "vec").mapInArrow(lambda it: _true_neighbours(it, drawn, k), "q long, class_id long, near double")
+                    .where("near > -2").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+                    .join(leaves, "class_id").select("q", "leaves").collect())      # k rows for each of ``tuning`` queries
+        want = max(budget(forest, counts, drawn, [(r["q"], r["leaves"]) for r in true], recall), 16.0 * k)
     visits = C.stored(asked.select("query_id", "vec").repartition("query_id").mapInArrow(
-        lambda it: _visits(it, shipped.value, counts, want), "query_id long, leaves array<long>")
-        .select("query_id", F.explode("leaves").alias("leaf")))
+        lambda it: _visits(it, shipped.value, counts, want), "query_id long, leaves array<long>, last double, vec " + kind)
+        .select("query_id", "vec", "last", F.explode("leaves").alias("leaf")))
     much = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}                  # one row a leaf
     parts = spark.createDataFrame([(i, -(-int(c) // part_rows), -(-much.get(i, 1) // (16 * part_rows))) for i, c in enumerate(counts) if c],
                                   "leaf long, salts int, qsalts int")
-    parts = F.broadcast(parts)
+    parts = F.broadcast(parts)      # one row a leaf
 
-    members = (leaves.select("class_id", F.explode("leaves").alias("leaf")).join(parts, "leaf")
+    members = (leaves.select("class_id", "leaves", F.explode("leaves").alias("leaf")).join(parts, "leaf")
                .withColumn("salt", F.pmod(F.xxhash64("class_id"), "salts")).withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("qsalts") - 1)))
                .join(classes.select("class_id", "vec"), "class_id")
-               .select("leaf", F.col("salt").cast("int").alias("salt"), "qsalt", F.lit(False).alias("is_query"), F.col("class_id").alias("who"), "vec"))
-    asking = (visits.join(parts, "leaf").join(asked, "query_id")
+               .select("leaf", F.col("salt").cast("int").alias("salt"), "qsalt", F.lit(False).alias("is_query"), F.col("class_id").alias("who"),
+                       F.lit(0.0).alias("last"), "leaves", "vec"))
+    asking = (visits.join(parts, "leaf")
               .withColumn("qsalt", F.pmod(F.xxhash64("query_id"), "qsalts").cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-              .select("leaf", "salt", "qsalt", F.lit(True).alias("is_query"), F.col("query_id").alias("who"), "vec"))
+              .select("leaf", "salt", "qsalt", F.lit(True).alias("is_query"), F.col("query_id").alias("who"),
+                      "last", F.array_repeat(F.lit(0).cast("long"), trees).alias("leaves"), "vec"))
     both = members.unionByName(asking).repartition("leaf", "salt", "qsalt").sortWithinPartitions("leaf", "salt", "qsalt", "is_query")
-    hits = both.mapInArrow(lambda it: _scored(it, k + 1), "query_id long, class_id long, near double")
+    hits = both.mapInArrow(lambda it: _scored(it, shipped.value, k + 1), "query_id long, class_id long, near double")
     hits = hits.groupBy("query_id", "class_id").agg(F.max("near").alias("near"))
     few = Window.partitionBy("query_id").orderBy(F.desc("near"), "class_id")
     hits = C.stored(hits.withColumn("r", F.row_number().over(few)).where(F.col("r") <= 2 * (k + 1)).select("query_id", "class_id"))

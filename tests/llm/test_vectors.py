@@ -94,7 +94,7 @@ def unit_rows(x):
 def test_nearest_equal_brute_force_with_all_leaves(spark):
     rows = table()
     ok = {i: np.array(v, np.float64) for i, v in rows if i in brute(rows)[0]}
-    out = forest.nearest(frame(spark, rows), F.col("vec_id") % 10 == 0, share=1000.0, depth=3, least=4, part_rows=20).collect()
+    out = forest.nearest(frame(spark, rows), F.col("vec_id") % 10 == 0, recall=1, leaf_rows=40, least=4, part_rows=20).collect()
     got = {}
     for r in sorted(out, key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -126,6 +126,53 @@ def test_recall_of_the_forest_and_few_candidates(spark):
     assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"])] == [(1, 1, 0.0), (2, 2, 0.0)]
 
 
+def test_equal_cosines_go_to_the_smaller_id(spark):
+    r = np.random.default_rng(2)
+    v = r.normal(size=16).astype(np.float32)
+    # one direction: every vector is a power-of-two multiple of the query
+    df = spark.createDataFrame([(i, (v * np.float32(2.0) ** (i % 60 - 30)).tolist(), 0) for i in range(1, 601)] + [(0, v.tolist(), 0)], SCHEMA)
+    out = forest.nearest(df.repartition(6), F.col("vec_id") == 0).collect()
+    assert [x["vec_id"] for x in sorted(out, key=lambda x: x["rank"])] == [1, 2, 3, 4, 5]
+
+
+def scored_rows(x, every):
+    """Recall of 5 neighbours, and how many rows of ``x`` a query scores on average, by the
+    operator's own steps on one machine."""
+    n, trees, rng = len(x), 12, np.random.default_rng(0)
+    depth = int(np.ceil(np.log2(n / 128)))
+    f = forest.grow(x[rng.choice(n, min(n, 65_536), replace=False)], trees, depth, 16, 11)
+    at = f.leaves(x)
+    counts = np.bincount(at.ravel(), minlength=trees << depth).tolist()
+    asked = np.arange(0, n, every)
+    true = []
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -2
+        true.append(np.argpartition(-s, 5)[:5])
+    tune = asked[::2][:128]
+    want = forest.budget(f, counts, x[tune], [(i, at[j].tolist()) for i, q in enumerate(tune) for j in true[list(asked).index(q)]], 0.95)
+    hit, rows = 0, 0
+    for q, best in zip(asked, true):
+        leaves, last = f.search(x[q], counts, want)
+        taken = np.zeros(trees << depth, bool)
+        taken[leaves] = True
+        # all leaves nearer than the last one were taken, so one number tells a row's first visit
+        assert taken[f.nearer(x[q], last) & (np.array(counts) > 0)].all()
+        met = taken[at].any(axis=1)
+        hit += met[best].sum()
+        rows += met.sum()
+    return hit / (5 * len(asked)), rows / len(asked) / n
+
+
+def test_rows_scored_for_a_query():
+    r = np.random.default_rng(6)
+    recall, share = scored_rows(unit_rows(r.normal(size=(4000, 64))), 20)
+    assert recall >= 0.9 and share < 1
+    centres = r.normal(size=(500, 64))
+    recall, share = scored_rows(unit_rows(centres[r.integers(0, 500, 100_000)] + 0.3 * r.normal(size=(100_000, 64))), 1000)
+    assert recall >= 0.9 and share < 0.05
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pivots.near_vectors(none).count() == 0
