@@ -169,7 +169,38 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
-def _scored(batches, forest: Forest, k: int):
+def _best(hits: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best different members of each query among (query, member, cosine)."""
+    query, member, near = (np.concatenate(c) for c in zip(*hits))
+    order = np.lexsort((-near, member, query))
+    query, member, near = query[order], member[order], near[order]
+    once = np.ones(len(query), bool)
+    once[1:] = (query[1:] != query[:-1]) | (member[1:] != member[:-1])
+    query, member, near = query[once], member[once], near[once]
+    order = np.lexsort((member, -near, query))
+    query, member, near = query[order], member[order], near[order]
+    few = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[few], member[few], near[few]
+
+
+def _scored(batches, forest: Forest, k: int, most: int = 200_000):
+    """The ``k`` best members that a task finds for each query: of one leaf after the
+    other, joined when ``most`` are held, and passed on early if so many are left."""
+    held, n = [], 0
+    for hits in _leaf_hits(batches, forest, k):
+        held.append(hits)
+        n += len(hits[0])
+        if n >= most:
+            held = [_best(held, k)]
+            n = len(held[0][0])
+            if 2 * n >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "class_id", "near"])
+                held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(held, k)], ["query_id", "class_id", "near"])
+
+
+def _leaf_hits(batches, forest: Forest, k: int):
     """Rows of a partition, sorted by part, members before queries: the ``k``
     best members of each part for each of its queries, ties by the smaller id; a
     member that the query meets in an earlier tree is passed over."""
@@ -223,8 +254,7 @@ def _scored(batches, forest: Forest, k: int):
                 i, j, exact = i[order], j[order], exact[order]
                 first = np.searchsorted(i, i)
                 best = np.arange(len(i)) - first < k
-                yield pa.RecordBatch.from_arrays([pa.array(who[s + i[best]]), pa.array(ids[j[best]]), pa.array(exact[best])],
-                                                 ["query_id", "class_id", "near"])
+                yield who[s + i[best]], ids[j[best]], exact[best]
 
 
 def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, leaf_rows: int = 128, recall: float = 0.95,
