@@ -17,7 +17,8 @@ the weights. ``k`` is the number of documents whose weight reaches the limit tha
 best separates labelled good from bad rows.
 
 The target model and the limit are fitted on at most ``fit_rows`` labelled rows (a
-documented bound); counts, weights, ``k`` and the selection cover all documents.
+documented bound; of rows that repeat a labelled ``doc_id`` the smallest text); counts,
+weights, ``k`` and the selection cover all documents.
 
 Rows: every row is weighed by itself. Null and empty texts have no features and
 log weight 0. Rows with equal keys share their fate (repeated rows do), so a tie
@@ -173,14 +174,15 @@ def sampler(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, prior: f
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     sample = C.stored(seen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows))
-    fitted = docs.join(F.broadcast(sample), "doc_id")           # at most ``fit_rows`` rows
+    # one row a label, whatever repeats its doc_id: at most ``fit_rows`` rows
+    fitted = C.stored(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
     raw = count_features(docs)
     target = count_features(fitted.where("quality = 1"))
     model = fit(raw, target, prior)
     plain = Sampler(model, -np.inf, seed)
     w = plain.log_weight(docs)
     scored = C.stored(docs.withColumn("log_weight", w).withColumn("key", F.col("log_weight") + plain.noise(docs)).select("doc_id", "log_weight", "key"))
-    rows = scored.join(F.broadcast(sample), "doc_id").select("quality", "log_weight").toPandas()
+    rows = fitted.select("quality", plain.log_weight(fitted).alias("log_weight")).toPandas()
     good, bad = (rows.loc[rows["quality"] == q, "log_weight"].to_numpy() for q in (1, 0))
     cut = -np.inf
     if len(good) and len(bad):
