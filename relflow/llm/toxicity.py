@@ -17,11 +17,16 @@ both tell. Correlated voters share their weight: a voter's log odds count
 ``1 / (1 + sum of its correlations)``.
 Labelled training rows enter with their label, all others with the posterior.
 
-Classifier: logistic regression over the patterns that tell most, trained on the
-posterior labels of the sampled training rows. Its score reads the text alone.
+Classifier: logistic regression on posterior labels, trained on the labelled rows and
+on as many documents without a label, drawn by hash of ``doc_id``. A given label is one
+more voter, whose rates in either state are estimated against the other voters. The
+patterns it weighs are mined from the posterior labels, so words that only stand in
+unlabelled documents beside what the voters know are learned too. Its score reads the
+text alone.
 
-Bounds: mining and training use at most ``fit_rows`` labelled rows. Votes and the
-label model cover all documents.
+Bounds: mining and training use at most ``fit_rows`` labelled rows and ``fit_rows``
+others (of rows that repeat a ``doc_id`` the smallest text). Votes and the label model
+cover all documents.
 
 Rows: one per input row, repeated ones too. Null and empty texts have no pattern
 and get the score of a text without one. A label that is null or neither 0 nor 1
@@ -259,8 +264,8 @@ def _hits(batches, hashes: np.ndarray):
         for a, b, h, doc in _ranges(batch.column("text")):
             which, d = look.find(h, doc)
             n = np.bincount(d, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column("votes").slice(a, b - a), batch.column("label").slice(a, b - a),
-                                              C.list_array(which, n, pa.int64())], ["votes", "label", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("q").slice(a, b - a), batch.column("label").slice(a, b - a),
+                                              C.list_array(which, n, pa.int64())], ["q", "label", "hits"])
 
 
 def logistic(rows: list[np.ndarray], q: np.ndarray, n: int, l2: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -279,14 +284,40 @@ def logistic(rows: list[np.ndarray], q: np.ndarray, n: int, l2: float = 1.0, rou
     return w, b
 
 
+def label_rates(post: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """P(labelled toxic | clean) and P(labelled toxic | toxic) of labelled rows, whose states
+    the other voters give as ``post``; kept off 0 and 1."""
+    says = label == 1
+    rates = [((says * w).sum() + 0.5) / (w.sum() + 1) for w in (1 - post, post)]
+    return np.clip(rates, 0.01, 0.99)
+
+
+def with_label(post: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Posteriors of training rows with the label (0, 1, or -1 for none) as one more voter."""
+    known = label >= 0
+    z = np.log(post / (1 - post))
+    if known.any():
+        clean, toxic = label_rates(post[known], label[known])
+        if toxic > clean:
+            z = z + np.where(label == 1, np.log(toxic / clean), np.where(label == 0, np.log((1 - toxic) / (1 - clean)), 0.0))
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 4096, voter_patterns: int = 400,
-        seeds: tuple[str, ...] = SEEDS, least: int = 4, l2: float = 0.3, seed: int = 31) -> tuple[Classifier, LabelModel | None]:
+        seeds: tuple[str, ...] = SEEDS, least: int = 4, l2: float = 0.3, seed: int = 31,
+        learn: Column | None = None) -> tuple[Classifier, LabelModel | None]:
     """The classifier for ``docs`` (doc_id, text), from ``labels`` (doc_id, toxic)
-    of the rows that may be learned from."""
+    of the rows that may be learned from. ``learn``: a condition on ``doc_id`` for the
+    documents without a label that are trained on (default: any)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = C.stored(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows))
-    fitted = C.stored(docs.join(F.broadcast(sample), "doc_id"))     # at most ``fit_rows`` rows of ``sample``
+    others = docs.where(F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn)).select("doc_id").distinct()
+    others = others.join(F.broadcast(sample), "doc_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows)
+    drawn = C.stored(sample.unionByName(others.withColumn("toxic", F.lit(-1))))      # at most 2 * ``fit_rows``
+    training = C.stored(docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    fitted = training.where("toxic >= 0")
     mined = mine(fitted, least, features)
     made = voters(mined[:voter_patterns], seeds)
     k = made.n
@@ -297,21 +328,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
     start = np.tile(np.array([[0.02], [0.3]]), (1, k))
     model = label_model(marked, k, max(0.01, min(0.5, n.get(1, 0) / max(1, sum(n.values())))), start)
 
-    # training rows: the labelled sample, with the label as one more voter
-    hashes = np.array([h & (1 << 64) - 1 for h, _, _ in mined] + [word_hash(w) for w in seeds], U64)
-    hashes = np.unique(hashes)
-    rows = (fitted.withColumn("votes", made.votes(F.col("text"))).select("text", "votes", F.col("toxic").cast("long").alias("label"))
-            .mapInArrow(lambda it: _hits(it, hashes), "votes long, label long, hits array<long>").toPandas())    # bounded by ``fit_rows``
+    known_words = np.array([h & (1 << 64) - 1 for h, _, _ in mined] + [word_hash(w) for w in seeds], U64)
+    if not sum(n.values()):
+        return Classifier(np.unique(known_words), np.full(len(np.unique(known_words)), 4.0), -2.0), model
+    # posterior labels of the training rows, and what tells them
+    told = training.select("doc_id", "toxic", "text", made.votes(F.col("text")).alias("votes"))
+    states = told.select("doc_id", "toxic", "votes").toPandas()                             # bounded by 2 * ``fit_rows``
+    states["q"] = with_label(model.posterior(states["votes"].to_numpy(np.int64)), states["toxic"].to_numpy())
+    soft = spark.createDataFrame(states[["doc_id", "q"]], "doc_id long, q double")
+    rows = training.join(F.broadcast(soft), "doc_id")
+    more = mine(rows.select("text", (F.col("q") >= 0.5).cast("int").alias("toxic")), least, features)
+    hashes = np.unique(np.concatenate([known_words, np.array([h & (1 << 64) - 1 for h, _, _ in more], U64)]))
+    rows = (rows.select("text", F.col("toxic").cast("long").alias("label"), "q")
+            .mapInArrow(lambda it: _hits(it, hashes), "q double, label long, hits array<long>").toPandas())     # bounded by 2 * ``fit_rows``
     if not len(rows):
         return Classifier(hashes, np.full(len(hashes), 4.0), -2.0), model
-    post = model.posterior(rows["votes"].to_numpy())
-    z = np.clip(np.log(post / (1 - post)), -2.5, 2.5) + np.where(rows["label"] == 1, 1, -1) * np.log(0.97 / 0.03)
-    q = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     hits = [np.asarray(x, np.int64) for x in rows["hits"]]
-    w, b = logistic(hits, q, len(hashes), l2)
+    w, b = logistic(hits, rows["q"].to_numpy(), len(hashes), l2)
     # one half lies where the labelled rows separate best
-    z, toxic = np.array([b + w[x].sum() for x in hits]), (rows["label"] == 1).to_numpy()
-    limit = separating_limit(z[toxic], z[~toxic], 1.0) if toxic.any() and not toxic.all() else 0.0
+    z, toxic, clean = np.array([b + w[x].sum() for x in hits]), (rows["label"] == 1).to_numpy(), (rows["label"] == 0).to_numpy()
+    limit = separating_limit(z[toxic], z[clean], 1.0) if toxic.any() and clean.any() else 0.0
     return Classifier(hashes, w, b - (limit if np.isfinite(limit) else 0.0)), model
 
 
@@ -321,7 +357,7 @@ def held_out(doc_id: Column) -> Column:
 
 def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``; labels
-    of held-out rows are not read."""
-    model, _ = fit(docs, labels.where(~held_out(F.col("doc_id"))), **options)
+    of held-out rows are not read, nor are such rows trained on."""
+    model, _ = fit(docs, labels.where(~held_out(F.col("doc_id"))), learn=~held_out(F.col("doc_id")), **options)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))

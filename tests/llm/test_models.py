@@ -143,3 +143,38 @@ def test_toxicity_without_labels_and_empty_table(spark):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(df, lab).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
     assert toxicity.scores(df.limit(0), lab).count() == 0
+
+
+def test_words_of_unlabelled_documents_are_learned_from_posteriors(spark):
+    docs, _, _, lab = frames(spark)
+    r, plain = random.Random(3), docs[2][1]
+
+    def abuse(text):        # five words of the lexicon
+        return " ".join([text, *r.sample(toxicity.SEEDS, 5)])
+
+    docs = [(i, abuse(docs[2 + i % 3][1]) if i is not None and i < 600 and i % 5 == 1 else t, *rest) for i, t, *rest in docs]
+    docs = [(i, None if t is None else t.replace("grumf", "ba"), *rest) for i, t, *rest in docs]
+    docs += [(7000 + i, abuse(plain) + " vexilor", "en", "s", 0) for i in range(60)]
+    docs += [(8000, f"{plain} vexilor", "en", "s", 0), (8001, f"{plain} other", "en", "s", 0)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(spark.createDataFrame(docs, DOCS).repartition(5), lab).where("doc_id >= 7000").collect()}
+    assert all(got[7000 + i] >= 0.5 for i in range(60))
+    assert got[8000] > 3 * got[8001] and got[8001] < 0.5, (got[8000], got[8001])
+
+
+def test_a_label_is_a_voter_with_rates_of_its_own():
+    r = np.random.default_rng(0)
+    y = r.random(20000) < 0.3
+    label = np.where(r.random(20000) < 0.9, y, ~y).astype(int)
+    post = np.clip(np.where(y, 0.95, 0.05), 0, 1)
+    clean, toxic = toxicity.label_rates(post, label)
+    assert abs(clean - 0.1) < 0.1 and abs(toxic - 0.9) < 0.1
+    q = toxicity.with_label(np.array([0.5, 0.5, 0.5, 0.02] + [0.9] * 50 + [0.1] * 50), np.array([1, 0, -1, 1] + [1] * 50 + [0] * 50))
+    assert q[0] > 0.8 and q[1] < 0.2 and q[2] == 0.5 and 0.02 < q[3] < q[0]
+
+
+def test_a_repeated_labelled_id_counts_once(spark):
+    docs = [(1, f"fine text {i}", "en", "s", 0) for i in range(3000)] + [(2, "bad idiot", "en", "s", 0), (3, "a good day", "en", "s", 0)]
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], LABELS)
+    df = spark.createDataFrame(docs, DOCS).repartition(4)
+    assert importance.resample(df, lab, fit_rows=3).count() == len(docs)
+    assert toxicity.scores(df, lab, fit_rows=3).where("doc_id = 2 AND predicted = 1").count() == 1
