@@ -47,6 +47,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, n: int) -> DataFrame:
+    """A table of known length: broadcast up to 100,000 rows, joined by a shuffle beyond."""
+    return F.broadcast(table) if n <= 100_000 else table
+
+
+def in_files(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is a table of files as it was read, else a stored copy."""
+    node = docs._jdf.queryExecution().analyzed().nodeName()
+    return docs if "Relation" in node and docs.inputFiles() else stored(docs)
+
+
+def place(docs: DataFrame) -> list[Column]:
+    """A row's file and its number there: however the files are split among
+    tasks, a later scan finds the same row under them."""
+    at = docs.metadataColumn("_metadata")
+    return [at["file_path"].alias("__file"), at["row_index"].alias("__place")]
+
+
 # ------------------------------------------------------------ words as hashes
 
 _BASE = 0x9E3779B97F4A7C15 | 1

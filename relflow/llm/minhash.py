@@ -275,11 +275,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the near-duplicates: of each group the document with the
-    smallest ``doc_id`` stays, of rows that repeat a ``doc_id`` the first by all
-    their columns. Rows without a ``doc_id`` stay."""
-    kept = C.stored(near_duplicates(docs, **options).where("kept").select("doc_id").distinct())
-    rows = docs.where(F.col("doc_id").isNotNull()).join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    rows = rows.withColumn("__row", first).where("__row = 1").drop("__row")
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` without the near-duplicates: one row of each group stays, the one with
+    the smallest ``doc_id`` (null last), then the first by file and place. Rows are told
+    apart by file and place, so different texts under one ``doc_id`` or without one are
+    different documents; rows without words all stay."""
+    docs = C.in_files(docs)
+    files = docs.select(*C.place(docs)).select("__file").distinct()
+    files = C.stored(files.withColumn("__no", F.row_number().over(Window.orderBy("__file")).cast("long")))     # one row a file
+    files = C.small(files, files.count())
+    row = (F.col("__no") * (1 << 40) + F.col("__place")).alias("__row")
+
+    def numbered(column):
+        return docs.select(*C.place(docs), column).join(files, "__file")
+
+    groups = near_duplicates(numbered(F.col("text")).select(row.alias("doc_id"), "text"), **options)
+    names = numbered(F.col("doc_id").cast("long").alias("__id")).select(row, "__id", "__file", "__place")
+    first = F.min(F.struct(F.col("__id").isNull().alias("nameless"), "__id", "__row", "__file", "__place"))
+    kept = (groups.join(names, F.col("doc_id") == F.col("__row")).groupBy("component_id").agg(first.alias("first"))
+            .select(F.col("first.__file").alias("__kept_file"), F.col("first.__place").alias("__kept")))
+    kept = C.stored(kept)
+    rows = docs.select(F.struct("*").alias("__doc"), *C.place(docs))
+    return rows.join(kept, (F.col("__place") == F.col("__kept")) & (F.col("__file") == F.col("__kept_file")), "left_semi").select("__doc.*")

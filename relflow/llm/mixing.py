@@ -107,24 +107,6 @@ class Mix:
     draws: DataFrame        # row, doc_id, block, start_word, words, source_no, draw, shard, order_key
 
 
-def _small(table: DataFrame, n: int) -> DataFrame:
-    """A table of known length: broadcast up to 100,000 rows, joined by a shuffle beyond."""
-    return F.broadcast(table) if n <= 100_000 else table
-
-
-def _in_files(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if it is a table of files as it was read, else a stored copy."""
-    node = docs._jdf.queryExecution().analyzed().nodeName()
-    return docs if "Relation" in node and docs.inputFiles() else C.stored(docs)
-
-
-def _place(docs: DataFrame) -> list[Column]:
-    """A row's file and its number there: however the files are split among
-    tasks, a later scan finds the same row under them."""
-    at = docs.metadataColumn("_metadata")
-    return [at["file_path"].alias("__file"), at["row_index"].alias("__place")]
-
-
 def _hash(seed: int, block: Column) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", block.cast("long"))
 
@@ -134,8 +116,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
     """The mix of ``docs`` (doc_id, text, source): which blocks, how often, and
     in which shard of about ``shard_draws`` draws."""
     spark = docs.sparkSession
-    docs = _in_files(docs)
-    sizes = C.stored(docs.select(F.monotonically_increasing_id().alias("row"), *_place(docs), F.col("doc_id").cast("long").alias("doc_id"),
+    docs = C.in_files(docs)
+    sizes = C.stored(docs.select(F.monotonically_increasing_id().alias("row"), *C.place(docs), F.col("doc_id").cast("long").alias("doc_id"),
                                  F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
     n_blocks = F.ceil(F.col("size") / block_words) if block_words else F.least(F.col("size"), F.lit(1))
     rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.sum(n_blocks).alias("blocks")).collect()
@@ -151,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
                                    for i, r in enumerate(rows)], kind)
 
     # every block with its rank, and the words before it, in its source's random order
-    src = _small(table, len(rows)).withColumnRenamed("source", "source_key")
+    src = C.small(table, len(rows)).withColumnRenamed("source", "source_key")
     blocks = (sizes.where("size > 0").join(src, F.col("source").eqNullSafe(F.col("source_key")))
               .select("row", "doc_id", "size", "source_no", "passes", "rest", "blocks", "bins",
                       F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1)).alias("block")))
@@ -179,7 +161,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
     ends = [tuple(c["cut"]) if c and c["cut"] else (None, None) for c in of]
     table = spark.createDataFrame([(r["source"], i, r["size"], target[i], passes[i], bins[i], *ends[i]) for i, r in enumerate(rows)],
                                   "source string, source_no int, source_size long, target double, passes long, bins long, cut_bin long, cut_hash long")
-    table = _small(table, len(rows))
+    table = C.small(table, len(rows))
 
     # the draws: one row for each pass that takes the block
     times = F.col("passes") + (F.col("last") > 0).cast("long")
@@ -215,7 +197,7 @@ def mixed_documents(m: Mix) -> DataFrame:
     places = (shard_rows(m).select("row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
               .join(m.sizes.select("row", F.col("__file").alias("__drawn_file"), F.col("__place").alias("__drawn")), "row").drop("row"))
     places = C.stored(places)
-    rows = m.docs.select(F.struct("*").alias("__doc"), *_place(m.docs)).join(places, (F.col("__place") == F.col("__drawn")) & (F.col("__file") == F.col("__drawn_file")))
+    rows = m.docs.select(F.struct("*").alias("__doc"), *C.place(m.docs)).join(places, (F.col("__place") == F.col("__drawn")) & (F.col("__file") == F.col("__drawn_file")))
     return rows.orderBy("__shard", "__slot").select("__doc.*")
 
 

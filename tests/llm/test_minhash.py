@@ -61,7 +61,17 @@ def test_distinct_documents_keep_one_of_each_group(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     out = minhash.distinct_documents(df)
     assert out.columns == df.columns
-    assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 1, 2]
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+
+
+def test_distinct_documents_tell_rows_apart_whatever_their_ids(spark):
+    texts = [f"text number {i} has its own words a{i} b{i} c{i} d{i}" for i in range(4)]
+    rows = [(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (9, texts[1]), (4, None), (4, "")]
+    df = spark.createDataFrame([(i, t, {"a": 1}, 1) for i, t in rows], "doc_id long, text string, extra map<string,int>, __file int").repartition(3)
+    out = minhash.distinct_documents(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted([(5, texts[0]), (5, texts[1]), (0, texts[2]), (0, texts[3]), (4, ""), (4, "")])
 
 
 def test_long_text_is_hashed_like_short_ones():
