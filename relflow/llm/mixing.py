@@ -18,7 +18,9 @@ Draws are counted in the source's order, so the counts alone say which shard own
 a draw, shards are disjoint, and all of it follows from the seed: a task that is
 run again gets the same answer. Within a shard ``order_key`` gives the local
 shuffle. The tree is a function of one number for each source and is worked out
-in the tasks; a node holds up to 10^9 draws, larger mixes take larger blocks.
+in the tasks, which keep at most ``SplitTree.KEPT`` of its numbers and work out the
+others again for each batch. Nodes of 10^9 draws and more are split source by source
+(up to about 10^12 draws: a split then holds some 10^7 numbers for a moment).
 
 Ranks come from hash bins of bounded size and the bins' totals, so a source that
 holds a third of all blocks spreads over tasks. Only one row for each source
@@ -66,19 +68,51 @@ def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are among the ``good``, for counts of
+    any size: the inverse of the distribution, summed up over the values within ten
+    standard deviations of its mean (what lies beyond has less weight than rounding)."""
+    total = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mean = n * (good / total)
+    spread = (mean * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    a, b = max(low, int(mean - 10 * spread) - 50), min(high, int(mean + 10 * spread) + 50)
+    x = np.arange(a, b, dtype=np.float64)
+    step = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)      # log p(x+1)/p(x)
+    log_p = np.concatenate([[0.0], np.cumsum(step)])
+    p = np.cumsum(np.exp(log_p - log_p.max()))
+    return a + min(int(np.searchsorted(p, rng.random() * p[-1], side="right")), b - a)
+
+
 class SplitTree:
     """Owner of each draw: ``quotas[s]`` draws of source ``s`` over ``shards``."""
 
+    KEPT = 1 << 22          # numbers of the tree that a task keeps (32 MB)
+    NUMPY_LIMIT = 10**9     # numpy's sampler takes fewer draws than this
+
     def __init__(self, quotas: list[int], shards: int, seed: int):
         self.quotas, self.shards, self.seed, self.nodes = np.array(quotas, np.int64), shards, seed, {}
 
     def _left(self, a: int, b: int, have: np.ndarray) -> np.ndarray:
         """Draws of each source that the left half of shards a..b-1 gets."""
-        if (a, b) not in self.nodes:
-            rng = np.random.Generator(np.random.PCG64([self.seed, a, b]))
-            n = int(have.sum()) * ((a + b) // 2 - a) // (b - a)
-            self.nodes[a, b] = rng.multivariate_hypergeometric(have, n, method="marginals")
-        return self.nodes[a, b]
+        if (a, b) in self.nodes:
+            return self.nodes[a, b]
+        rng = np.random.Generator(np.random.PCG64([self.seed, a, b]))
+        total = int(have.sum())
+        n = total * ((a + b) // 2 - a) // (b - a)
+        if total < self.NUMPY_LIMIT:
+            left = rng.multivariate_hypergeometric(have, n, method="marginals")
+        else:
+            left = np.zeros(len(have), np.int64)
+            for s, good in enumerate(have.tolist()):
+                total -= good
+                left[s] = hypergeometric(rng, good, total, n)
+                n -= int(left[s])
+        if (len(self.nodes) + 1) * len(have) <= self.KEPT:
+            self.nodes[a, b] = left
+        return left
 
     def owners(self, source: np.ndarray, draw: np.ndarray) -> np.ndarray:
         """The shard of each (source, number of the draw in the source's order)."""
@@ -182,12 +216,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, blo
 
 
 def taken(m: Mix) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)``: the words that the
-    shards take of each document, repeats counted."""
-    got = m.draws.groupBy("row").agg(F.sum("words").alias("taken"))
+    """``(doc_id, source, size, source_size, target, taken, draws, first_shard,
+    last_shard)``: the words that the shards take of each document, repeats counted, in
+    how many draws, and the least and the greatest of these shards (null: never drawn)."""
+    got = m.draws.groupBy("row").agg(F.sum("words").alias("taken"), F.count("shard").alias("draws"),
+                                     F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     src = m.sources.select(F.col("source").alias("source_key"), "source_size", "target")
     return (m.sizes.join(got, "row", "left").join(src, F.col("source").eqNullSafe(F.col("source_key")))
-            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                    F.coalesce("draws", F.lit(0).cast("long")).alias("draws"), "first_shard", "last_shard"))
 
 
 def mixed_documents(m: Mix) -> DataFrame:

@@ -80,6 +80,70 @@ def test_tree_is_a_hypergeometric_split():
     assert np.allclose(firsts.var(axis=0).mean(), k * (n / total) * (1 - n / total) * (total - k) / (total - 1), rtol=0.25)
 
 
+def test_counts_beyond_numpys_sampler():
+    rng = np.random.default_rng(1)
+    # against numpy's sampler, on counts that both take
+    for good, bad, n in [(7, 500, 100), (5000, 300, 2650), (10**6, 10**8, 5 * 10**7), (1, 1, 1)]:
+        ours = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(400)])
+        theirs = rng.hypergeometric(good, bad, n, 20000)
+        assert ours.min() >= max(0, n - bad) and ours.max() <= min(good, n)
+        assert abs(ours.mean() - theirs.mean()) <= 5 * theirs.std() / 20 + 1e-9
+        assert ours.std() == pytest.approx(theirs.std(), rel=0.25)
+    assert mixing.hypergeometric(rng, 10, 0, 4) == 4 and mixing.hypergeometric(rng, 0, 10, 4) == 0
+
+
+@pytest.mark.parametrize("kept", [0, 1 << 22])
+def test_tree_of_ten_thousand_million_draws(kept):
+    quotas, shards = [6 * 10**9, 4 * 10**9, 40, 0], 64
+    tree = mixing.SplitTree(quotas, shards, 3)
+    tree.KEPT = kept
+    # the shard changes once at most between two neighbouring draws; find each shard's share of a source by bisection
+    shares = []
+    for s, q in enumerate(quotas):
+        lo, hi = np.zeros(shards, np.int64), np.full(shards, q, np.int64)       # first draw of a shard above each
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            owner = tree.owners(np.full(shards, s), np.minimum(mid, q - 1))
+            up = (owner <= np.arange(shards)) & (mid < q) & (lo < hi)
+            lo, hi = np.where(up, mid + 1, lo), np.where(up | (lo >= hi), hi, mid)
+        shares.append(np.diff(lo, prepend=0))
+    shares = np.array(shares)
+    assert shares.sum(axis=1).tolist() == quotas and (shares >= 0).all()
+    assert np.ptp(shares.sum(axis=0)) <= 7
+    p = shares[0] / shares.sum(axis=0)
+    assert abs(p - 0.6).max() < 6 * (0.24 * shards / 1e10) ** 0.5
+    assert (len(tree.nodes) == 0) == (kept == 0)
+
+
+def test_documents_get_what_their_shards_draw(spark):
+    """A replay from the stored sizes alone: a source's random order, the tree's counts for
+    each node and the runs of draws that they give to the shards."""
+    made = mixing.mix(spark.createDataFrame(rows(), DOCS), block_words=7, shard_draws=60)
+    draws = made.draws.toPandas()
+    quotas = draws.groupby("source_no").size().reindex(range(made.sources.count()), fill_value=0).to_numpy()
+    shards = -(-len(draws) // 60)
+
+    def split(a, b, have):
+        if b - a == 1:
+            return {a: have}
+        rng, mid = np.random.Generator(np.random.PCG64([17, a, b])), (a + b) // 2
+        left = rng.multivariate_hypergeometric(have, int(have.sum()) * (mid - a) // (b - a), method="marginals")
+        return split(a, mid, left) | split(mid, b, have - left)
+
+    want = split(0, shards, quotas)
+    got = draws.groupby(["shard", "source_no"]).size()
+    for a, have in want.items():
+        assert [got.get((a, s), 0) for s in range(len(quotas))] == have.tolist()
+    ends = {s: np.cumsum([want[a][s] for a in range(shards)]) for s in range(len(quotas))}
+    assert all(r.shard == np.searchsorted(ends[r.source_no], r.draw, side="right") for r in draws.itertuples())
+    per = draws.groupby("row").agg(taken=("words", "sum"), draws=("words", "size"), first=("shard", "min"), last=("shard", "max"))
+    ids = {r["row"]: r for r in made.sizes.collect()}
+    have = sorted((ids[i]["doc_id"] or -1, ids[i]["size"], *map(int, r)) for i, r in zip(per.index, per.to_numpy()))
+    out = mixing.taken(made).collect()
+    assert have == sorted((r["doc_id"] or -1, r["size"], r["taken"], r["draws"], r["first_shard"], r["last_shard"]) for r in out if r["draws"])
+    assert all(r["taken"] == 0 and r["first_shard"] is None for r in out if not r["draws"])
+
+
 def test_mixed_documents_repeat_rows_as_the_mix_says(spark):
     data = [r for r in rows() if r[0] is not None and r[0] != 7]
     df = spark.createDataFrame(data, DOCS)
