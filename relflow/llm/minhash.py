@@ -209,7 +209,7 @@ def _compare(frames, percent: int):
         yield pd.DataFrame({"a": np.concatenate(us), "b": np.concatenate(vs)}).drop_duplicates()
 
 
-def _links_between(docs: DataFrame, classes: DataFrame, shared: DataFrame, found: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+def _links_between(docs: DataFrame, classes: DataFrame, shared: DataFrame, found: DataFrame, k: int, percent: int, block: int, span: int) -> DataFrame:
     """Links between classes of different components ``found`` that share a bucket:
     enough of them to connect what all of them connect."""
     in_bucket = shared.where("size > 2").join(found, shared["class_id"] == found["node"], "left").select(
@@ -224,14 +224,19 @@ def _links_between(docs: DataFrame, classes: DataFrame, shared: DataFrame, found
                               F.col("r.n").alias("ns"), F.flatten("r.items").alias("items")))
     names = ("ids", "comps", "ns", "items")
     one = packed.where("parts = 1").select(*names, *[F.col(c).alias(c + "2") for c in names])
-    many = packed.where("parts > 1")
-    other = many.select("bucket", F.col("part").alias("part2"), *[F.col(c).alias(c + "2") for c in names])
-    many = many.join(other, "bucket").where("part <= part2").select(*names, *[c + "2" for c in names])
+    # a long bucket is dealt to cells of ``span`` by ``span`` blocks, each a key of its own, so its pairs spread over tasks
+    of, spans = F.floor(F.col("part") / span).cast("long"), F.ceil(F.col("parts") / span).cast("long")
+    cells = (packed.where("parts > 1").withColumn("mine", of).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), spans - 1)))
+             .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")))
+    left = cells.where("mine = low").select("bucket", "low", "high", "part", *names)
+    right = cells.where("mine = high").select("bucket", "low", "high", F.col("part").alias("part2"), *[F.col(c).alias(c + "2") for c in names])
+    many = (left.join(right, ["bucket", "low", "high"]).where("low < high OR part <= part2")
+            .select(*names, *[c + "2" for c in names]))
     return one.unionByName(many).mapInPandas(lambda it: _compare(it, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 16, rows: int = 4,
-                    block: int = 256) -> DataFrame:
+                    block: int = 256, span: int = 4) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``
     (doc_id, text). Texts are linked when ``100 * |A n B| >= percent * |A u B|``;
     a pair at the limit of 0.85 shares one of 16 bands of 4 places with a
@@ -258,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
                     .select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct())
     ends = star.select(F.col("a").alias("class_id")).unionByName(star.select(F.col("b").alias("class_id")))
     links = C.stored(_confirmed(_sets_of(docs, classes, ends, k), star, percent))
-    more = _links_between(docs, classes, shared, C.components(links, "a", "b"), k, percent, block)
+    more = _links_between(docs, classes, shared, C.components(links, "a", "b"), k, percent, block, span)
 
     # rows that share a doc_id but not a text belong together
     members = named.join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select("doc_id", "class_id")

@@ -35,6 +35,27 @@ def test_families_equal_brute_force_with_small_blocks(spark):
     assert all(r["n_shingles"] == len(shingles(dict(rows)[r["doc_id"]])) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("span", [1, 2, 3])
+def test_a_long_bucket_is_dealt_to_cells_without_losing_a_link(spark, span):
+    # a template's many texts share buckets; few of them are links, and those lie in any two blocks
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for at in r.sample(range(90), 4):
+            t[at] = f"own{i}_{at}"
+        rows.append((i, " ".join(t)))
+        if i % 5 == 0:
+            t[89] = f"twin{i}"
+            rows.append((1000 - i, " ".join(t)))
+    want = near_components(rows)
+    assert len(set(want.values())) > 60
+    df = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], DOCS)
+    got = minhash.near_duplicates(df, bands=32, rows=2, block=8, span=span).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, "É a b c d e"), (8, "é a b c d e"),
             (9, "a b c d e"), (10, "z " * 3000), (11, "z " * 4000), (12, "long" * 100000), (12, "long" * 100000), (None, "a b c d e"), (13, "A B C D E")]
