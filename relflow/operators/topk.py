@@ -164,13 +164,15 @@ def _scan_parts(frames, k, prune, bucket_size, n_focus, t):
 
 def top_k(users: DataFrame, items: DataFrame, k: int, prune: str | None = None, bucket_size: int = 10,
           n_focus: int = 5, t: float = 2.5, user_col: str = "user_id", item_col: str = "item_id",
-          col: str = "factors", max_block_rows: int | None = None, share_rows: int = 4096) -> DataFrame:
+          col: str = "factors", max_block_rows: int | None = None, share_rows: int = 4096,
+          max_share_rows: int = 409_600, cells: int = 4096) -> DataFrame:
     """Exact top-K items per user by inner product.
 
     Output rows ``user_id, rank (1..K), item_id, score``; fewer than K rows
     when there are fewer items. ``prune`` in None, "length", "coord", "incr",
-    "lc", "li"; all give the same rows. ``share_rows``: users of a block that
-    one task takes.
+    "lc", "li"; all give the same rows. A block of items meets the users in shares,
+    each one task, and is copied once a share: shares have ``share_rows`` users as long
+    as blocks times shares stay below ``cells``, and up to ``max_share_rows`` beyond that.
     """
     spark = users.sparkSession
     from relflow.operators.factors import vector_size
@@ -195,10 +197,10 @@ def top_k(users: DataFrame, items: DataFrame, k: int, prune: str | None = None,
         return users.select(F.col(user_col), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias(item_col),
                             F.lit(0.0).alias("score")).limit(0)
     blocks = F.broadcast(spark.createDataFrame(info, "block int, salts int, top double"))
-    shares = max(1, -(-n_users // share_rows))
+    n_cells = sum(salts for _, salts, _ in info)
+    shares = max(1, -(-n_users // max_share_rows), min(-(-n_users // share_rows), cells // n_cells))
     it = (it.join(blocks, "block").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-          .select("block", "salt", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(False).alias("is_user"),
-                  "id", F.lit(0.0).alias("theta"), "factors"))
+          .select("block", "salt", F.lit(False).alias("is_user"), "id", F.lit(0.0).alias("theta"), "factors"))
     schema = "user long, item long, score double"
 
     def meet(asking: DataFrame, first: bool) -> DataFrame:
@@ -206,7 +208,12 @@ def top_k(users: DataFrame, items: DataFrame, k: int, prune: str | None = None,
         asking = (asking.select(F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "*")
                   .withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
                   .select("block", "salt", "share", F.lit(True).alias("is_user"), "id", "theta", "factors"))
-        both = it.where(those).unionByName(asking).repartition("block", "salt", "share").sortWithinPartitions("block", "salt", "share", "is_user")
+        mine = it.where(those)
+        if first or prune is None:
+            mine = mine.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        else:       # only to shares with a user that the block can still help; a row for each block and share
+            mine = mine.join(asking.select("block", "salt", "share").distinct(), ["block", "salt"])
+        both = mine.unionByName(asking).repartition("block", "salt", "share").sortWithinPartitions("block", "salt", "share", "is_user")
         return both.mapInPandas(lambda frames: _scan_parts(frames, k, prune, bucket_size, n_focus, t), schema)
 
     none = F.lit(float("-inf"))

@@ -47,6 +47,17 @@ def test_k_larger_than_items_and_chunks(spark):
         assert [int(i) for i in g.item_id] == [i for i, _ in exp[u]]
 
 
+@pytest.mark.parametrize("prune", [None, "li"])
+@pytest.mark.parametrize("shape", [(1, 4), (1000, 30), (7, 1)])
+def test_shares_of_any_size_give_the_same_rows(spark, prune, shape):
+    users, items, U, P = _tables(spark, 21)
+    got = TK.top_k(users, items, 6, prune=prune, max_block_rows=40, share_rows=3, max_share_rows=shape[0], cells=shape[1]).toPandas()
+    exp = _brute(U, P, 6)
+    assert got.user_id.nunique() == len(U)
+    for u, g in got.groupby("user_id"):
+        assert [(int(i), round(s, 9)) for i, s in zip(g.sort_values("rank").item_id, g.sort_values("rank").score)] == exp[u]
+
+
 def _work(U, P, k, prune, bucket_size):
     norm = np.sqrt((P * P).sum(axis=1))
     order = np.argsort(-norm, kind="stable")
