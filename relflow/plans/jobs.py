@@ -74,17 +74,27 @@ class StreamJob:
 def _resolve_days(events: DataFrame, resolved_path: str, checkpoint: str, trigger: dict):
     """Last-seen-day fill (B5) of a stream: every micro-batch goes through the
     ordered scan, per source, after the last day that earlier batches saw of the
-    source. Rows with their time go to ``resolved_path/batch=<id>``; the last days
-    are kept beside it. A batch that is replayed after its rows were written
-    leaves them as they are."""
+    source. Only sources of the micro-batch bring their last day, however many were
+    seen before. Rows with their time are written beside ``resolved_path`` and moved as a
+    whole to ``resolved_path/batch=<id>``, so that its readers never see an attempt that
+    died; the last days are kept beside it. A batch that is replayed after its rows
+    were moved leaves them as they are."""
     spark = events.sparkSession
     days = LatestStateTable(spark, f"{resolved_path}_days", keys=("source",), order=EVENT_ID_ORDER)
     keep = [B.A1, B.A2, "quadClass", "day"]
     names = ["source", *EVENT_ID_ORDER, *keep]
 
-    def done(path: str) -> bool:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def publish(rows: DataFrame, batch_id: int, out: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        target = path(out)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(target):
+            return
+        staged = f"{resolved_path}_staged/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(staged)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(path(staged), target):
+            raise OSError(f"cannot move {staged} to {out}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         out = f"{resolved_path}/batch={batch_id}"
@@ -95,14 +105,13 @@ def _resolve_days(events: DataFrame, resolved_path: str, checkpoint: str, trigge
         if seen is not None:
             # the source's last day, as a row before all others
             kinds = dict(rows.dtypes)
-            old = seen.select("source", F.lit(None).cast(kinds["globalEventID"]).alias("globalEventID"),
+            old = seen.join(rows.select("source").distinct(), "source", "left_semi").select("source", F.lit(None).cast(kinds["globalEventID"]).alias("globalEventID"),
                               *[F.lit(None).cast(kinds[c]).alias(c) for c in keep if c != "day"],
                               F.timestamp_millis("ts").cast("date").alias("day"), F.lit(True).alias("_old"))
             rows = rows.unionByName(old)
         rows = rows.withColumn("_new", F.when(F.col("_old"), 0).otherwise(1))
         filled = B.event_time_locf(rows, order_cols=("_new", *EVENT_ID_ORDER), keep=[B.A1, B.A2, "quadClass", "day", "_old"])
-        if not done(out):
-            filled.filter(~F.col("_old")).drop("_old", "_new").write.mode("overwrite").parquet(out)
+        publish(filled.filter(~F.col("_old")).drop("_old", "_new"), batch_id, out)
         written = spark.read.parquet(out)
         days.upsert(written.filter(F.col("day").isNotNull()).select("source", *EVENT_ID_ORDER, "ts"), batch_id)
 

@@ -76,6 +76,31 @@ def test_last_days_carry_over_to_later_batches_of_a_source(spark, tmpdir_run):
     assert event_columns()
 
 
+def test_only_sources_of_a_batch_bring_their_last_day(spark, tmpdir_run, monkeypatch):
+    from pyspark.sql import functions as F
+    carried = []
+    fill = jobs.B.event_time_locf
+    monkeypatch.setattr(jobs.B, "event_time_locf", lambda rows, **kw: (carried.append(rows.where("_old").count()), fill(rows, **kw))[1])
+    for i in range(4):
+        _write_events(f"{tmpdir_run}/in", [(2 * i + 1, "20170301", "USA", "FRA", 1), (2 * i + 2, "", "USA", "FRA", 1)], f"{i}.csv")
+    ev = jobs.stream_events(spark, f"{tmpdir_run}/in", 1).withColumn("source", F.input_file_name())
+    jobs._resolve_days(ev, f"{tmpdir_run}/resolved", f"{tmpdir_run}/ck", {"availableNow": True}).awaitTermination()
+    assert carried == [0, 0, 0, 0]
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmpdir_run}/resolved").count() == 8
+
+
+def test_an_attempt_that_died_is_not_seen_and_not_counted(spark, tmpdir_run):
+    from pyspark.sql import functions as F
+    _write_events(f"{tmpdir_run}/in", ROWS[:2], "a.csv")
+    # rows of an attempt that died while it wrote: beside the folder that readers list
+    spark.range(5).write.parquet(f"{tmpdir_run}/resolved_staged/batch=0/half")
+    ev = jobs.stream_events(spark, f"{tmpdir_run}/in", 1).withColumn("source", F.lit("feed"))
+    jobs._resolve_days(ev, f"{tmpdir_run}/resolved", f"{tmpdir_run}/ck", {"availableNow": True}).awaitTermination()
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmpdir_run}/resolved")
+    assert sorted(r.globalEventID for r in out.collect()) == [1, 2]
+    assert os.listdir(f"{tmpdir_run}/resolved_staged") == []
+
+
 def test_stream_counts_job_with_snapshots(spark, tmpdir_run):
     from relflow.sinks.writers import snapshot_messages
     from relflow.sources.ratings import stream_snapshot_requests
