@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from relflow.functions.jrandom import java_random_doubles
 from relflow.operators import cells, mf
 from relflow.operators import factors as FX
 from relflow.operators import training as TR
@@ -95,6 +96,26 @@ def test_block_counts_are_bounded():
         assert ub * ib >= min(pairs / cells.CELL_PAIRS, users * items) * 0.9
 
 
+def test_vectors_are_copied_to_few_cells():
+    users, items, pairs = 900_000, 1_200_000, 36_000_000
+    ub, ib = cells.block_counts(users, items, pairs, 64, cell_pairs=cells.pairs_per_cell(pairs))
+    assert ub * ib >= 24 and users * ib + items * ub < pairs / 3
+
+
+def test_cells_make_initial_vectors(spark):
+    """An id without a vector has none in the cells' exchange; its deltas come from the initial one."""
+    init = FX.ranged_init(K, -1.0, 1.0)
+    ids = np.array([0, -5, 7, 2**31 + 3, 123456789012])
+    assert [v.tolist() for v in init.vectors(ids)] == [[-1.0 + 2.0 * x for x in java_random_doubles(int(i), K)] for i in ids]
+    df = spark.createDataFrame([(1, 2, 1.0), (1, 3, None), (4, 2, 2.0)], "user_id long, item_id long, rating double")
+    u, i = (spark.createDataFrame([], f"{c} long, factors array<double>") for c in ("user_id", "item_id"))
+    got = {(r["side"], r["id"]): np.array(r["delta"]) for r in cells.step_deltas(df, u, i, 0.1, init, init, K).collect()}
+    vec = {x: init.vectors(np.array([x]))[0] for x in (1, 2, 4)}
+    e = {1: 0.1 * (1.0 - vec[1] @ vec[2]), 4: 0.1 * (2.0 - vec[4] @ vec[2])}
+    assert np.allclose(got["item", 2], e[1] * vec[1] + e[4] * vec[4]) and np.allclose(got["user", 4], e[4] * vec[2])
+    assert (got["item", 3] == 0).all()
+
+
 def test_levels_are_the_sequence():
     r = np.random.default_rng(3)
     for n, a, b in ((0, 1, 1), (1, 1, 1), (500, 20, 15), (300, 1, 50), (200, 200, 200)):
