@@ -71,6 +71,26 @@ def test_pruning_saves_work():
     assert _work(U, P, 5, "li", 20)[2] < _work(U, P, 5, None, 20)[2]
 
 
+@pytest.mark.parametrize("prune", [None, "length", "li"])
+def test_a_batch_of_users_meets_few_runs_of_buckets(monkeypatch, prune):
+    rng = np.random.default_rng(17)
+    U, P = rng.normal(size=(30, 8)), rng.normal(size=(2000, 8))
+    merges, merge = [], TK._topk_merge
+    monkeypatch.setattr(TK, "_topk_merge", lambda *a: merges.append(1) or merge(*a))
+    sc, it, _ = _work(U, P, 10, prune, 10)
+    assert 1 < len(merges) < 12       # one for each of 200 buckets before
+    exp = _brute(U, P, 10)
+    for u in range(len(U)):
+        assert [(int(i) + 1000, round(s, 9)) for i, s in zip(it[u], sc[u])] == exp[u]
+
+
+def test_ties_at_the_end_of_a_list_go_to_the_higher_id():
+    P = np.repeat(np.array([[1.0, 0.0], [0.5, 0.5]]), 300, axis=0)
+    for prune in (None, "length", "coord", "incr", "lc", "li"):
+        sc, it, _ = _work(np.array([[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]), P, 7, prune, 5)
+        assert it[0].tolist() == list(range(299, 292, -1)) and it[1].tolist() == list(range(599, 592, -1)) and it[2].tolist() == list(range(599, 592, -1))
+
+
 @pytest.mark.parametrize("prune", ["length", "coord", "incr", "lc", "li"])
 def test_dominant_coordinates_and_near_ties_are_kept(prune):
     # a user along one axis, items that differ in the last bits or by 1e-9
