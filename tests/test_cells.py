@@ -130,6 +130,17 @@ def test_ratings_reach_a_cell_in_arrays(spark, monkeypatch):
     assert sum(r["id"] for r in cells.step_deltas(df, u, i, 0.1, init, init, K).collect()) < 20     # a row each before
 
 
+def test_draws_of_many_items_are_not_sorted(spark, monkeypatch):
+    req = spark.createDataFrame([(r, 100 + r % 40) for r in range(200)], "request_id long, item_id long")
+    items = req.select("item_id")
+    rows = lambda d: sorted((r["request_id"], r["j"], r["neg_item_id"]) for r in d.collect())
+    few = rows(TR.negative_samples(req, items, seed=3))
+    monkeypatch.setattr(TR, "BROADCAST_ITEMS", 0)
+    many = TR.negative_samples(req, items, seed=3)
+    assert "rightHint=(strategy=shuffle_hash)" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(many) == few and len(few) == 1800
+
+
 def test_levels_are_the_sequence():
     r = np.random.default_rng(3)
     for n, a, b in ((0, 1, 1), (1, 1, 1), (500, 20, 15), (300, 1, 50), (200, 200, 200)):
