@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from relflow.operators import topk as TK
 
@@ -119,3 +120,11 @@ def test_many_blocks_equal_lengths_and_hot_block(spark, prune):
     for u, g in got.groupby("user_id"):
         assert [round(x, 9) for x in g.sort_values("rank").score] == [x for _, x in exp[u]]
     assert TK.top_k(users, items.limit(0), 3).count() == 0
+
+
+def test_recommend_makes_its_users_once(spark):
+    rows = lambda n, c: spark.range(n).select(F.col("id").alias(c), F.array(F.sin("id"), F.cos("id")).alias("factors"))
+    requests = spark.range(0, 40, 3).withColumnRenamed("id", "user_id")
+    got = TK.recommend(requests, rows(40, "user_id"), rows(30, "item_id"), 3)
+    assert "LeftSemi" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 14 * 3
