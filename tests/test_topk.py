@@ -128,3 +128,31 @@ def test_recommend_makes_its_users_once(spark):
     got = TK.recommend(requests, rows(40, "user_id"), rows(30, "item_id"), 3)
     assert "LeftSemi" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 14 * 3
+
+
+def test_one_task_with_all_items_ranks_them_itself(spark):
+    users, items, U, P = _tables(spark, 31)
+    got = TK.top_k(users, items, 5)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()      # sorted all lists again before
+    exp = _brute(U, P, 5)
+    for u, g in got.toPandas().groupby("user_id"):
+        assert [int(i) for i in g.sort_values("rank").item_id] == [i for i, _ in exp[u]]
+
+
+def test_vectors_without_a_score_and_users_with_two_vectors(spark):
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, None), (3, [float("nan"), 1.0])], "user_id long, factors array<double>")
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [None, 1.0]), (5, [0.5, 0.5])], "item_id long, factors array<double>")
+    for prune in (None, "li"):      # a null vector failed before
+        got = sorted(map(tuple, TK.top_k(users, items, 3, prune=prune).collect()))
+        assert got == [(1, 1, 2, 2.0), (1, 2, 5, 1.0), (1, 3, 1, 1.0)]
+
+
+def test_a_filter_that_keeps_all_is_tried_on_few_users(monkeypatch):
+    rng = np.random.default_rng(19)
+    U, P = rng.uniform(size=(640, 8)), rng.normal(size=(900, 8))
+    asked, keeps = [], TK._bucket_filter
+    monkeypatch.setattr(TK, "_bucket_filter", lambda prune, focus, unorm, *a: asked.append(len(unorm)) or keeps(prune, focus, unorm, *a))
+    sc, it, _ = _work(U, P, 10, "li", 10)
+    assert sum(asked) < 640 * len(asked) / 2
+    exp = _brute(U, P, 10)
+    assert all([int(i) + 1000 for i in it[u]] == [i for i, _ in exp[u]] for u in range(0, 640, 40))
