@@ -146,7 +146,9 @@ def relation_scores_by_day(df: DataFrame, lam: float = DEFAULT_LAMBDA, bound: fl
     ``(pair, ts)`` is left, then pieces are grouped by ``ts div fanout^k``
     until one piece per pair is left. No group holds more than ``fanout``
     pieces (level 0: ``fanout`` ids, times the rows that share one id), so a
-    hot pair or a hot day never lands in one task. ``order[0]`` must be an
+    hot pair or a hot day never lands in one task. The levels of ids, and those of
+    times, are taken only where a ``(pair, ts)`` has more than ``fanout`` events, or a
+    pair more than ``fanout`` times. ``order[0]`` must be an
     integer event id (the leading tie-break after ``ts``).
     """
     x = F.col(score_col)
@@ -155,24 +157,31 @@ def relation_scores_by_day(df: DataFrame, lam: float = DEFAULT_LAMBDA, bound: fl
     order_cols = list(order)
     base = df.select(*keys, t.alias("_t"), F.col(order_cols[0]).cast("long").alias("_id"),
                      _event_piece(x, t, order_cols, bound).alias("p"))
-    lo_id, hi_id, t_min, t_max = base.agg(F.min("_id"), F.max("_id"), F.min("_t"), F.max("_t")).first()
+    # rows of a (pair, ts) and pieces of a pair: a level that bounds no group is left out
+    sizes = base.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+    sizes = sizes.groupBy(*keys).agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_m"), F.min("_lo").alias("_lo"),
+                                     F.max("_hi").alias("_hi"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
+    rows, pieces, lo_id, hi_id, t_min, t_max = sizes.agg(F.max("_n"), F.max("_m"), F.min("_lo"), F.max("_hi"),
+                                                         F.min("_t0"), F.max("_t1")).first()
     # pieces are counted from the smallest id and time, with whole numbers: the index reaches 0
     def up(c: str, least: int = 0) -> Column:
         return F.expr(f"({c} - ({least})) div {fanout}")
 
-    b = up("_id", lo_id or 0)
-    cur = base.groupBy(*keys, "_t", b.alias("_b")).agg(
-        _fold_group(F.collect_list("p"), lam, F.col("_b")).alias("p"))
-    top = ((hi_id or 0) - (lo_id or 0)) // fanout
-    while top:
-        top //= fanout
-        nb = up("_b")
-        cur = cur.groupBy(*keys, "_t", nb.alias("_nb")).agg(
-            _fold_group(F.collect_list("p"), lam, F.col("_nb")).alias("p")).withColumnRenamed("_nb", "_b")
+    cur = base
+    if (rows or 0) > fanout:
+        b = up("_id", lo_id or 0)
+        cur = base.groupBy(*keys, "_t", b.alias("_b")).agg(
+            _fold_group(F.collect_list("p"), lam, F.col("_b")).alias("p"))
+        top = ((hi_id or 0) - (lo_id or 0)) // fanout
+        while top:
+            top //= fanout
+            nb = up("_b")
+            cur = cur.groupBy(*keys, "_t", nb.alias("_nb")).agg(
+                _fold_group(F.collect_list("p"), lam, F.col("_nb")).alias("p")).withColumnRenamed("_nb", "_b")
     # one piece per (pair, ts); climb over time
     cur = cur.groupBy(*keys, "_t").agg(_fold_group(F.collect_list("p"), lam, F.col("_t")).alias("p")) \
              .select(*keys, (F.col("_t") - F.lit(t_min or 0)).alias("_b"), "p")
-    top = (t_max or 0) - (t_min or 0)
+    top = (t_max or 0) - (t_min or 0) if (pieces or 0) > fanout else 0
     while top:
         top //= fanout
         nb = up("_b")
