@@ -52,8 +52,6 @@ ORACLE_SQL = None       # the first and fourth stage draw by hash; tests replay
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.step(spark, lambda: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
