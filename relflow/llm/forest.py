@@ -17,15 +17,16 @@ with which the queue comes to ``recall`` of their true neighbours. Vectors witho
 structure have no near neighbours to speak of and need most of the table; clustered
 vectors need a few leaves.
 
-The candidates of a leaf are scored inside the task that holds it, a row once for
-each query: a row that also lies in a leaf which the query takes in an earlier tree is
-passed over (those are the leaves nearer than the query's last one, so one number
-for each query tells them). Each leaf's best, by the exact cosine of the original
-vectors and the smaller id, are ranked again over all leaves.
+The candidates are scored in cells of a block of rows and a block of queries. A row
+comes to a cell once, with its leaf in every tree, and a query with one bit for each leaf
+that it takes; a row is a candidate, scored once, if one of its leaves is taken. Rows and
+queries are so shuffled once for each block of the other side, not once for each leaf. Each
+cell's best, by the exact cosine of the original vectors and the smaller id, are ranked
+again over all cells.
 
 Equal vectors are one candidate and are written out by their smallest ids, so
-copies cost nothing. Large leaves and much visited ones are dealt out in salted
-parts of bounded size.
+copies cost nothing. Blocks are dealt by hash: a cell holds about ``part_rows`` rows, and
+its queries stream past them.
 
 Rows: ``k`` for each query (fewer if there are fewer candidates), nearest first,
 ties to the smaller ``vec_id``. Vectors that are null, zero, hold null or
@@ -49,6 +50,11 @@ from pyspark.sql.window import Window
 
 from relflow.llm import common as C
 from relflow.llm import vectors as V
+from relflow.session import scan_partitions
+
+CELLS, CELL_PAIRS = 64, 1 << 24
+QUERIES, TILE = 256, 4096       # queries that meet members at once, and these
+NEAR_TIE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -69,11 +75,11 @@ class Forest:
             out[:, t] = (t << self.depth) + at - ((1 << self.depth) - 1)
         return out
 
-    def search(self, v: np.ndarray, counts: list[int], want: float) -> tuple[list[int], float]:
+    def search(self, v: np.ndarray, counts: list[int], want: float, side: np.ndarray | None = None) -> tuple[list[int], float]:
         """Leaves in the order of the shared queue until they hold ``want`` rows, and
-        the distance of the last."""
+        the distance of the last; ``side``: the vector's ``sides``, where they are known."""
         inner, out, have, last = (1 << self.depth) - 1, [], 0, 0.0
-        side = (self.normals @ v - self.offsets).tolist()
+        side = (self.normals @ v - self.offsets if side is None else side).tolist()
         queue = [(0.0, t, 0) for t in range(len(side))]
         while queue and have < want:
             far, t, i = heapq.heappop(queue)
@@ -91,6 +97,51 @@ class Forest:
                 last = far
         return out, last
 
+    def sides(self, x: np.ndarray) -> np.ndarray:
+        """Signed distances of each vector to each plane: vector x tree x node."""
+        flat = self.normals.reshape(-1, self.normals.shape[-1])
+        return (x @ flat.T).reshape(len(x), *self.offsets.shape) - self.offsets
+
+    def taken(self, side: np.ndarray, counts: np.ndarray, want: float) -> np.ndarray:
+        """Which leaves ``search`` takes, by one vector's ``sides``: all that are nearer
+        than the last one, and in the queue's order those at its distance."""
+        inner, far = (1 << self.depth) - 1, [np.zeros((len(side), 1))]
+        for d in range(self.depth):
+            m = side[:, (1 << d) - 1:(2 << d) - 1]
+            beyond = np.maximum(far[-1], abs(m))
+            both = np.stack([np.where(m >= 0, beyond, far[-1]), np.where(m >= 0, far[-1], beyond)], axis=2)
+            far.append(both.reshape(len(side), -1))
+        ends = far[-1].ravel()
+        held = (counts > 0) & (ends < np.inf)
+        places = np.flatnonzero(held)
+        places = places[np.argsort(ends[places], kind="stable")]
+        upto = np.cumsum(counts[places])
+        if not len(places) or upto[-1] < want:
+            return held
+        last = ends[places[np.searchsorted(upto, want)]]
+        out = held & (ends < last)
+        have = counts[out].sum()
+        queue = []      # nodes that entered the queue at this distance
+        for d, now in enumerate(far):
+            new = now == last
+            if d:
+                new &= np.repeat(far[d - 1], 2, axis=1) < last
+            t, i = np.nonzero(new)
+            queue += zip(t.tolist(), (i + (1 << d) - 1).tolist())
+        heapq.heapify(queue)
+        while queue and have < want:
+            t, i = heapq.heappop(queue)
+            while i < inner:
+                m = side[t, i]
+                near = 2 * i + 2 if m >= 0 else 2 * i + 1
+                if abs(m) <= last:
+                    heapq.heappush(queue, (t, 4 * i + 3 - near))
+                i = near
+            leaf = (t << self.depth) + i - inner
+            out[leaf] = counts[leaf] > 0
+            have += counts[leaf]
+        return out
+
     def nearer(self, v: np.ndarray, limit: float) -> np.ndarray:
         """Which leaves the queue takes before one at the distance ``limit``."""
         side = self.normals @ v - self.offsets
@@ -132,12 +183,15 @@ def _routed(batches, forest: Forest):
         yield pa.RecordBatch.from_arrays([batch.column("class_id"), C.list_array(leaves.ravel(), np.full(n, t), pa.int64())], ["class_id", "leaves"])
 
 
-def _visits(batches, forest: Forest, counts: list[int], want: float):
+def _visits(batches, forest: Forest, counts: np.ndarray, want: float):
+    """Queries with a bit for each leaf that they take; ``spot``: their leaf in the first tree."""
     for batch in batches:
-        found = [forest.search(v, counts, want) for v in V.unit(V.matrix(batch.column("vec")))]
-        flat = np.concatenate([np.array(f, np.int64) for f, _ in found]) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), C.list_array(flat, np.array([len(f) for f, _ in found]), pa.int64()),
-                                          pa.array([last for _, last in found], pa.float64()), batch.column("vec")], ["query_id", "leaves", "last", "vec"])
+        x = V.unit(V.matrix(batch.column("vec")))
+        taken = []
+        for s in range(0, len(x), 64):
+            taken += [np.packbits(forest.taken(side, counts, want)).tobytes() for side in forest.sides(x[s:s + 64])]
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(taken, pa.binary()), pa.array(forest.leaves(x)[:, 0] if len(x) else [], pa.int64()),
+                                          batch.column("vec")], ["query_id", "taken", "spot", "vec"])
 
 
 def _true_neighbours(batches, asked: np.ndarray, k: int):
@@ -169,96 +223,102 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
-def _best(hits: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best different members of each query among (query, member, cosine)."""
-    query, member, near = (np.concatenate(c) for c in zip(*hits))
-    order = np.lexsort((-near, member, query))
-    query, member, near = query[order], member[order], near[order]
-    once = np.ones(len(query), bool)
-    once[1:] = (query[1:] != query[:-1]) | (member[1:] != member[:-1])
-    query, member, near = query[once], member[once], near[once]
-    order = np.lexsort((member, -near, query))
-    query, member, near = query[order], member[order], near[order]
-    few = np.arange(len(query)) - np.searchsorted(query, query) < k
-    return query[few], member[few], near[few]
-
-
-def _scored(batches, forest: Forest, k: int, most: int = 200_000):
-    """The ``k`` best members that a task finds for each query: of one leaf after the
-    other, joined when ``most`` are held, and passed on early if so many are left."""
-    held, n = [], 0
-    for hits in _leaf_hits(batches, forest, k):
-        held.append(hits)
-        n += len(hits[0])
-        if n >= most:
-            held = [_best(held, k)]
-            n = len(held[0][0])
-            if 2 * n >= most:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "class_id", "near"])
-                held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(held, k)], ["query_id", "class_id", "near"])
-
-
-def _leaf_hits(batches, forest: Forest, k: int):
-    """Rows of a partition, sorted by part, members before queries: the ``k``
-    best members of each part for each of its queries, ties by the smaller id; a
-    member that the query meets in an earlier tree is passed over."""
-    part, held, members, seen = None, [], None, {}
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("leaf", "salt", "qsalt")], axis=1)
-        is_query, who = batch.column("is_query").to_numpy(zero_copy_only=False), batch.column("who").to_numpy()
-        last, raw, leaves = batch.column("last").to_numpy(zero_copy_only=False), V.matrix(batch.column("vec")), V.longs(batch.column("leaves"))
-        x = V.unit(raw)
-        new = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
-        for a, b in zip(new[:-1], new[1:]):
-            if a == b:
+class _Members:
+    """The rows of a cell, and the best of them for queries."""
+
+    def __init__(self, ids, raw, leaves, n_leaves: int, k: int):
+        self.ids, self.raw, self.leaves, self.n_leaves, self.k = ids, raw, leaves, n_leaves, k
+        self.unit = V.unit(raw)
+
+    def candidates(self, taken: list[bytes]) -> np.ndarray:
+        """Rows x queries, a bit each: whether one of the row's leaves is taken."""
+        of = np.unpackbits(np.frombuffer(b"".join(taken), np.uint8).reshape(len(taken), -1), axis=1, count=self.n_leaves)
+        by_leaf = np.packbits(of.T, axis=1)
+        met = by_leaf[self.leaves[:, 0]]
+        for t in range(1, self.leaves.shape[1]):
+            met |= by_leaf[self.leaves[:, t]]
+        return met
+
+    def best(self, raw: np.ndarray, taken: list[bytes]):
+        """(query's place, row's place, cosine): the ``k`` best candidates of each query,
+        ties by the smaller id."""
+        x, met = V.unit(raw), self.candidates(taken)
+        cols = np.flatnonzero(met.any(axis=1))
+        top, found, n = np.full((len(x), self.k), -np.inf), [], 0
+        s, step = 0, 512
+        while s < len(cols):
+            at = cols[s:s + step]
+            s, step = s + step, TILE
+            mask = np.unpackbits(met[at], axis=1, count=len(x)).T.astype(bool)
+            if np.count_nonzero(mask) > 0.1 * mask.size:
+                sims = np.where(mask, x @ self.unit[at].T, -np.inf)
+            else:
+                sims = np.full(mask.shape, -np.inf)
+                i, j = np.nonzero(mask)
+                sims[i, j] = np.einsum("ij,ij->i", x[i], self.unit[at[j]])
+            i, j = np.nonzero(mask & (sims >= top[:, :1] - NEAR_TIE))       # near ties are told apart exactly
+            if not len(i):
                 continue
-            if part != tuple(keys[a]):
-                part, held, members = tuple(keys[a]), [], None
-            q = a + int(np.count_nonzero(~is_query[a:b]))
-            if q > a:
-                held.append((who[a:q], x[a:q], raw[a:q], leaves[a:q]))
-            if q == b or not held:
+            count = np.bincount(i, minlength=len(x))
+            wide = np.full((len(x), self.k + count.max()), -np.inf)
+            wide[:, :self.k] = top
+            wide[i, self.k + np.arange(len(i)) - (np.cumsum(count) - count)[i]] = sims[i, j]
+            top = np.partition(wide, count.max(), axis=1)[:, -self.k:]      # the k-th in front
+            found.append((i, at[j], sims[i, j]))
+            n += len(i)
+            if n > 16 * TILE:
+                found = [self._exact(found, top, raw)]
+                n = len(found[0][0])
+        return self._exact(found, top, raw) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _exact(self, found, top, raw):
+        i, j, s = (np.concatenate(f) for f in zip(*found))
+        stay = s >= top[i, 0] - NEAR_TIE
+        i, j, s = i[stay], j[stay], s[stay]
+        exact = np.concatenate([_cosines(raw[i[a:a + TILE]], self.raw[j[a:a + TILE]]) for a in range(0, len(i), TILE)]) if len(i) else np.zeros(0)
+        order = np.lexsort((self.ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        few = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+        return i[few], j[few], exact[few]
+
+
+def _cell_hits(batches, n_leaves: int, k: int):
+    """Rows of a partition, by cell: its members, then its queries; the ``k`` best members of
+    the cell for each query."""
+    cell, held, members = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells, is_query = batch.column("cell").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (is_query[1:] != is_query[:-1])) + 1).tolist(), len(cells)]
+        for a, b in zip(cuts, cuts[1:]):
+            if cell != cells[a]:
+                cell, held, members = cells[a], [], None
+            part = batch.slice(a, b - a)
+            if not is_query[a]:
+                held.append((part.column("who").to_numpy(), V.matrix(part.column("vec")), V.longs(part.column("leaves")).astype(np.int32)))
                 continue
+            if members is None and held:
+                members, held = _Members(*(np.concatenate(h) for h in zip(*held)), n_leaves, k), []
             if members is None:
-                members = [np.concatenate(m) for m in zip(*held)]
-            ids, unit, whole, at = members
-            tree = part[0] >> forest.depth
-            for s in range(q, b, 256):
-                e = min(b, s + 256)
-                fresh = np.ones((e - s, len(ids)), bool)
-                if tree:
-                    taken = []
-                    for r in range(s, e):
-                        key = (who[r], raw[r].tobytes())
-                        if key not in seen:
-                            if len(seen) >= 4096:
-                                seen.clear()
-                            seen[key] = forest.nearer(x[r], last[r])
-                        taken.append(seen[key])
-                    taken = np.stack(taken)
-                    for t in range(tree):
-                        fresh &= ~taken[:, at[:, t]]
-                sims = np.full(fresh.shape, -np.inf)
-                if fresh.mean() > 0.1:
-                    np.copyto(sims, x[s:e] @ unit.T, where=fresh)
-                else:
-                    i, j = np.nonzero(fresh)
-                    sims[i, j] = np.einsum("ij,ij->i", x[s + i], unit[j])
-                n = min(k, len(ids))
-                least = -np.partition(-sims, n - 1, axis=1)[:, n - 1]
-                i, j = np.nonzero(fresh & (sims >= least[:, None] - 1e-9))        # near ties are told apart exactly
-                exact = _cosines(raw[s + i], whole[j])
-                order = np.lexsort((ids[j], -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                first = np.searchsorted(i, i)
-                best = np.arange(len(i)) - first < k
-                yield who[s + i[best]], ids[j[best]], exact[best]
+                continue
+            who, raw, taken = part.column("who").to_numpy(), V.matrix(part.column("vec")), part.column("taken").to_pylist()
+            for s in range(0, len(who), QUERIES):
+                i, j, near = members.best(raw[s:s + QUERIES], taken[s:s + QUERIES])
+                yield pa.RecordBatch.from_arrays([pa.array(who[s + i]), pa.array(members.ids[j]), pa.array(near)], ["query_id", "class_id", "near"])
+
+
+def cell_counts(rows: int, queries: int, row_bytes: int, query_bytes: int, block_rows: int) -> tuple[int, int]:
+    """Blocks of rows and of queries: about ``CELLS`` cells, fewer if they had less than
+    ``CELL_PAIRS`` pairs, of the ways to cut so many the one that copies the fewest bytes."""
+    cells = max(1, min(CELLS, -(-rows * queries // CELL_PAIRS)))
+    rb = math.ceil(math.sqrt(cells * rows * row_bytes / max(1, queries * query_bytes)))
+    rb = max(1, -(-rows // block_rows), min(rb, cells))
+    return rb, max(1, min(-(-cells // rb), queries))
 
 
 def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, leaf_rows: int = 128, recall: float = 0.95,
-            tuning: int = 128, fit_rows: int = 65_536, least: int = 16, part_rows: int = 4096, seed: int = 11) -> DataFrame:
+            tuning: int = 128, fit_rows: int = 65_536, least: int = 16, part_rows: int = 65_536, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of ``table`` (vec_id,
     embedding) found nearest by cosine to each row that fulfils ``queries``, a
     condition on ``vec_id``. ``recall`` 1: all leaves are searched."""
@@ -290,25 +350,27 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, trees: int = 12, leaf
                     .where("near > -2").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
                     .join(leaves, "class_id").select("q", "leaves").collect())      # k rows for each of ``tuning`` queries
         want = max(budget(forest, counts, drawn, [(r["q"], r["leaves"]) for r in true], recall), 16.0 * k)
-    visits = C.stored(asked.select("query_id", "vec").repartition("query_id").mapInArrow(
-        lambda it: _visits(it, shipped.value, counts, want), "query_id long, leaves array<long>, last double, vec " + kind)
-        .select("query_id", "vec", "last", F.explode("leaves").alias("leaf")))
-    much = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}                  # one row a leaf
-    parts = spark.createDataFrame([(i, -(-int(c) // part_rows), -(-much.get(i, 1) // (16 * part_rows))) for i, c in enumerate(counts) if c],
-                                  "leaf long, salts int, qsalts int")
-    parts = F.broadcast(parts)      # one row a leaf
-
-    members = (leaves.select("class_id", "leaves", F.explode("leaves").alias("leaf")).join(parts, "leaf")
-               .withColumn("salt", F.pmod(F.xxhash64("class_id"), "salts")).withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("qsalts") - 1)))
-               .join(classes.select("class_id", "vec"), "class_id")
-               .select("leaf", F.col("salt").cast("int").alias("salt"), "qsalt", F.lit(False).alias("is_query"), F.col("class_id").alias("who"),
-                       F.lit(0.0).alias("last"), "leaves", "vec"))
-    asking = (visits.join(parts, "leaf")
-              .withColumn("qsalt", F.pmod(F.xxhash64("query_id"), "qsalts").cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-              .select("leaf", "salt", "qsalt", F.lit(True).alias("is_query"), F.col("query_id").alias("who"),
-                      "last", F.array_repeat(F.lit(0).cast("long"), trees).alias("leaves"), "vec"))
-    both = members.unionByName(asking).repartition("leaf", "salt", "qsalt").sortWithinPartitions("leaf", "salt", "qsalt", "is_query")
-    hits = both.mapInArrow(lambda it: _scored(it, shipped.value, k + 1), "query_id long, class_id long, near double")
+    number = np.asarray(counts, np.int64)
+    visits = C.stored(asked.select("query_id", "vec").repartition(scan_partitions(spark), "query_id").mapInArrow(
+        lambda it: _visits(it, shipped.value, number, want), "query_id long, taken binary, spot long, vec " + kind))
+    size = 4 * len(sample[0]) if len(sample) else 4
+    rb, qb = cell_counts(n, visits.count(), size + 8 * trees, size + len(counts) // 8, part_rows)
+
+    def block(col: str, parts: int):
+        return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(parts))
+
+    def copies(parts: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+
+    members = (leaves.join(classes.select("class_id", "vec"), "class_id").withColumn("_q", copies(qb))
+               .select((block("class_id", rb) * qb + F.col("_q")).cast("int").alias("cell"), F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("spot"),
+                       F.col("class_id").alias("who"), "leaves", F.lit(b"").alias("taken"), "vec"))
+    asking = (visits.withColumn("_r", copies(rb))
+              .select((F.col("_r") * qb + block("query_id", qb)).cast("int").alias("cell"), F.lit(True).alias("is_query"), "spot",
+                      F.col("query_id").alias("who"), F.array().cast("array<long>").alias("leaves"), "taken", "vec"))
+    both = members.unionByName(asking).repartitionById(rb * qb, "cell").sortWithinPartitions("cell", "is_query", "spot")
+    n_leaves = len(counts)
+    hits = both.mapInArrow(lambda it: _cell_hits(it, n_leaves, k + 1), "query_id long, class_id long, near double")
     hits = hits.groupBy("query_id", "class_id").agg(F.max("near").alias("near"))
     few = Window.partitionBy("query_id").orderBy(F.desc("near"), "class_id")
     hits = C.stored(hits.withColumn("r", F.row_number().over(few)).where(F.col("r") <= 2 * (k + 1)).select("query_id", "class_id"))

@@ -173,6 +173,35 @@ def test_rows_scored_for_a_query():
     assert recall >= 0.9 and share < 0.05
 
 
+def test_a_query_takes_the_queues_leaves_and_meets_each_row_once():
+    r = np.random.default_rng(7)
+    x = unit_rows(np.concatenate([r.normal(size=(900, 16)), np.round(r.normal(size=(100, 16)))]))
+    f = forest.grow(x, 5, 6, 4, 3)
+    at = f.leaves(x)
+    counts = np.bincount(at.ravel(), minlength=5 << 6)
+    queries, bits = x[::50], []
+    for side, q in zip(f.sides(queries), queries):
+        for want in (1.0, 300.0, 2000.0, np.inf):
+            taken = f.taken(side, counts, want)
+            assert set(np.flatnonzero(taken).tolist()) == set(f.search(q, counts.tolist(), want, side)[0])
+        bits.append(np.packbits(f.taken(side, counts, 300.0)).tobytes())
+    members = forest._Members(np.arange(1000)[::-1].copy(), x, at, len(counts), 6)
+    i, j, near = members.best(queries, bits)
+    for n, q in enumerate(queries):
+        taken = np.unpackbits(np.frombuffer(bits[n], np.uint8)).astype(bool)
+        own = np.flatnonzero(taken[at].any(axis=1))
+        best = own[np.lexsort((members.ids[own], -np.round(x[own] @ q, 12)))][:6]
+        assert len(own) < 1000 and j[i == n].tolist() == best.tolist() and np.allclose(near[i == n], x[best] @ q)
+
+
+def test_rows_and_queries_are_copied_once_for_each_block_of_the_other_side():
+    rb, qb = forest.cell_counts(720_000, 14_400, 352, 6400, 65_536)
+    assert rb >= 11 and rb * qb <= 128
+    # one row for each query and leaf came to 60,000,000 before
+    assert 720_000 * qb + 14_400 * rb < 5_000_000
+    assert forest.cell_counts(10, 1, 352, 6400, 65_536) == (1, 1) and forest.cell_counts(0, 0, 4, 1, 65_536) == (1, 1)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pivots.near_vectors(none).count() == 0
