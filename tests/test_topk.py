@@ -156,3 +156,23 @@ def test_a_filter_that_keeps_all_is_tried_on_few_users(monkeypatch):
     assert sum(asked) < 640 * len(asked) / 2
     exp = _brute(U, P, 10)
     assert all([int(i) + 1000 for i in it[u]] == [i for i, _ in exp[u]] for u in range(0, 640, 40))
+
+
+def test_a_user_is_shuffled_once_and_has_one_list(spark):
+    users, items, U, P = _tables(spark, 23)
+    for prune in (None, "li"):      # a user met each block, and had a list of each, before
+        got = TK.top_k(users, items, 5, prune=prune, max_block_rows=7, share_rows=16)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+        exp = _brute(U, P, 5)
+        for u, g in got.toPandas().groupby("user_id"):
+            assert [int(i) for i in g.sort_values("rank").item_id] == [i for i, _ in exp[u]]
+
+
+def test_shares_are_bounded_and_copy_few_items():
+    shares = lambda *a: TK.share_count(*a, 16384, 409_600, 4096, 64)
+    for users, items, k in ((10, 10, 10), (900_000, 120_000, 10), (5_400_000, 720_000, 10), (5_400_000, 720_000, 100), (0, 1, 1)):
+        n = shares(users, items, 64, k)
+        assert n >= 1 and users / n * (8 * 64 + 24 * k) <= TK.SHARE_BYTES
+    # users met 46 blocks before: 46 copies of 5,400,000 vectors
+    assert 5_400_000 + shares(5_400_000, 720_000, 64, 10) * 720_000 < 4 * 5_400_000
