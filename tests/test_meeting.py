@@ -41,3 +41,16 @@ def test_few_pairs_are_joined(spark):
     pairs, users, items = _tables(spark)
     got = meeting.with_vectors(pairs.limit(2), users, items, block_bytes=100)
     assert "Join" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_default_deltas_are_made_in_the_cells(spark):
+    pairs, users, items = _tables(spark)
+    near = lambda v: v if v is None else [x if x is None else round(x, 9) for x in v]
+    rows = lambda df: sorted(str((r["k"], r["user_id"], r["item_id"], r["rating"], near(r["du"]), near(r["dv"]))) for r in df.collect())
+    own = FX.sgd_deltas(pairs, users, items, 0.1, updater=FX.sgd_updater(0.1))
+    got = FX.sgd_deltas(pairs, users, items, 0.1)
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")       # Spark scaled each pair's vectors before
+    assert got.dtypes == own.dtypes and rows(got) == rows(own)
+    uneven = items.withColumn("factors", F.when(F.col("item_id") % 5 == 0, F.slice("factors", 1, 2)).otherwise(F.col("factors")))
+    assert rows(FX.sgd_deltas(pairs, users, uneven, 0.1)) == rows(FX.sgd_deltas(pairs, users, uneven, 0.1, updater=FX.sgd_updater(0.1)))
+    assert FX.sgd_deltas(pairs, users, items, 0.1, sides=("item",)).columns == [c for c in own.columns if c != "du"]
